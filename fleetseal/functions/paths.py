@@ -39,14 +39,22 @@ def _prefixes(path: Column, pattern: str, last: Column) -> Column:
     return F.transform(lengths, lambda n: F.substring(path, F.lit(1), n))
 
 
-def ancestors(path: Column, separators: str = _ANY_SEPARATOR) -> Column:
-    """Upper-cased proper ancestors of a path, outermost first, the path itself not included."""
-    key = fs_identity(path)
-    count = F.size(F.split(key, separators)) - 1
-    found = F.when(count >= 1, _prefixes(key, separators, count)).otherwise(F.array().cast("array<string>"))
+def _proper_prefixes(key: Column, pattern: str) -> Column:
+    count = F.size(F.split(key, pattern)) - 1
+    found = F.when(count >= 1, _prefixes(key, pattern, count)).otherwise(F.array().cast("array<string>"))
     return F.filter(found, lambda p: p != "")
 
 
+def ancestors(path: Column) -> Column:
+    """Upper-cased proper ancestors of a file path, outermost first, the path itself not included."""
+    return _proper_prefixes(fs_identity(path), _ANY_SEPARATOR)
+
+
+def registry_ancestors(name: Column) -> Column:
+    """Upper-cased proper ancestors of a registry name, outermost first."""
+    return _proper_prefixes(F.upper(name), r"\\")
+
+
 def container_keys(path: Column) -> Column:
     r"""Every root key that contains ``path``: its ancestors, itself, and its drive root (``C:\`` or ``/``).
 
