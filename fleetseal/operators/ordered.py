@@ -58,20 +58,20 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: di
         out = df_in.withColumns({n: _local(h, F.col(f"__in_{n}"), window) for n, h in hows.items()})
         return out.drop(*inputs)
 
-    time, width = F.col(order[0]), F.lit(widths[0])
-    chunked = df_in.withColumn("__chunk", time - F.pmod(time, width))
-    window = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    time, width, level = F.col(order[0]), F.lit(widths[0]), f"__chunk{len(widths)}"
+    chunked = df_in.withColumn(level, time - F.pmod(time, width))
+    window = Window.partitionBy(*keys, level).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = chunked.withColumns({f"__local_{n}": _local(h, F.col(f"__in_{n}"), window) for n, h in hows.items()})
 
-    totals = chunked.groupBy(*keys, "__chunk").agg(
+    totals = chunked.groupBy(*keys, level).agg(
         *[_total(h, F.col(f"__in_{n}"), [F.col(c) for c in order]).alias(f"__total_{n}") for n, h in hows.items()])
     carried = running(
-        totals, keys, ["__chunk"],
+        totals, keys, [level],
         {f"__carry_{n}": (h, F.col(f"__total_{n}")) for n, h in hows.items()}, widths[1:], inclusive=False)
     right = carried.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__kc"),
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(level).alias("__kc"),
         *[f"__carry_{n}" for n in hows])
-    on = local["__chunk"].eqNullSafe(right["__kc"])
+    on = local[level].eqNullSafe(right["__kc"])
     for i, k in enumerate(keys):
         on = on & local[k].eqNullSafe(right[f"__k{i}"])
     joined = local.join(right, on, "left")
