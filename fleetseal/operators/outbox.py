@@ -20,7 +20,9 @@ def admit(records: DataFrame, existing: DataFrame | None = None, keys: Sequence[
     flat = first.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*records.columns)
     if existing is None:
         return flat
-    return flat.join(existing.select(*keys), list(keys), "left_anti")
+    # Only ids of this batch are looked up, so the stored side is filtered where it lies when the batch is small.
+    known = existing.select(*keys).join(first.select(*keys), list(keys), "left_semi")
+    return flat.join(known, list(keys), "left_anti")
 
 
 def is_ready(as_of_ms: int) -> Column:

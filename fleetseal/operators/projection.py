@@ -92,12 +92,21 @@ def previous_evidence(changes: DataFrame, evidence: Sequence[str] = EVIDENCE,
     return found.select(*out)
 
 
-def attach_previous(batch: DataFrame, projection: DataFrame) -> DataFrame:
+def lookup(operations: DataFrame, keys: DataFrame) -> DataFrame:
+    """Projection rows of the given (host, normalized_entity) keys, resolved from accumulated operations.
+
+    Operations of other entities are filtered out before anything is merged or shuffled.
+    """
+    return merge_operations(operations.join(keys.select(*KEY).distinct(), list(KEY), "left_semi"))
+
+
+def attach_previous(batch: DataFrame, operations: DataFrame) -> DataFrame:
     """The same for a live batch: look the entity (or the old path of a rename) up in the stored projection."""
-    known = projection.select(
+    keyed = batch.withColumn("__key", normalize_entity(F.coalesce("old_path", "full_path")))
+    wanted = keyed.select("host", F.col("__key").alias("normalized_entity"))
+    known = lookup(operations, wanted).select(
         "host", F.col("normalized_entity").alias("__key"), F.col("current_hash").alias("__hash"),
         F.col("acls").alias("__acl"), F.col("current_size_bytes").alias("__size"), F.col("object_type").alias("__type"))
-    keyed = batch.withColumn("__key", normalize_entity(F.coalesce("old_path", "full_path")))
     joined = keyed.join(known, ["host", "__key"], "left")
     return (joined.withColumn("previous_hash", F.coalesce("__hash", F.lit("")))
             .withColumn("previous_acl", F.coalesce("__acl", F.lit("")))
@@ -107,13 +116,13 @@ def attach_previous(batch: DataFrame, projection: DataFrame) -> DataFrame:
             .select(*dict.fromkeys([*batch.columns, "previous_hash", "previous_acl", "previous_size_bytes"])))
 
 
-def attach_previous_acl(batch: DataFrame, projection: DataFrame) -> DataFrame:
+def attach_previous_acl(batch: DataFrame, operations: DataFrame) -> DataFrame:
     """Access list of a registry key in the projection as the batch found it; "" when unknown."""
-    known = projection.select("host", "normalized_entity", F.col("acls").alias("__acl"))
     keyed = batch.withColumn("normalized_entity", normalize_entity(F.col("entity")))
-    joined = keyed.join(known, ["host", "normalized_entity"], "left")
+    known = lookup(operations, keyed).select("host", "normalized_entity", F.col("acls").alias("__acl"))
+    joined = keyed.join(known, list(KEY), "left")
     return joined.withColumn("previous_acl", F.coalesce("__acl", F.lit(""))).select(
-        *dict.fromkeys([*batch.columns, "normalized_entity", "previous_acl"]))
+        *dict.fromkeys([*batch.columns, "previous_acl"]))
 
 
 def previous_acl_by_batch(changes: DataFrame, batch: Column, widths: Sequence[int] = (1000, 1_000_000)) -> DataFrame:
