@@ -156,9 +156,13 @@ def manifest_digest(members: DataFrame, fields: Sequence[Column], keys: Sequence
 
 
 def verify_manifest(computed: DataFrame, recorded: DataFrame, keys: Sequence[str] = ("host",)) -> DataFrame:
-    """Keys whose recomputed digest is not the recorded one. A run must not compare against these."""
+    """Keys whose recomputed digest is not the recorded one. A run must not compare against these.
+
+    An empty inventory has no computed row; its recorded digest is "".
+    """
     return (recorded.select(*keys, F.col("digest").alias("recorded_digest"))
             .join(computed.select(*keys, F.col("digest").alias("computed_digest")), list(keys), "left")
+            .withColumn("computed_digest", F.coalesce("computed_digest", F.lit("")))
             .filter(~F.col("recorded_digest").eqNullSafe(F.col("computed_digest"))))
 
 

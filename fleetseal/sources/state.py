@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +24,21 @@ class StateStore:
         self._meta = f"{self.root}/_meta"
 
     def _rows(self) -> DataFrame:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._meta)
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(folder):
+        try:
+            return self.spark.read.schema(_META).parquet(self._meta)
+        except AnalysisException:
+            # Nothing was committed yet.
             return self.spark.createDataFrame([], _META)
-        return self.spark.read.schema(_META).parquet(self._meta)
 
     def _newest(self):
         found = self._rows().orderBy(F.col("txn").desc()).limit(1).collect()
         return found[0] if found else None
 
+    def next_txn(self) -> int:
+        """Number the next commit will get."""
+        newest = self._newest()
+        return (newest.txn if newest else 0) + 1
+
     def segments(self, table: str) -> list[str]:
         """Folders that make up a table now."""
         newest = self._newest()
