@@ -57,14 +57,17 @@ def collapse(notifications: DataFrame, window: Sequence[str], seq: str = "seq",
     """
     arrives = F.col("arrives") == 1
     renamed = F.col("old_path").isNotNull()
+    # Rows a rename away from their path does not remove, and what the last of them was.
     lasting = F.col("category").isin("Created", "Deleted") & ~renamed
+    lasting = lasting | renamed if keep_rename_chain else lasting
+    kind = F.when(renamed, "Renamed").otherwise(F.col("category"))
     by_path = Window.partitionBy(*window, "path_key")
     ordered = by_path.orderBy(seq, "arrives")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     marked = (
         touches(notifications)
         .withColumn("__before", F.lag(F.struct("arrives", "category", F.col("old_path").isNotNull().alias("renamed"))).over(ordered))
-        .withColumn("__lasting", F.last(F.when(arrives & lasting, F.col("category")), ignorenulls=True).over(before))
+        .withColumn("__lasting", F.last(F.when(arrives & lasting, kind), ignorenulls=True).over(before))
         .withColumn("__left_at", F.max(F.when(~arrives, F.col(seq))).over(by_path)))
     was = F.col("__before")
     was_deleted = (was["category"] == "Deleted") & ~was["renamed"]

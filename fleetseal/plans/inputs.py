@@ -253,8 +253,15 @@ def _spell(sql: str, sha: str, days: str, each: str) -> str:
 class Inputs:
     """Reads given tables and builds derived ones on demand."""
 
-    def __init__(self, spark: SparkSession, directory: str):
-        self.spark, self.directory, self._known = spark, directory, {}
+    def __init__(self, spark: SparkSession, directory: str, known: dict[str, DataFrame] | None = None):
+        self.spark, self.directory, self._known = spark, directory, dict(known or {})
+
+    def streaming(self, table: str) -> Inputs:
+        """The same inputs with one given table read as a stream of its files."""
+        schema = getattr(self, table).schema
+        stream = (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+                  .option("maxFilesPerTrigger", "1").parquet(self.directory))
+        return Inputs(self.spark, self.directory, {table: stream})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -63,7 +63,8 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
 
     ``current`` is (host, identity_key, path, fingerprint), ``runs`` one row per host with its baseline id and
     lineage. A host whose inventory repeats an identity, did not converge, or whose previous inventory fails its
-    digest gets an Invalid baseline and nothing is compared. Everything becomes visible in one commit.
+    digest gets an Invalid baseline, kept until the next run, and nothing is compared. Everything becomes visible in one
+    commit.
     """
     baselines = store.read("baselines", _BASELINES)
     stored = store.read("members", _MEMBERS)
@@ -107,7 +108,7 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
     action = lineage.retention(every, store.read("results", _RESULTS).select("baseline_id", "delivered_ms")
                                .unionByName(results.select("baseline_id", "delivered_ms")), generations, ["host", *lineage.LINEAGE])
     return store.commit(append={"members": accepted, "results": results},
-                        replace={"baselines": action.filter("action <> 'delete'").select(*columns)},
+                        replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == segment)).select(*columns)},
                         writer="reconcile", batch_id=as_of_ms)
 
 

@@ -13,12 +13,13 @@ def _survivors(group: Column, keep_rename_chain: bool) -> Column:
     def survives(item: Column, index: Column) -> Column:
         earlier = F.slice(group, F.lit(1), index)
         before = F.get(group, index - 1)
-        lasting = F.filter(earlier, lambda e: (e["arrives"] == 1) & ~e["renamed"] & e["category"].isin("Created", "Deleted"))
+        lasting = F.filter(earlier, lambda e: (e["arrives"] == 1) & F.when(e["renamed"], keep_rename_chain).otherwise(
+            e["category"].isin("Created", "Deleted")))
         last_lasting = F.get(lasting, F.size(lasting) - 1)
         fresh = (
             F.when(before.isNull(), True)
             .when(before["arrives"] == 1, (before["category"] == "Deleted") & ~before["renamed"])
-            .otherwise(F.coalesce(last_lasting["category"] == "Deleted", F.lit(True))))
+            .otherwise(F.coalesce((last_lasting["category"] == "Deleted") & ~last_lasting["renamed"], F.lit(True))))
         left_later = F.exists(group, lambda o: (o["arrives"] == 0) & (o["seq"] > item["seq"]))
         renamed_stays = F.lit(True) if keep_rename_chain else ~((item["category"] == "Changed") & left_later)
         return (item["arrives"] == 1) & (
