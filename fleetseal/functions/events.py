@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,10 +112,21 @@ def is_allocated(event_id: Column, record_type: Column) -> Column:
     return F.coalesce(catalog_type(event_id) == record_type, F.lit(False))
 
 
-def display_name(name: Column) -> Column:
-    """``userSid`` becomes ``User Sid``: upper first letter, a space between lower and upper."""
+def _spaced(name: str) -> str:
+    """The display rule on a name known when the plan is built."""
+    spaced = "".join(f" {c}" if i and c.isupper() and name[i - 1].islower() else c for i, c in enumerate(name))
+    return spaced[:1].upper() + spaced[1:]
+
+
+def display_name(name: Column, known: Iterable[str] = (*FS_FIELDS, *REG_FIELDS)) -> Column:
+    """``userSid`` becomes ``User Sid``: upper first letter, a space between lower and upper.
+
+    Names of findings are looked up in a literal map; only other names go through the pattern.
+    """
+    looked_up = F.create_map(*[F.lit(text) for n in dict.fromkeys(known) for text in (n, _spaced(n))])
     spaced = F.regexp_replace(name, r"(?<=\p{Ll})(?=\p{Lu})", " ")
-    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced)))
+    ruled = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced)))
+    return F.coalesce(F.try_element_at(looked_up, name), ruled)
 
 
 def iso_timestamp(ms: Column) -> Column:
@@ -125,18 +138,15 @@ def iso_timestamp(ms: Column) -> Column:
 def render_event(schema_version: Column, event_id: Column, record_type: Column, occurred_ms: Column,
                  record_id: Column, scope_hash: Column, fields: Column) -> Column:
     """Readable ``Name: value`` lines: the six envelope fields, then the map in its own order; null reads None."""
-    def line(name: Column, value: Column) -> Column:
-        return F.concat(display_name(name), F.lit(": "), F.coalesce(value, F.lit("None")))
-
-    head = [
-        line(F.lit("SchemaVersion"), schema_version.cast("string")),
-        line(F.lit("EventId"), event_id.cast("string")),
-        line(F.lit("RecordType"), record_type),
-        line(F.lit("OccurredAt"), iso_timestamp(occurred_ms)),
-        line(F.lit("RecordId"), record_id),
-        line(F.lit("ScopeHash"), scope_hash),
-    ]
-    body = F.transform(F.map_entries(fields), lambda e: line(e["key"], e["value"]))
+    def line(label: Column, value: Column) -> Column:
+        return F.concat(label, F.lit(": "), F.coalesce(value, F.lit("None")))
+
+    envelope = {
+        "SchemaVersion": schema_version.cast("string"), "EventId": event_id.cast("string"), "RecordType": record_type,
+        "OccurredAt": iso_timestamp(occurred_ms), "RecordId": record_id, "ScopeHash": scope_hash,
+    }
+    head = [line(F.lit(_spaced(name)), value) for name, value in envelope.items()]
+    body = F.transform(F.map_entries(fields), lambda e: line(display_name(e["key"]), e["value"]))
     return F.array_join(F.concat(F.array(*head), body), "\n")
 
 

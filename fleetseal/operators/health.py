@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetseal.operators.bursts import fixed_window
-from fleetseal.operators.ordered import DEFAULT_WIDTHS, previous_row, running
+from fleetseal.operators.ordered import DEFAULT_WIDTHS, Scan, previous_row, running
 
 HEARTBEAT_MS = 60_000
 
@@ -79,16 +79,24 @@ def overdue_transitions(checks: DataFrame, keys: Sequence[str], order: Sequence[
                         widths: Sequence[int] = DEFAULT_WIDTHS) -> DataFrame:
     """Only the checks where an inventory becomes overdue or current again.
 
-    ``checks`` is (keys, t_ms, last_success_ms, started_ms). Overdue means twice the interval without success, or one
-    interval after a start that never succeeded.
+    ``checks`` is (keys, t_ms, success_ms, started_ms); ``success_ms`` is the time of a success first seen by the
+    check, else null. Overdue means twice the interval without success, or one interval after a start that never
+    succeeded.
     """
     interval = F.lit(interval_ms) if isinstance(interval_ms, int) else interval_ms
-    overdue = F.coalesce(
-        F.when(F.col("last_success_ms").isNotNull(), F.col("t_ms") - F.col("last_success_ms") > interval * 2)
-        .otherwise(F.col("t_ms") - F.col("started_ms") > interval), F.lit(False))
-    stepped = previous_row(checks.withColumn("overdue", overdue), keys, order, ["overdue"], "__b", widths)
-    before = F.coalesce(F.col("__b.overdue"), F.lit(False))
-    return (stepped.filter(F.col("overdue") != before)
+    time, started = F.col("t_ms"), F.col("started_ms")
+
+    def overdue(at: Column, last_success: Column, start: Column) -> Column:
+        return F.coalesce(F.when(last_success.isNotNull(), at - last_success > interval * 2).otherwise(at - start > interval), F.lit(False))
+
+    # The state of the check before comes from the same scan: its time and start, and the newest success until then.
+    stepped = running(checks, keys, order, {
+        "__success": Scan("max", F.col("success_ms")),
+        "__success_before": Scan("max", F.col("success_ms"), inclusive=False),
+        "__b": Scan("last", F.struct("t_ms", "started_ms"), inclusive=False)}, widths)
+    now = overdue(time, F.col("__success"), started)
+    before = F.col("__b").isNotNull() & overdue(F.col("__b.t_ms"), F.col("__success_before"), F.col("__b.started_ms"))
+    return (stepped.withColumns({"overdue": now, "__was": before}).filter(F.col("overdue") != F.col("__was"))
             .select(*checks.columns, F.when(F.col("overdue"), "CoverageGap").otherwise("SourceRecovered").alias("record_type"),
                     F.when(F.col("overdue"), "BaselineOverdue").otherwise("BaselineCurrent").alias("reason")))
 

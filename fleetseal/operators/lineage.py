@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetseal.operators.ordered import DEFAULT_WIDTHS, previous_row, running
+from fleetseal.operators.ordered import DEFAULT_WIDTHS, Scan, previous_row, running
 
 LINEAGE = ("source", "scope_hash", "source_identity", "schema_version", "algorithm")
 
@@ -99,12 +99,8 @@ def run_health(runs: DataFrame, keys: Sequence[str], order: Sequence[str], succe
 
     ``order[0]`` is the time of the run.
     """
-    counted = running(runs, keys, order, {"__failed": ("sum", F.when(failure, 1).otherwise(0).cast("bigint"))}, widths)
-    marked = running(counted, keys, order, {
-        "__failed_before": ("max", F.when(success, F.col("__failed"))),
-        "last_success_ms": ("max", F.when(success, F.col(order[0]))),
+    failed = F.when(failure, 1).otherwise(0).cast("bigint")
+    return running(runs, keys, order, {
+        "consecutive_failures": Scan("since", failed, reset=success),
+        "last_success_ms": Scan("max", F.when(success, F.col(order[0]))),
     }, widths)
-    return marked.select(
-        *runs.columns,
-        (F.col("__failed") - F.coalesce("__failed_before", F.lit(0))).alias("consecutive_failures"),
-        "last_success_ms")

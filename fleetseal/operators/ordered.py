@@ -8,6 +8,7 @@ are one row per (key, chunk), and are themselves scanned the same way with the n
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,66 +19,110 @@ DEFAULT_WIDTHS = (HOUR_MS, 1000 * HOUR_MS)
 _WHOLE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _local(how: str, value: Column, window) -> Column:
-    if how == "last":
-        return F.last(value, ignorenulls=True).over(window)
-    return _WHOLE[how](value).over(window)
-
-
-def _total(how: str, value: Column, order: Sequence[Column]) -> Column:
-    if how == "last":
-        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
-    return _WHOLE[how](value)
-
-
-def _combine(how: str, local: Column, carried: Column) -> Column:
-    if how == "sum":
-        return F.when(local.isNull() & carried.isNull(), None).otherwise(
-            F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0)))
-    if how == "max":
-        return F.greatest(local, carried)
-    if how == "min":
-        return F.least(local, carried)
-    return F.coalesce(local, carried)
+@dataclass(frozen=True)
+class Scan:
+    """One running value.
 
+    ``how`` is sum, max, min, last (newest non-null) or since (sum of a value that is never negative, starting anew at
+    every row where ``reset`` holds; that row's own value is the first it adds). With ``inclusive=False`` a row sees
+    only the rows before it.
+    """
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]],
+    how: str
+    value: Column
+    inclusive: bool = True
+    reset: Column | None = None
+
+
+def _frame(keys: Sequence[str], order: Sequence[str], inclusive: bool):
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+
+
+def _local(df: DataFrame, scans: dict[str, Scan], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Running values inside (keys); all of them share one shuffle and one sort."""
+    columns, resets = {}, {}
+    for name, scan in scans.items():
+        window, value = _frame(keys, order, scan.inclusive), F.col(f"__in_{name}")
+        if scan.how == "last":
+            columns[f"__local_{name}"] = F.last(value, ignorenulls=True).over(window)
+        elif scan.how == "since":
+            # What was summed before the newest reset; the sum never falls, so it is the greatest such mark.
+            resets[f"__upto_{name}"] = F.sum(value).over(_frame(keys, order, True))
+            columns[f"__local_{name}"] = F.sum(value).over(window)
+        else:
+            columns[f"__local_{name}"] = _WHOLE[scan.how](value).over(window)
+    df = df.withColumns({**columns, **resets})
+    marks = {f"__mark_{n}": F.max(F.when(F.col(f"__reset_{n}"), F.col(f"__upto_{n}") - F.col(f"__in_{n}"))).over(_frame(keys, order, s.inclusive))
+             for n, s in scans.items() if s.how == "since"}
+    return df.withColumns(marks) if marks else df
+
+
+def _finished(name: str, scan: Scan, carried: Column | None) -> Column:
+    """Local value and what earlier chunks carry over, put together."""
+    local = F.col(f"__local_{name}")
+    if scan.how == "since":
+        mark = F.col(f"__mark_{name}")
+        here = F.coalesce(local, F.lit(0)) - F.coalesce(mark, F.lit(0))
+        before = F.lit(0) if carried is None else F.coalesce(carried, F.lit(0))
+        return F.when(mark.isNull(), here + before).otherwise(here)
+    if carried is None:
+        return local
+    if scan.how == "sum":
+        return F.when(local.isNull() & carried.isNull(), None).otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0)))
+    return {"max": F.greatest, "min": F.least}.get(scan.how, F.coalesce)(local, carried)
+
+
+def _totals(chunked: DataFrame, scans: dict[str, Scan], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per (keys): what a whole chunk adds."""
+    position = F.struct(*order)
+    whole = Window.partitionBy(*keys)
+    newest = {f"__at_{n}": F.max(F.when(F.col(f"__reset_{n}"), position)).over(whole) for n, s in scans.items() if s.how == "since"}
+    if newest:
+        chunked = chunked.withColumns(newest)
+    aggregates = []
+    for name, scan in scans.items():
+        value = F.col(f"__in_{name}")
+        if scan.how == "last":
+            aggregates.append(F.max_by(value, F.when(value.isNotNull(), position)).alias(f"__total_{name}"))
+        elif scan.how == "since":
+            at = F.col(f"__at_{name}")
+            aggregates.append(F.sum(F.when(at.isNull() | (position >= at), value)).alias(f"__total_{name}"))
+            aggregates.append(F.bool_or(F.coalesce(f"__reset_{name}", F.lit(False))).alias(f"__had_{name}"))
+        else:
+            aggregates.append(_WHOLE[scan.how](value).alias(f"__total_{name}"))
+    return chunked.groupBy(*keys).agg(*aggregates)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Scan | tuple[str, Column]],
             widths: Sequence[int] = DEFAULT_WIDTHS, inclusive: bool = True) -> DataFrame:
-    """Add running ``sum`` / ``max`` / ``min`` / ``last`` columns per key.
+    """Add running values per key.
 
     ``order`` names columns that order the rows of a key completely; the first one is an integer (milliseconds or a
-    sequence number) and is what the chunks are cut from. ``last`` skips nulls. With ``inclusive=False`` a row sees
-    only the rows before it.
+    sequence number) and is what the chunks are cut from. ``values`` are :class:`Scan` or (how, column) pairs, which
+    take ``inclusive`` from the call.
     """
-    end = 0 if inclusive else -1
-    inputs = {f"__in_{name}": value for name, (_, value) in values.items()}
+    scans = {n: v if isinstance(v, Scan) else Scan(v[0], v[1], inclusive) for n, v in values.items()}
+    inputs = {f"__in_{n}": s.value for n, s in scans.items()}
+    inputs |= {f"__reset_{n}": s.reset for n, s in scans.items() if s.how == "since"}
     df_in = df.withColumns(inputs)
-    hows = {name: how for name, (how, _) in values.items()}
     if not widths:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        out = df_in.withColumns({n: _local(h, F.col(f"__in_{n}"), window) for n, h in hows.items()})
-        return out.drop(*inputs)
+        local = _local(df_in, scans, keys, order)
+        return local.withColumns({n: _finished(n, s, None) for n, s in scans.items()}).select(*df.columns, *scans)
 
     time, width, level = F.col(order[0]), F.lit(widths[0]), f"__chunk{len(widths)}"
     chunked = df_in.withColumn(level, time - F.pmod(time, width))
-    window = Window.partitionBy(*keys, level).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = chunked.withColumns({f"__local_{n}": _local(h, F.col(f"__in_{n}"), window) for n, h in hows.items()})
-
-    totals = chunked.groupBy(*keys, level).agg(
-        *[_total(h, F.col(f"__in_{n}"), [F.col(c) for c in order]).alias(f"__total_{n}") for n, h in hows.items()])
-    carried = running(
-        totals, keys, [level],
-        {f"__carry_{n}": (h, F.col(f"__total_{n}")) for n, h in hows.items()}, widths[1:], inclusive=False)
+    local = _local(chunked, scans, [*keys, level], order)
+    totals = _totals(chunked, scans, [*keys, level], order)
+    carried = running(totals, keys, [level], {
+        f"__carry_{n}": Scan(s.how, F.col(f"__total_{n}"), False, F.col(f"__had_{n}") if s.how == "since" else None)
+        for n, s in scans.items()}, widths[1:])
     right = carried.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(level).alias("__kc"),
-        *[f"__carry_{n}" for n in hows])
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(level).alias("__kc"), *[f"__carry_{n}" for n in scans])
     on = local[level].eqNullSafe(right["__kc"])
     for i, k in enumerate(keys):
         on = on & local[k].eqNullSafe(right[f"__k{i}"])
     joined = local.join(right, on, "left")
-    out = joined.withColumns(
-        {n: _combine(h, F.col(f"__local_{n}"), F.col(f"__carry_{n}")) for n, h in hows.items()})
-    return out.select(*df.columns, *hows)
+    return joined.withColumns({n: _finished(n, s, F.col(f"__carry_{n}")) for n, s in scans.items()}).select(*df.columns, *scans)
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], into: str,

@@ -63,19 +63,17 @@ def previous_evidence(changes: DataFrame, evidence: Sequence[str] = EVIDENCE,
     known = F.struct(F.lit(True).alias("present"), *[F.col(c) for c in evidence])
     empty = F.struct(F.lit(False).alias("present"),
                      *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in evidence])
-    row = F.struct(*changes.columns)
-    no_row = F.lit(None).cast(changes.select(row.alias("r")).schema["r"].dataType)
+    # One pass over the changes yields the look-up of each change, what it leaves at its entity, and what a rename
+    # clears at its old path; at equal times the look-up comes first.
+    look = F.struct(F.coalesce(away, entity).alias("key"), F.lit(0).alias("rank"), F.lit(None).alias("state"), F.struct(*changes.columns).alias("row"))
+    put = F.struct(entity.alias("key"), F.lit(1).alias("rank"), known.alias("state"), F.lit(None).alias("row"))
+    clear = F.when(away.isNotNull() & (away != entity),
+                   F.struct(away.alias("key"), F.lit(1).alias("rank"), empty.alias("state"), F.lit(None).alias("row")))
+    steps = (changes.select("host", "t_ms", "seq", F.explode(F.array_compact(F.array(look, put, clear))).alias("__s"))
+             .select("host", F.col("__s.key").alias("__key"), "t_ms", "seq", F.col("__s.rank").alias("__rank"),
+                     F.col("__s.state").alias("__state"), F.col("__s.row").alias("__row")))
     order = ["t_ms", "seq", "__rank"]
-    lookup = changes.select("host", F.coalesce(away, entity).alias("__key"), "t_ms", "seq", F.lit(0).alias("__rank"),
-                            F.lit(None).cast(changes.select(known.alias("k")).schema["k"].dataType).alias("__state"),
-                            row.alias("__row"))
-    # One pass over the changes yields both what they leave at their entity and what a rename clears at its old path.
-    put = F.struct(entity.alias("key"), known.alias("state"))
-    clear = F.when(away.isNotNull() & (away != entity), F.struct(away.alias("key"), empty.alias("state")))
-    states = (changes.select("host", "t_ms", "seq", F.explode(F.array_compact(F.array(put, clear))).alias("__s"))
-              .select("host", F.col("__s.key").alias("__key"), "t_ms", "seq", F.lit(1).alias("__rank"),
-                      F.col("__s.state").alias("__state"), no_row.alias("__row")))
-    scanned = running(lookup.unionByName(states), ["host", "__key"], order, {"__prev": ("last", F.col("__state"))}, widths)
+    scanned = running(steps, ["host", "__key"], order, {"__prev": ("last", F.col("__state"))}, widths)
     found = scanned.filter("__row IS NOT NULL")
     prev = F.when(F.col("__prev.present"), F.col("__prev"))
     out = [F.col(f"__row.{c}").alias(c) for c in changes.columns if c != "object_type" or "object_type" not in evidence]

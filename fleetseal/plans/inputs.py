@@ -197,7 +197,8 @@ DERIVED = {
       SELECT concat('H', cast(user_id % 4 AS string)) AS host, cast(floor(event_id / 40) AS bigint) AS beat, max(event_id) * 1000 AS t_ms,
         count(*) AS accepted, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS dropped,
         sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS enrichment_failures,
-        (max(event_id) - min(event_id)) * 1000 AS oldest_age_ms
+        (max(event_id) - min(event_id)) * 1000 AS oldest_age_ms,
+        cast(floor(max(event_id) / 130) AS bigint) * 3 AS events_lost
       FROM {events} GROUP BY concat('H', cast(user_id % 4 AS string)), cast(floor(event_id / 40) AS bigint)""",
     "gap_events": """
       SELECT event_id AS seq, concat('H', cast(user_id % 4 AS string)) AS host, concat('scope', cast(user_id % 25 AS string)) AS scope,

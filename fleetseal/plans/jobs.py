@@ -64,13 +64,20 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
     ``current`` is (host, identity_key, path, fingerprint), ``runs`` one row per host with its baseline id and
     lineage. A host whose inventory repeats an identity, did not converge, or whose previous inventory fails its
     digest gets an Invalid baseline, kept until the next run, and nothing is compared. Everything becomes visible in one
-    commit.
+    commit; members of rejected baselines are in the segment but no Complete baseline leads to them.
     """
+    if store.is_committed("reconcile", as_of_ms):
+        return -1
+    # Staging the members first means scan, hashing and convergence run once; every step below reads the narrow copy.
+    staged, current = store.stage("members", current.join(runs.select("host", F.col("id").alias("baseline_id")), "host").select(
+        "host", "baseline_id", "identity_key", "path", "fingerprint"))
     baselines = store.read("baselines", _BASELINES)
-    stored = store.read("members", _MEMBERS)
     superseded = lineage.supersede(baselines, runs, ["host", "source"])
     pairs = lineage.comparable_pairs(runs, superseded)
-    previous = stored.join(pairs.select("host", F.col("previous_baseline_id").alias("baseline_id")), ["host", "baseline_id"], "left_semi")
+    earlier = pairs.select("host", F.col("previous_baseline_id").alias("baseline_id"))
+    # Only segments that hold a previous inventory are read: one name per earlier run.
+    needed = superseded.join(earlier.withColumnRenamed("baseline_id", "id"), ["host", "id"], "left_semi").select("segment").distinct()
+    previous = store.read_segments([r.segment for r in needed.collect()], _MEMBERS).join(earlier, ["host", "baseline_id"], "left_semi")
 
     repeated = inventory.duplicate_identities(current).select("host").distinct().withColumn("reason", F.lit("DuplicateIdentity"))
     fields = [F.col("identity_key"), F.col("path"), F.col("fingerprint")]
@@ -92,7 +99,6 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
         F.lit(as_of_ms).cast("bigint").alias("detected_ms"), F.lit(None).cast("bigint").alias("delivered_ms"),
         F.lit(0).alias("delivery_attempts"))
 
-    segment = f"txn={store.next_txn()}"
     finished = (runs.join(rejected, "host", "left").join(digests, "host", "left").select(
         "host", "id", *lineage.LINEAGE,
         F.when(F.col("invalid_reason").isNull(), "Complete").otherwise("Invalid").alias("status"),
@@ -100,15 +106,13 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
         F.when(F.col("invalid_reason").isNull(), F.lit(as_of_ms)).cast("bigint").alias("completed_ms"),
         F.coalesce("item_count", F.lit(0).cast("bigint")).alias("item_count"),
         F.lit(1).alias("observation_passes"), F.lit("").alias("consistency_method"), "invalid_reason",
-        F.coalesce(F.col("digest"), F.lit("")).alias("manifest_digest"), F.lit(segment).alias("segment")))
-    accepted = (current.join(runs.select("host", F.col("id").alias("baseline_id")), "host")
-                .join(rejected, "host", "left_anti").select("host", "baseline_id", "identity_key", "path", "fingerprint"))
+        F.coalesce(F.col("digest"), F.lit("")).alias("manifest_digest"), F.lit(staged).alias("segment")))
     columns = list(BASELINE_COLUMNS)
     every = superseded.select(*columns).unionByName(finished.select(*columns))
     action = lineage.retention(every, store.read("results", _RESULTS).select("baseline_id", "delivered_ms")
                                .unionByName(results.select("baseline_id", "delivered_ms")), generations, ["host", *lineage.LINEAGE])
-    return store.commit(append={"members": accepted, "results": results},
-                        replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == segment)).select(*columns)},
+    return store.commit(append={"results": results}, adopt={"members": staged},
+                        replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == staged)).select(*columns)},
                         writer="reconcile", batch_id=as_of_ms)
 
 
@@ -242,7 +246,7 @@ def migrate(legacy_baselines: DataFrame, legacy_changes: DataFrame, store: State
 def collect_member_segments(store: StateStore) -> int:
     """Give up member segments no retained baseline needs. Metadata only: no member is read or rewritten."""
     needed = {r.segment for r in store.read("baselines", _BASELINES).select("segment").distinct().collect()}
-    return store.commit(keep={"members": [s for s in store.segments("members") if s.split("/")[-1] in needed]})
+    return store.commit(keep={"members": [s for s in store.segments("members") if s in needed]})
 
 
 def run_on_batches(notify: Callable[[DataFrame], DataFrame]) -> Callable[[StateStore, DataFrame, int], None]:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fleetseal.functions.delivery import backoff_seconds
 from fleetseal.operators import findings, health, outbox
-from fleetseal.operators.ordered import running
 from fleetseal.plans.registry import query
 
 SECOND = 1000
@@ -88,11 +87,11 @@ def queue_oldest_age(t):
     return health.oldest_item_age(queue, 99_999_999)
 
 
-@query("""SELECT host, beat, total, lost_count FROM (SELECT host, beat, cast(sum(dropped) OVER w AS bigint) AS total, cast(dropped AS bigint) AS lost_count
-    FROM {heartbeats} WINDOW w AS (PARTITION BY host ORDER BY beat)) x WHERE lost_count > 0""")
+@query("""SELECT host, beat, events_lost, lost_count FROM (SELECT host, beat, events_lost,
+    events_lost - coalesce(lag(events_lost) OVER (PARTITION BY host ORDER BY beat), 0) AS lost_count FROM {heartbeats}) x WHERE lost_count > 0""")
 def loss_delta(t):
-    counters = running(t.heartbeats, ["host"], ["beat"], {"total": ("sum", F.col("dropped").cast("long"))}, BEATS)
-    return health.loss_deltas(counters, ["host"], ["beat"], "total", BEATS).select("host", "beat", "total", "lost_count")
+    deltas = health.loss_deltas(t.heartbeats, ["host"], ["beat"], "events_lost", BEATS)
+    return deltas.select("host", "beat", "events_lost", "lost_count")
 
 
 @query("""
@@ -119,8 +118,7 @@ def unresolved_gaps(t):
   SELECT host, t_ms, CASE WHEN overdue THEN 'CoverageGap' ELSE 'SourceRecovered' END AS record_type,
     CASE WHEN overdue THEN 'BaselineOverdue' ELSE 'BaselineCurrent' END AS reason FROM e WHERE overdue <> was""")
 def overdue_inventory(t):
-    known = running(t.checks, ["host"], ["t_ms"], {"last_success_ms": ("max", F.col("success_ms"))}, SCAN)
-    return health.overdue_transitions(known, ["host"], ["t_ms"], 20_000, SCAN).select("host", "t_ms", "record_type", "reason")
+    return health.overdue_transitions(t.checks, ["host"], ["t_ms"], 20_000, SCAN).select("host", "t_ms", "record_type", "reason")
 
 
 @query("""

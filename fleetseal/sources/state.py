@@ -64,9 +64,26 @@ class StateStore:
         rows = self._rows().filter((F.col("writer") == writer) & (F.col("batch_id") == batch_id))
         return bool(rows.limit(1).collect())
 
+    def read_segments(self, segments: list[str], schema: str) -> DataFrame:
+        """Rows of some segments only."""
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s}" for s in segments])
+
+    def stage(self, table: str, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Write the segment the next commit will adopt, and read it back: (segment, rows).
+
+        Nobody sees it before the commit; a retry of the same run writes it again.
+        """
+        segment = f"{table}/txn={self.next_txn()}"
+        rows.write.mode("overwrite").parquet(f"{self.root}/{segment}")
+        return segment, self.spark.read.schema(rows.schema).parquet(f"{self.root}/{segment}")
+
     def commit(self, append: Mapping[str, DataFrame] | None = None, replace: Mapping[str, DataFrame] | None = None,
-               keep: Mapping[str, list[str]] | None = None, batch_id: int = -1, writer: str = "") -> int:
-        """Write segments, then promote them together. ``keep`` narrows a table to some of its segments.
+               keep: Mapping[str, list[str]] | None = None, adopt: Mapping[str, str] | None = None, batch_id: int = -1, writer: str = "") -> int:
+        """Write segments, then promote them together.
+
+        ``keep`` narrows a table to some of its segments, ``adopt`` adds a staged one.
 
         Returns the transaction number; a micro-batch that was committed before is skipped.
         """
@@ -77,6 +94,8 @@ class StateStore:
         txn = (newest.txn if newest else 0) + 1
         for table, segments in (keep or {}).items():
             tables[table] = list(segments)
+        for table, segment in (adopt or {}).items():
+            tables[table] = tables.get(table, []) + [segment]
         staged = {}
         for table, rows in {**(append or {}), **(replace or {})}.items():
             staged[table] = f"{table}/txn={txn}"

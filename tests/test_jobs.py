@@ -64,8 +64,9 @@ def test_duplicates_and_tampering_reject_a_run(spark, tmp_path):
     jobs.reconcile(store, twice, run(spark, 2), 2000)
     assert rows(store.read("baselines"), "id", "status", "invalid_reason") == [
         ("g1", "Complete", None), ("g2", "Complete", None), ("h1", "Complete", None), ("h2", "Invalid", "DuplicateIdentity")]
-    members = store.read("members").withColumn("fingerprint", F.when(F.col("baseline_id") == "g2", "changed").otherwise(F.col("fingerprint")))
-    store.commit(replace={"members": members})
+    segment = store.segments("members")[1]
+    held = store.read_segments([segment], jobs._MEMBERS).withColumn("fingerprint", F.lit("changed"))
+    spark.createDataFrame(held.collect(), held.schema).write.mode("overwrite").parquet(f"{store.root}/{segment}")
     jobs.reconcile(store, one.withColumn("fingerprint", F.lit("9")), run(spark, 3), 3000)
     assert rows(store.read("results").filter("detected_ms = 3000"), "host") == [("h",)]
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetseal.operators import (attribution, bursts, discovery, findings, health, inventory, lineage, migration, outbox,
                                  projection, scope, settings)
-from fleetseal.operators.ordered import as_of_within, running
+from fleetseal.operators.ordered import Scan, as_of_within, running
 
 MEMBER = "host string, identity_key string, path string, fingerprint string"
 
@@ -33,6 +33,20 @@ def test_running_equals_a_sequential_scan_with_a_hot_key(spark):
         assert rows(got) == sorted(expected, key=repr)
 
 
+def test_running_since_a_reset(spark):
+    rng = random.Random(4)
+    data = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(3)}", rng.randrange(300), i, rng.randrange(4), rng.random() < 0.1) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, t bigint, seq bigint, v bigint, reset boolean")
+    for inclusive in (True, False):
+        got = running(df, ["k"], ["t", "seq"], {"s": Scan("since", F.col("v"), inclusive, F.col("reset"))}, (9, 80))
+        expected, state = [], {}
+        for k, t, seq, v, reset in sorted(data, key=lambda r: (r[1], r[2])):
+            before = state.get(k, 0)
+            state[k] = v if reset else before + v
+            expected.append((seq, state[k] if inclusive else before))
+        assert rows(got, "seq", "s") == sorted(expected, key=repr)
+
+
 def test_as_of_join_equals_all_pairs(spark):
     rng = random.Random(2)
     left = [("hot" if rng.random() < 0.5 else "cold", i, rng.randrange(300)) for i in range(150)]
@@ -428,6 +442,13 @@ def test_health_alerts(spark):
     assert rows(health.loss_deltas(counters, ["host"], ["t"], "lost", (2,)), "t", "lost_count") == [(2, 3), (4, 2)]
 
 
+def test_overdue_is_reported_on_the_edge_only(spark):
+    checks = spark.createDataFrame([("h", t, s, 0) for t, s in ((5, None), (15, None), (20, None), (30, 30), (45, None), (51, None), (60, None), (70, 70))],
+                                   "host string, t_ms bigint, success_ms bigint, started_ms bigint")
+    got = health.overdue_transitions(checks, ["host"], ["t_ms"], 10, (7, 20))
+    assert rows(got, "t_ms", "record_type") == [(15, "CoverageGap"), (30, "SourceRecovered"), (51, "CoverageGap"), (70, "SourceRecovered")]
+
+
 def test_requests_coalesce_until_the_next_run(spark):
     asked = spark.createDataFrame([("h", "s", 1, "first"), ("h", "s", 2, "second"), ("h", "s", 11, "third")], "host string, source string, t_ms bigint, reason string")
     runs = spark.createDataFrame([("h", "s", 10)], "host string, source string, t_ms bigint")
