@@ -110,15 +110,26 @@ def resolve_handles(trace: DataFrame, clears: DataFrame | None = None, order: Se
     bound = running(trace, ["host", "handle"], order, {"__bound": ("last", binding)}, widths).filter("op = 'use'")
     path, at = F.col("__bound.path"), F.col("__bound.at")
     if clears is not None:
-        marks = clears.select("host", F.col(order[0])).withColumn("__clear", F.lit(True))
-        both = bound.unionByName(marks, allowMissingColumns=True)
-        cleared = running(both, ["host"], [order[0], "__clear"], {
-            "__cleared": ("max", F.when(F.col("__clear"), F.col(order[0])))}, widths).filter("__clear IS NULL")
+        bound = _with_last_clear(bound, trace, clears, order[0], widths)
         path = F.when(F.col("__cleared").isNull() | (at > F.col("__cleared")), path)
-        bound = cleared
     return bound.select(*[c for c in trace.columns if c != "path"], F.when(real, path).alias("resolved_path"))
 
 
+def _with_last_clear(rows: DataFrame, trace: DataFrame, clears: DataFrame, time: str, widths: Sequence[int]) -> DataFrame:
+    """Add ``__cleared``: the newest clear of the host up to each row.
+
+    Clears are few and are kept per host and chunk of time; only chunks, not rows, are scanned for what came before.
+    """
+    chunk = (F.col(time) - F.pmod(F.col(time), F.lit(widths[0]))).alias("__c")
+    seen = trace.select("host", chunk).distinct().select("host", "__c", F.lit(None).cast("bigint").alias("__t"))
+    both = seen.unionByName(clears.select("host", chunk, F.col(time).alias("__t")))
+    per_chunk = both.groupBy("host", "__c").agg(F.array_sort(F.collect_list("__t")).alias("__marks"), F.max("__t").alias("__newest"))
+    carried = running(per_chunk, ["host"], ["__c"], {"__earlier": ("max", F.col("__newest"))}, widths[1:], inclusive=False)
+    joined = rows.withColumn("__c", chunk).join(carried.select("host", "__c", "__marks", "__earlier"), ["host", "__c"], "left")
+    within = F.array_max(F.filter("__marks", lambda m: m <= F.col(time)))
+    return joined.withColumn("__cleared", F.coalesce(within, "__earlier"))
+
+
 def resolve_accounts(rows: DataFrame, local: DataFrame, translated: DataFrame, sid: str = "sid") -> DataFrame:
     """Account name of a SID: the local session name, else the translated one, else the SID itself.
 

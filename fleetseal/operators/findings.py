@@ -91,6 +91,76 @@ def service_events(rows: DataFrame, event_id: int, fields: dict[str, Column]) ->
     return _envelope(rows, F.lit(event_id), F.lit(record_type), identity, mapped)
 
 
+def coverage_gaps(rows: DataFrame) -> DataFrame:
+    """Gap records of (host, t_ms, source, scope, reason, lost_count) rows."""
+    return service_events(rows, 7791, {"source": F.col("source"), "scope": F.col("scope"), "reason": F.col("reason"),
+                                       "lostCount": F.col("lost_count")})
+
+
+def recoveries(rows: DataFrame) -> DataFrame:
+    """Recovery records of (host, t_ms, source, scope, action) rows."""
+    return service_events(rows, 7792, {"source": F.col("source"), "scope": F.col("scope"), "action": F.col("action")})
+
+
+def sink_failures(rows: DataFrame) -> DataFrame:
+    """Sink failure records of (host, t_ms, sink, reason, attempt) rows."""
+    return service_events(rows, 7793, {"sink": F.col("sink"), "reason": F.col("reason"), "attempt": F.col("attempt")})
+
+
+def configuration_changes(rows: DataFrame) -> DataFrame:
+    """Configuration records of (host, t_ms, previous_scope_hash, new_scope_hash) rows, one per changed generation."""
+    return service_events(rows, 7794, {"previousScopeHash": F.col("previous_scope_hash"), "newScopeHash": F.col("new_scope_hash")})
+
+
+def integrity_unavailable(rows: DataFrame) -> DataFrame:
+    """Records of (host, t_ms, scope, reason, fallback_algorithm): a run had to use its fallback algorithm."""
+    return service_events(rows, 7798, {"scope": F.col("scope"), "reason": F.col("reason"), "fallbackAlgorithm": F.col("fallback_algorithm")})
+
+
+def overdue_records(transitions: DataFrame, source: Column) -> DataFrame:
+    """Gap and recovery records of overdue transitions."""
+    named = transitions.withColumns({"source": source, "scope": F.lit(""), "lost_count": F.lit(0), "action": F.col("reason")})
+    return unify(coverage_gaps(named.filter("record_type = 'CoverageGap'")), recoveries(named.filter("record_type = 'SourceRecovered'")))
+
+
+# Heartbeat fields in the order they are written, and the column each one reads.
+HEARTBEAT_FIELDS = {
+    "queueDepth": "queue_depth", "oldestItemAgeMs": "oldest_item_age_ms", "accepted": "accepted", "processed": "processed",
+    "dropped": "dropped", "enrichmentFailures": "enrichment_failures",
+    "fileSystemSnapshotRunning": "file_running", "fileSystemSnapshotFailures": "file_failures",
+    "fileSystemSnapshotLastSuccess": "file_last_success_ms", "fileSystemSnapshotLastDurationMs": "file_last_duration_ms",
+    "registrySnapshotRunning": "registry_running", "registrySnapshotFailures": "registry_failures",
+    "registrySnapshotLastSuccess": "registry_last_success_ms", "registrySnapshotLastDurationMs": "registry_last_duration_ms",
+    "eventOutboxPending": "pending", "eventOutboxOldestAgeMs": "oldest_age_ms",
+    "databaseBytes": "database_bytes", "databaseVolumeFreeBytes": "database_volume_free_bytes",
+}
+
+
+def heartbeats(beats: DataFrame, snapshots: DataFrame | None = None, backlog: DataFrame | None = None,
+               storage: DataFrame | None = None) -> DataFrame:
+    """Heartbeat records with all eighteen metrics.
+
+    ``beats`` is (host, t_ms, counters), ``snapshots`` the current run health per (host, source), ``backlog`` and
+    ``storage`` one row per host. What is not given stays empty.
+    """
+    joined = beats
+    if snapshots is not None:
+        per_host = snapshots.groupBy("host").agg(*[
+            F.max(F.when(F.col("source") == source, F.col(column))).alias(f"{prefix}_{name}")
+            for source, prefix in (("FileSystem", "file"), ("Registry", "registry"))
+            for column, name in (("running", "running"), ("consecutive_failures", "failures"), ("last_success_ms", "last_success_ms"),
+                                 ("last_duration_ms", "last_duration_ms"))])
+        joined = joined.join(per_host, "host", "left")
+    for other in (backlog, storage):
+        if other is not None:
+            joined = joined.join(other, "host", "left")
+    values = {}
+    for name, column in HEARTBEAT_FIELDS.items():
+        value = F.col(column) if column in joined.columns else F.lit(None)
+        values[name] = E.iso_timestamp(value.cast("bigint")) if name.endswith("LastSuccess") else value
+    return service_events(joined, 7790, values)
+
+
 def unify(*streams: DataFrame) -> DataFrame:
     """All findings in one envelope stream."""
     return reduce(lambda a, b: a.unionByName(b), [s.select(*ENVELOPE) for s in streams])

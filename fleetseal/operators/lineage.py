@@ -94,13 +94,26 @@ def lifecycle_violations(log: DataFrame, key: str, order: Sequence[str], widths:
 
 
 def run_health(runs: DataFrame, keys: Sequence[str], order: Sequence[str], success: Column, failure: Column,
-               widths: Sequence[int] = DEFAULT_WIDTHS) -> DataFrame:
-    """After each run: consecutive failures since the last success, and the time of that success.
+               duration: Column | None = None, widths: Sequence[int] = DEFAULT_WIDTHS) -> DataFrame:
+    """After each run: consecutive failures since the last success, and time and duration of that success.
 
-    ``order[0]`` is the time of the run.
+    ``order[0]`` is the time of the run. A run that is neither success nor failure is still going.
     """
     failed = F.when(failure, 1).otherwise(0).cast("bigint")
-    return running(runs, keys, order, {
+    scans = {
         "consecutive_failures": Scan("since", failed, reset=success),
         "last_success_ms": Scan("max", F.when(success, F.col(order[0]))),
-    }, widths)
+    }
+    if duration is not None:
+        scans["last_duration_ms"] = Scan("last", F.when(success, duration))
+    return running(runs, keys, order, scans, widths).withColumn(
+        "running", ~(F.coalesce(success, F.lit(False)) | F.coalesce(failure, F.lit(False))))
+
+
+def current_run_health(runs: DataFrame, keys: Sequence[str], order: Sequence[str], success: Column, failure: Column,
+                       duration: Column | None = None, widths: Sequence[int] = DEFAULT_WIDTHS) -> DataFrame:
+    """State after the newest run of each key."""
+    states = run_health(runs, keys, order, success, failure, duration, widths)
+    columns = [c for c in ("running", "consecutive_failures", "last_success_ms", "last_duration_ms") if c in states.columns]
+    newest = states.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__s"))
+    return newest.select(*keys, "__s.*")

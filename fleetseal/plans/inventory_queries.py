@@ -159,11 +159,13 @@ def lifecycle_conformance(t):
       max(CASE WHEN status = 'Complete' THEN completed_ms END) OVER w AS last_success_ms FROM {baselines}
     WINDOW w AS (PARTITION BY source ORDER BY completed_ms, id ROWS UNBOUNDED PRECEDING))
   SELECT id, cast(sum(CASE WHEN status = 'Invalid' THEN 1 ELSE 0 END) OVER (PARTITION BY source, island ORDER BY completed_ms, id
-    ROWS UNBOUNDED PRECEDING) AS bigint) AS consecutive_failures, last_success_ms FROM c""")
+    ROWS UNBOUNDED PRECEDING) AS bigint) AS consecutive_failures, last_success_ms, status = 'Building' AS running,
+    last_value(CASE WHEN status = 'Complete' THEN id % 97 END IGNORE NULLS) OVER (PARTITION BY source ORDER BY completed_ms, id
+    ROWS UNBOUNDED PRECEDING) AS last_duration_ms FROM c""")
 def run_health_state(t):
     health = lineage.run_health(t.baselines, ["source"], ["completed_ms", "id"],
-                                F.col("status") == "Complete", F.col("status") == "Invalid", MONTHS)
-    return health.select("id", "consecutive_failures", "last_success_ms")
+                                F.col("status") == "Complete", F.col("status") == "Invalid", F.col("id") % 97, MONTHS)
+    return health.select("id", "consecutive_failures", "last_success_ms", "running", "last_duration_ms")
 
 
 @query("""

@@ -219,19 +219,26 @@ def discover(found: DataFrame, area: Scope, projection: DataFrame) -> tuple[Data
     return changed, discovery.statistics(marks, F.coalesce("__kept", F.lit(False)), ["host"])
 
 
-def health_report(log: DataFrame, store: StateStore, as_of_ms: int, interval_ms: int = health.HEARTBEAT_MS) -> DataFrame:
-    """Heartbeat and coverage records of a pipeline log, as findings."""
+def health_report(log: DataFrame, store: StateStore, as_of_ms: int, interval_ms: int = health.HEARTBEAT_MS,
+                  snapshots: DataFrame | None = None, storage: DataFrame | None = None, settings: DataFrame | None = None,
+                  checks: DataFrame | None = None, snapshot_interval_ms: int = 21_600_000) -> DataFrame:
+    """Heartbeat, gap, recovery and configuration records of a pipeline log, as findings.
+
+    ``snapshots`` is run health per (host, source), ``settings`` the generation changes with ``t_ms``, ``checks`` the
+    inventory checks of :func:`fleetseal.operators.health.overdue_transitions` per (host, source).
+    """
     counters = health.pipeline_counters(log, interval_ms)
-    waiting = outbox.backlog(pipelines.current_outbox(store), as_of_ms)
-    beats = counters.join(waiting, "host", "left").withColumn("t_ms", F.col("window_ms") + interval_ms)
-    heartbeat = findings.service_events(beats, 7790, {
-        "queueDepth": F.col("queue_depth"), "accepted": F.col("accepted"), "processed": F.col("processed"), "dropped": F.col("dropped"),
-        "enrichmentFailures": F.col("enrichment_failures"), "eventOutboxPending": F.coalesce("pending", F.lit(0)),
-        "eventOutboxOldestAgeMs": F.coalesce("oldest_age_ms", F.lit(0))})
-    lost = beats.filter("dropped > 0")
-    gaps = findings.service_events(lost, 7791, {
-        "source": F.lit("FileSystemWatcher"), "scope": F.lit("ConfiguredPaths"), "reason": F.lit("CaptureQueueFull"), "lostCount": F.col("dropped")})
-    return findings.unify(heartbeat, gaps)
+    beats = counters.withColumn("t_ms", F.col("window_ms") + interval_ms)
+    records = [findings.heartbeats(beats, snapshots, outbox.backlog(pipelines.current_outbox(store), as_of_ms), storage)]
+    records.append(findings.coverage_gaps(beats.filter("dropped > 0").withColumns({
+        "source": F.lit("FileSystemWatcher"), "scope": F.lit("ConfiguredPaths"), "reason": F.lit("CaptureQueueFull"),
+        "lost_count": F.col("dropped")})))
+    if checks is not None:
+        moved = health.overdue_transitions(checks, ["host", "source"], ["t_ms"], snapshot_interval_ms)
+        records.append(findings.overdue_records(moved, F.concat("source", F.lit("Snapshot"))))
+    if settings is not None:
+        records.append(findings.configuration_changes(settings))
+    return findings.unify(*records)
 
 
 def migrate(legacy_baselines: DataFrame, legacy_changes: DataFrame, store: StateStore) -> int:
@@ -249,8 +256,10 @@ def collect_member_segments(store: StateStore) -> int:
     return store.commit(keep={"members": [s for s in store.segments("members") if s in needed]})
 
 
-def run_on_batches(notify: Callable[[DataFrame], DataFrame]) -> Callable[[StateStore, DataFrame, int], None]:
+def run_on_batches(notify: Callable[[DataFrame], DataFrame],
+                   write_changes: Callable[[StateStore, DataFrame, int], None] = pipelines.write_file_changes,
+                   ) -> Callable[[StateStore, DataFrame, int], None]:
     """A writer for :func:`fleetseal.streaming.pipelines.start_projection` that first turns raw rows into changes."""
     def write(store: StateStore, batch: DataFrame, batch_id: int) -> None:
-        pipelines.write_file_changes(store, notify(batch), batch_id)
+        write_changes(store, notify(batch), batch_id)
     return write

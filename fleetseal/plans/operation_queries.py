@@ -143,3 +143,34 @@ def peak_queue_depth(t):
   SELECT host, source, run_number, min(t_ms) AS first_ms, arg_min(reason, t_ms) AS reason, count(*) AS requests FROM n GROUP BY host, source, run_number""")
 def request_coalescing(t):
     return health.coalesce_requests(t.requests, t.run_starts, widths=SCAN)
+
+
+@query("""
+  WITH c AS (SELECT host, t_ms, started_ms, max(success_ms) OVER (PARTITION BY host ORDER BY t_ms) AS last_success_ms FROM {checks}),
+  o AS (SELECT host, t_ms, CASE WHEN last_success_ms IS NOT NULL THEN t_ms - last_success_ms > 40000 ELSE t_ms - started_ms > 20000 END AS overdue FROM c),
+  e AS (SELECT *, coalesce(lag(overdue) OVER (PARTITION BY host ORDER BY t_ms), false) AS was FROM o)
+  SELECT host, CASE WHEN overdue THEN 7791 ELSE 7792 END AS event_id, t_ms AS occurred_ms, 'FileSystemSnapshot' AS source,
+    CASE WHEN overdue THEN 'BaselineOverdue' END AS reason, CASE WHEN NOT overdue THEN 'BaselineCurrent' END AS action FROM e WHERE overdue <> was
+  UNION ALL SELECT host, 7791, t_ms, 'RegistryETW', 'EventsLost', NULL FROM (SELECT host, t_ms, events_lost,
+    coalesce(lag(events_lost) OVER (PARTITION BY host ORDER BY beat), 0) AS b FROM {heartbeats}) x WHERE events_lost > b""")
+def coverage_records(t):
+    moved = health.overdue_transitions(t.checks, ["host"], ["t_ms"], 20_000, SCAN)
+    lost = health.loss_deltas(t.heartbeats, ["host"], ["beat"], "events_lost", BEATS).withColumns({
+        "source": F.lit("RegistryETW"), "scope": F.lit("ConfiguredRegistryKeys"), "reason": F.lit("EventsLost")})
+    f = F.col("fields")
+    return findings.unify(findings.overdue_records(moved, F.lit("FileSystemSnapshot")), findings.coverage_gaps(lost)).select(
+        "host", "event_id", "occurred_ms", f["source"].alias("source"), f["reason"].alias("reason"), f["action"].alias("action"))
+
+
+@query("""
+  WITH w AS (SELECT host, t_ms - t_ms % 60000 AS window_ms, count(*) FILTER (kind = 'accepted') AS accepted, count(*) FILTER (kind = 'processed') AS processed,
+    count(*) FILTER (kind = 'dropped') AS dropped, count(*) FILTER (kind = 'failed') AS failures FROM {pipeline_log} GROUP BY ALL),
+  b AS (SELECT host, count(*) FILTER (delivered_ms IS NULL) AS pending FROM {outbox} GROUP BY host)
+  SELECT host, window_ms + 60000 AS occurred_ms, cast(sum(accepted - processed - failures) OVER (PARTITION BY host ORDER BY window_ms) AS varchar) AS queue_depth,
+    cast(dropped AS varchar) AS dropped, cast(pending AS varchar) AS pending, cast(18 AS integer) AS metrics FROM w JOIN b USING (host)""")
+def heartbeat_records(t):
+    beats = health.pipeline_counters(t.pipeline_log, widths=SCAN).withColumn("t_ms", F.col("window_ms") + 60_000)
+    f = F.col("fields")
+    return findings.heartbeats(beats, backlog=outbox.backlog(t.outbox, AS_OF)).select(
+        "host", "occurred_ms", f["queueDepth"].alias("queue_depth"), f["dropped"].alias("dropped"), f["eventOutboxPending"].alias("pending"),
+        F.size(f).alias("metrics"))

@@ -213,3 +213,26 @@ def settings_changes(t):
   HAVING count(s.scope) = 0 OR count(s.scope) > 64 OR bool_or(s.scope LIKE '%*%')""")
 def attribution_scope_validation(t):
     return settings.validate_attribution_scopes(t.audit_scopes, t.audit_switches)
+
+
+@query("""
+  WITH l AS (SELECT 'host' || c.c_nationkey AS host, CASE v.row_id % 4 WHEN 0 THEN 'MonitoredPaths' WHEN 1 THEN 'ExcludedPaths' WHEN 2 THEN 'MonitoredKeys'
+      ELSE 'ExcludedKeys' END AS list_name, CASE WHEN v.row_id % 4 < 2 THEN v.path_value ELSE v.key_value END AS value, v.row_id
+    FROM {settings_values} v JOIN customer c ON c.c_custkey = v.row_id WHERE c.c_nationkey <> 3),
+  r AS (SELECT host, list_name, value, CASE WHEN list_name LIKE 'Excluded%' AND value = '' THEN NULL
+      WHEN value = '' THEN 'must not be empty'
+      WHEN list_name LIKE '%Paths' THEN CASE WHEN value LIKE 'relative%' THEN 'must be an absolute path' WHEN value LIKE '%?%' THEN
+        'only a whole-segment ''*'' wildcard is supported' WHEN value LIKE '%*%' THEN '''*'' must occupy one complete path segment' END
+      ELSE CASE WHEN value LIKE '%*%' THEN 'wildcards are not supported' WHEN value LIKE 'HKLM%' THEN 'must start with a supported full hive name'
+        WHEN list_name = 'ExcludedKeys' AND lower(value) LIKE '%software%' THEN 'covers the protected configuration key' END END AS reason FROM l)
+  SELECT host, list_name, value, reason FROM r WHERE reason IS NOT NULL
+  UNION ALL SELECT 'host3', 'MonitoredPaths', NULL, 'must contain at least one value' UNION ALL SELECT 'host3', 'MonitoredKeys', NULL, 'must contain at least one value'""")
+def settings_list_validation(t):
+    named = t.settings_values.join(t.customer.select(F.col("c_custkey").alias("row_id"), "c_nationkey"), "row_id")
+    kind = F.col("row_id") % 4
+    lists = named.filter("c_nationkey <> 3").select(
+        F.concat(F.lit("host"), F.col("c_nationkey").cast("string")).alias("host"),
+        F.when(kind == 0, "MonitoredPaths").when(kind == 1, "ExcludedPaths").when(kind == 2, "MonitoredKeys").otherwise("ExcludedKeys").alias("list_name"),
+        F.when(kind < 2, F.col("path_value")).otherwise(F.col("key_value")).alias("value"))
+    hosts = t.nation.select(F.concat(F.lit("host"), F.col("n_nationkey").cast("string")).alias("host"))
+    return settings.validate(lists, hosts)

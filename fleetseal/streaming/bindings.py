@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fleetseal.operators.attribution import LOOKBACK_MS
+
 
 class _LatestBinding(StatefulProcessor):
     def __init__(self, keys: Sequence[str], lifetime_ms: int | None):
@@ -56,3 +58,38 @@ def latest_binding(operations: DataFrame, keys: Sequence[str], lifetime_ms: int
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq bigint, found string"
     return ranked.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_LatestBinding(keys, lifetime_ms), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def handle_uses(operations: DataFrame) -> DataFrame:
+    """Live handle resolution from (host, handle, seq, t_ms, op, path) with op create, delete or use."""
+    ops = operations.filter("handle <> 0").select(
+        "host", "handle", "seq", "t_ms",
+        F.when(F.col("op") == "create", "bind").when(F.col("op") == "delete", "unbind").otherwise("use").alias("op"),
+        F.col("path").alias("value"))
+    return latest_binding(ops.filter("op <> 'bind' OR value <> ''"), ["host", "handle"])
+
+
+def process_uses(trace: DataFrame) -> DataFrame:
+    """Live process instances: starts and rundowns bind (host, process id, sequence), stops unbind, file activity uses.
+
+    Rows without a sequence name no instance and are left out.
+    """
+    opcode = F.col("opcode")
+    lifecycle = F.upper("task") == "PROCESS"
+    op = (F.when(lifecycle & opcode.isin("Start", "DCStart"), "bind").when(lifecycle & (opcode == "Stop"), "unbind")
+          .when(F.upper("task") == "FILEIO", "use"))
+    ops = trace.filter("process_sequence_number IS NOT NULL").select(
+        "host", "process_id", F.col("process_sequence_number").cast("string").alias("process_sequence_number"), "seq", "t_ms",
+        op.alias("op"), F.col("process_name").alias("value")).filter("op IS NOT NULL")
+    return latest_binding(ops, ["host", "process_id", "process_sequence_number"])
+
+
+def file_uses(activity: DataFrame, notifications: DataFrame, lifetime_ms: int = LOOKBACK_MS) -> DataFrame:
+    """Live file attribution: the newest activity on the path of each notification, unless it is older than the lifetime.
+
+    ``activity`` is (host, path, seq, t_ms, process_name), ``notifications`` is (host, full_path, seq, t_ms).
+    """
+    bound = activity.select("host", F.upper("path").alias("path_key"), "seq", "t_ms", F.lit("bind").alias("op"), F.col("process_name").alias("value"))
+    used = notifications.select("host", F.upper("full_path").alias("path_key"), "seq", "t_ms", F.lit("use").alias("op"),
+                                F.lit(None).cast("string").alias("value"))
+    return latest_binding(bound.unionByName(used), ["host", "path_key"], lifetime_ms)

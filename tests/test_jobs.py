@@ -145,6 +145,13 @@ def test_audit_health_discovery_and_migration(spark, tmp_path):
     report = jobs.health_report(log, store, 1000).collect()
     assert sorted((r.record_type, r.fields.get("lostCount"), r.fields.get("eventOutboxPending")) for r in report) == [
         ("CoverageGap", "1", None), ("Health", None, "1")]
+    assert all(len(r.fields) == 18 for r in report if r.record_type == "Health")
+    state = spark.createDataFrame([("h", "FileSystem", True, 2, 1000, 5)], "host string, source string, running boolean, consecutive_failures bigint, last_success_ms bigint, last_duration_ms bigint")
+    checks = spark.createDataFrame([("h", "FileSystem", t, None, 0) for t in (5, 50)], "host string, source string, t_ms bigint, success_ms bigint, started_ms bigint")
+    moved = spark.createDataFrame([("h", 9, "a", "b")], "host string, t_ms bigint, previous_scope_hash string, new_scope_hash string")
+    full = jobs.health_report(log, store, 1000, snapshots=state, settings=moved, checks=checks, snapshot_interval_ms=10)
+    assert sorted(str((r.event_id, r.fields.get("reason"), r.fields.get("fileSystemSnapshotFailures"))) for r in full.collect()) == [
+        "(7790, None, '2')", "(7791, 'BaselineOverdue', None)", "(7791, 'CaptureQueueFull', None)", "(7794, None, None)"]
     found = spark.createDataFrame([("h", "C:/w/new", 32, "A"), ("h", "C:/w/old", 32, "B"), ("h", "C:/w/sys", 4, "C"), ("h", "D:/x", 32, "D")],
                                   "host string, path string, attributes int, content_hash string")
     known = spark.createDataFrame([("h", "c:/W/OLD", "B")], "host string, entity string, content_hash string")

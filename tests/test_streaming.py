@@ -168,3 +168,18 @@ def test_commits_are_atomic(spark, tmp_path):
     assert store.read("a").count() == 3
     with pytest.raises(LookupError):
         store.read("missing")
+
+
+def test_live_processes_and_file_activity(spark, tmp_path):
+    data = [("h", "Process", "Start", 4, 100, 1, 0, "first.exe", None), ("h", "FileIO", "Write", 4, 100, 2, 5, "", "C:/a"), ("h", "Process", "Stop", 4, 100, 3, 6, "", None),
+            ("h", "FileIO", "Write", 4, 100, 4, 7, "", "C:/a"), ("h", "FileIO", "Write", 4, 99, 5, 8, "", "C:/a"), ("h", "FileIO", "Write", 4, None, 6, 9, "", "C:/a")]
+    trace = spark.createDataFrame(data, "host string, task string, opcode string, process_id int, process_sequence_number bigint, seq bigint, t_ms bigint, process_name string, path string")
+    got = drain(bindings.process_uses(as_stream(trace, tmp_path, "trace", 1)), tmp_path, "procs")
+    assert rows(got, "seq", "found") == [(2, "first.exe"), (4, None), (5, None)]
+    seen = spark.createDataFrame([("h", "c:/A", 7, 3), ("h", "C:/z", 8, 3)], "host string, full_path string, seq bigint, t_ms bigint")
+    io = trace.filter("seq = 2").withColumns({"process_name": F.lit("x"), "t_ms": F.lit(1).cast("bigint")})
+    both = drain(bindings.file_uses(as_stream(io, tmp_path, "io", 1), as_stream(seen, tmp_path, "seen", 1)), tmp_path, "uses")
+    assert rows(both, "seq", "found") == [(7, "x"), (8, None)]
+    handles = spark.createDataFrame([("h", 0, 1, 1, "create", "Z"), ("h", 0, 2, 2, "use", None), ("h", 5, 3, 3, "create", "K"), ("h", 5, 4, 4, "use", None)],
+                                    "host string, handle bigint, seq bigint, t_ms bigint, op string, path string")
+    assert rows(drain(bindings.handle_uses(as_stream(handles, tmp_path, "handles", 1)), tmp_path, "keys"), "seq", "found") == [(4, "K")]
