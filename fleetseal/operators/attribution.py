@@ -37,13 +37,17 @@ def attribute_files(notifications: DataFrame, activity: DataFrame, keys: Sequenc
 def attribution_fields(attributed: DataFrame) -> DataFrame:
     """Attribution columns of a file change from its ``io`` struct (status and reason as recorded with it)."""
     io = F.col("io")
+    present = attributed.schema["io"].dataType.fieldNames()
     status = F.coalesce(io["status"], F.lit("Unattributed"))
+    copied = {"process_id": "process_id", "process_sequence_number": "process_sequence_number", "username": "username",
+              "user_sid": "user_sid", "t_ms": "attribution_source_ms"}
     return attributed.select(
         *[c for c in attributed.columns if c != "io"],
         status.alias("attribution_status"), F.lit("KernelETWProcessSequence").alias("attribution_method"),
         F.when(status == "Attributed", "High").otherwise("None").alias("attribution_confidence"),
         F.when(io.isNull(), "NoCorrelatedFileEvent").otherwise(io["missing_reason"]).alias("attribution_missing_reason"),
-        io["process_name"].alias("process_name"))
+        io["process_name"].alias("process_name"),
+        *[io[field].alias(name) for field, name in copied.items() if field in present and name not in attributed.columns])
 
 
 def registry_attribution(status: Column) -> dict[str, Column]:
@@ -75,15 +79,17 @@ def rundown_times(lifecycle: DataFrame) -> DataFrame:
 
 
 def resolve_process(activity: DataFrame, instances: DataFrame, keys: Sequence[str], pid: str = "pid",
-                    sequence: str = "seq", time: str = "t_ms", rundown: Column | None = None) -> DataFrame:
+                    sequence: str = "seq", time: str = "t_ms", rundown: Column | None = None,
+                    evidence: Sequence[str] = ()) -> DataFrame:
     """Attach the process instance alive at the time of the activity; a process id alone identifies nothing.
 
-    ``instances`` is (keys, pid, sequence, start_ms, end_ms, process_name), one row per instance.
+    ``instances`` is (keys, pid, sequence, start_ms, end_ms, process_name), one row per instance; ``evidence`` names
+    further columns to take from it. Without an instance the reported ``process_name`` of the activity stays.
     """
     done = F.lit(True) if rundown is None else rundown
     known = instances.select(
         *keys, pid, sequence, F.col("start_ms").alias("__start"), F.col("end_ms").alias("__end"),
-        F.col("process_name").alias("__name"))
+        F.col("process_name").alias("__name"), *[F.col(c).alias(f"__{c}") for c in evidence])
     joined = activity.join(known, [*keys, pid, sequence], "left")
     alive = F.coalesce((F.col("__start") <= F.col(time)) & (F.col("__end").isNull() | (F.col(time) < F.col("__end"))),
                        F.lit(False))
@@ -92,8 +98,10 @@ def resolve_process(activity: DataFrame, instances: DataFrame, keys: Sequence[st
               .when(alive, "Attributed").otherwise("Unavailable"))
     reason = (F.when(missing & ~done, "ProcessRundownMissing").when(missing, "ProcessSequenceNumberMissing")
               .when(~alive, "ProcessInstanceNotFound"))
-    return joined.select(*activity.columns, F.when(alive, F.col("__name")).alias("resolved_name"),
-                         status.alias("status"), reason.alias("missing_reason"))
+    reported = F.col("process_name") if "process_name" in activity.columns else F.lit(None).cast("string")
+    return joined.select(*activity.columns, F.when(alive, F.col("__name")).when(~missing, reported).alias("resolved_name"),
+                         status.alias("status"), reason.alias("missing_reason"),
+                         *[F.when(alive, F.col(f"__{c}")).alias(c) for c in evidence])
 
 
 def resolve_handles(trace: DataFrame, clears: DataFrame | None = None, order: Sequence[str] = ("seq",),

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetseal.functions.paths import (ancestors, container_keys, fs_identity, has_suffix, registry_ancestors,
-                                       root_key, trim_separator)
+from fleetseal.functions.paths import (ancestors, container_keys, fs_identity, has_suffix, in_scope,
+                                       registry_ancestors, root_key, trim_separator)
 from fleetseal.functions.registry import current_user_form
 
 
@@ -50,6 +50,27 @@ def filter_paths(df: DataFrame, path: str, monitored: DataFrame, excluded: DataF
     return _keep(candidates, path, found.filter("__in AND NOT __out"), "left_semi", host)
 
 
+# Up to this many roots a filter is a predicate in the scan stage; beyond it, a join.
+PREDICATE_ROOTS = 200
+
+
+def listed_roots(roots: DataFrame | None, limit: int = PREDICATE_ROOTS) -> list[str] | None:
+    """The roots as a list when there are at most ``limit`` of them, else None. Never fetches more than that."""
+    if roots is None:
+        return []
+    found = roots.select("root").distinct().limit(limit + 1).collect()
+    return None if len(found) > limit else sorted(r.root for r in found if r.root is not None)
+
+
+def select_paths(df: DataFrame, path: str, monitored: DataFrame, excluded: DataFrame | None = None,
+                 suffixes: Sequence[str] = (), limit: int = PREDICATE_ROOTS) -> DataFrame:
+    """:func:`filter_paths` for roots common to all hosts, as a predicate without any shuffle when the lists are short."""
+    inside, outside = listed_roots(monitored, limit), listed_roots(excluded, limit)
+    if inside is None or outside is None:
+        return filter_paths(df, path, monitored, excluded, suffixes)
+    return df.filter(in_scope(F.col(path), inside, outside, list(suffixes)))
+
+
 def prune_subtrees(df: DataFrame, path: str, containers: DataFrame, host: Sequence[str] = (),
                    keep_container: bool = False) -> DataFrame:
     """Drop everything below the containers (``root`` column), and the containers too unless they are kept.
@@ -86,6 +107,14 @@ def assign_scope(df: DataFrame, path: str, roots: DataFrame, into: str = "scope"
     return joined.select(*df.columns, F.coalesce("__scope", F.lit("")).alias(into))
 
 
+def assign_rename_scope(pairs: DataFrame, roots: DataFrame, host: Sequence[str] = ()) -> DataFrame:
+    """Scope of rename pairs: the root of the new path, else that of the old one, else ""."""
+    new = assign_scope(pairs, "new_path", roots, "__new_scope", host)
+    both = assign_scope(new, "old_path", roots, "__old_scope", host)
+    scope = F.coalesce(F.nullif("__new_scope", F.lit("")), F.col("__old_scope"))
+    return both.select(*pairs.columns, scope.alias("scope"))
+
+
 def _registry_keys(name: Column) -> Column:
     """(key, is_self) pairs a registry name can lie within, in its own and in its current-user spelling."""
     def spelled(text: Column) -> Column:
@@ -261,3 +290,10 @@ def source_identity(roots: DataFrame, column: str = "root") -> DataFrame:
     """Distinct, ordered, ``;``-joined identity of what a host's snapshot covers, from (host, root) rows."""
     key = F.upper(F.regexp_replace(F.col(column), r"\\+$", ""))
     return roots.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set(key)), ";").alias("source_identity"))
+
+
+def volume_identity(volumes: DataFrame, column: str = "volume") -> DataFrame:
+    """Distinct, ordered, ``;``-joined volume identities of a host's file snapshot, ignoring case but keeping a spelling."""
+    unique = volumes.groupBy("host", F.upper(F.col(column)).alias("__key")).agg(F.min(column).alias("__raw"))
+    listed = unique.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("__key", "__raw"))).alias("__all"))
+    return listed.select("host", F.array_join(F.transform("__all", lambda v: v["__raw"]), ";").alias("source_identity"))

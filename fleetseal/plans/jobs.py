@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetseal.functions import registry
+from fleetseal.functions.evidence import live_evidence_reason, live_evidence_status
 from fleetseal.functions.paths import has_suffix
 from fleetseal.operators import attribution, bursts, discovery, findings, health, inventory, lineage, migration, outbox, scope
 from fleetseal.operators.ordered import HOUR_MS
@@ -40,7 +41,7 @@ def scoped_files(members: DataFrame, area: Scope) -> DataFrame:
     """Members in scope; excluded directories and reparse points take what lies below them along."""
     kept = members
     if area.monitored is not None:
-        kept = scope.filter_paths(kept, "path", area.monitored, area.excluded, area.suffixes)
+        kept = scope.select_paths(kept, "path", area.monitored, area.excluded, area.suffixes)
     if area.suffixes:
         folders = members.filter((F.col("node_type") == 1) & has_suffix(F.col("path"), list(area.suffixes)))
         kept = scope.prune_subtrees(kept, "path", folders.select("host", F.col("path").alias("root")), ["host"])
@@ -143,31 +144,51 @@ def live_file_changes(notifications: DataFrame, activity: DataFrame, facts: Data
     windowed = notifications.withColumn("win", bursts.fixed_window(F.col("captured_ms")))
     kept = bursts.collapse(windowed, ["host", "win"]).withColumn("path_key", F.upper("full_path"))
     seen = kept.select("host", "path_key", F.col("captured_ms").alias("t_ms"), "seq", "full_path", "category", "old_path", "new_path", "scope")
-    io = activity.select("host", F.upper("path").alias("path_key"), "t_ms", F.col("seq").alias("io_seq"), "status", "missing_reason", "process_name")
-    found = attribution.attribution_fields(attribution.attribute_files(
-        seen, io, ["host", "path_key"], ["t_ms", "io_seq"], ["status", "missing_reason", "process_name"]))
+    more = [c for c in ("process_id", "process_sequence_number", "username", "user_sid") if c in activity.columns]
+    evidence = ["status", "missing_reason", "process_name", *more]
+    io = activity.select("host", F.upper("path").alias("path_key"), "t_ms", F.col("seq").alias("io_seq"), *evidence)
+    found = attribution.attribution_fields(attribution.attribute_files(seen, io, ["host", "path_key"], ["t_ms", "io_seq"], evidence))
     identity = F.sha2(F.concat_ws("|", "host", F.col("seq").cast("string"), "full_path"), 256)
     return (found.join(facts, ["host", "seq"], "left")
             .select("host", identity.alias("id"), "seq", "t_ms", F.col("full_path").alias("entity"), "full_path",
                     F.col("category").alias("change_category"), "old_path", "new_path",
                     F.coalesce("current_hash", F.lit("")).alias("current_hash"), "current_size_bytes",
                     F.coalesce("acls", F.lit("")).alias("acls"), F.coalesce("object_type", F.lit("Unknown")).alias("object_type"),
-                    "attribution_status", "attribution_method", "attribution_confidence", "attribution_missing_reason", "process_name"))
+                    "attribution_status", "attribution_method", "attribution_confidence", "attribution_missing_reason",
+                    "attribution_source_ms", "process_name", *more))
 
 
 def live_registry_changes(trace: DataFrame, included: DataFrame, excluded: DataFrame, own_pid: int = -2,
-                          clears: DataFrame | None = None, widths: Sequence[int] = (HOUR_MS, 1000 * HOUR_MS)) -> DataFrame:
-    """Changes of a batch of registry trace rows: handles resolved, named, in scope, categorised."""
+                          clears: DataFrame | None = None, facts: DataFrame | None = None,
+                          widths: Sequence[int] = (HOUR_MS, 1000 * HOUR_MS)) -> DataFrame:
+    """Changes of a batch of registry trace rows: handles resolved, named, in scope, categorised, with evidence.
+
+    ``facts`` is what was read at the key: (host, seq, kind, text_value, int_value, data, items, acls,
+    unavailable_reason, partial_reason).
+    """
     resolved = attribution.resolve_handles(tables.handle_operations(trace), clears, ["t_ms", "seq"], widths)
     named = attribution.registry_actors(tables.registry_names(resolved), "entity", own_pid)
     kept = scope.filter_registry(named, "entity", included, excluded)
+    category = registry.opcode_category(F.col("opcode"))
+    if facts is None:
+        evidence = {"acls": F.lit(""), "value_data": F.lit(None).cast("string"), "evidence_status": F.lit("Available"),
+                    "evidence_missing_reason": F.lit(None).cast("string")}
+    else:
+        kept = kept.join(facts, ["host", "seq"], "left")
+        shown = registry.render_value(F.col("kind"), F.col("text_value"), F.col("int_value"), F.col("data"), F.col("items"))
+        gone, partial = F.col("unavailable_reason"), F.col("partial_reason")
+        evidence = {
+            "acls": F.coalesce("acls", F.lit("")),
+            "value_data": F.when((category != "Deleted") & (F.col("value_name") != "") & gone.isNull(), shown),
+            "evidence_status": live_evidence_status(gone, partial),
+            "evidence_missing_reason": live_evidence_reason(partial, gone)}
     status = F.when(F.col("process_name").isNotNull(), "Attributed").otherwise("Unavailable")
     identity = F.sha2(F.concat_ws("|", "host", F.col("seq").cast("string"), "entity"), 256)
     return kept.select(
-        "host", identity.alias("id"), "seq", "t_ms", "entity", registry.opcode_category(F.col("opcode")).alias("change_category"),
+        "host", identity.alias("id"), "seq", "t_ms", "entity", category.alias("change_category"),
         registry.parse_hive(F.col("entity")).alias("hive"), registry.strip_full_name(F.col("entity"), F.col("value_name")).alias("key_name"),
-        "value_name", F.lit("").alias("acls"), "process_id", "process_name", status.alias("attribution_status"),
-        *[v.alias(k) for k, v in attribution.registry_attribution(status).items()])
+        "value_name", "process_id", "process_name", status.alias("attribution_status"), F.col("t_ms").alias("attribution_source_ms"),
+        *[v.alias(k) for k, v in {**evidence, **attribution.registry_attribution(status)}.items()])
 
 
 def publish_baseline_findings(store: StateStore, as_of_ms: int, limit: int = 500) -> int:
@@ -210,7 +231,7 @@ def discover(found: DataFrame, area: Scope, projection: DataFrame) -> tuple[Data
     ``found`` is (host, path, attributes, content_hash), ``projection`` is (host, entity, content_hash).
     """
     plain = found.filter(discovery.is_plain_file(F.col("attributes")))
-    scoped = scope.filter_paths(plain, "path", area.monitored, area.excluded, area.suffixes)
+    scoped = scope.select_paths(plain, "path", area.monitored, area.excluded, area.suffixes)
     fresh = discovery.new_entities(scoped, projection)
     keyed = fresh.withColumn("normalized_entity", F.upper("path"))
     known = projection.select("host", F.upper("entity").alias("normalized_entity"), "content_hash")

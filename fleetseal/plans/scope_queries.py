@@ -19,6 +19,15 @@ def path_scope_filter(t):
     return scope.filter_paths(t.scope_paths, "path", t.scope_monitored, t.scope_excluded, ["5", "7"])
 
 
+@query(f"""
+  SELECT doc_id, path FROM (SELECT doc_id, 'C:/Data/' || source || '/' || lang || '/doc' || doc_id AS path FROM documents) s
+  WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT 'c:/data/' || source AS root FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) r WHERE {_WITHIN})""")
+def listed_scope_filter(t):
+    paths_of = t.documents.select("doc_id", F.concat(F.lit("C:/Data/"), "source", F.lit("/"), "lang", F.lit("/doc"), F.col("doc_id").cast("string")).alias("path"))
+    roots = t.documents.join(t.labels.filter("toxic = 1"), "doc_id").select(F.concat(F.lit("c:/data/"), "source").alias("root"))
+    return scope.select_paths(paths_of, "path", roots)
+
+
 @query("""SELECT host, path FROM {members_curr} WHERE (upper(path) = 'C:/DATA/SRC1' OR starts_with(upper(path), 'C:/DATA/SRC1/')
     OR starts_with(upper(path), 'C:/DATA/SRC2/')) AND NOT starts_with(upper(path), 'C:/DATA/SRC2/EN/') AND NOT upper(path) LIKE '%7'""")
 def path_scope_predicate(t):
@@ -111,6 +120,26 @@ def source_identity(t):
     return scope.source_identity(t.host_roots)
 
 
+@query("""
+  SELECT host, string_agg(v, ';' ORDER BY upper(v)) AS source_identity FROM (
+    SELECT source AS host, min(v) AS v FROM (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'C:' || chr(92) || '|' || lang ELSE 'c:' || chr(92) || '|' || upper(lang) END AS v
+    FROM documents) d GROUP BY source, upper(v)) x GROUP BY host""")
+def volume_source_identity(t):
+    spelled = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("C:\\|"), "lang")).otherwise(F.concat(F.lit("c:\\|"), F.upper("lang")))
+    return scope.volume_identity(t.documents.select(F.col("source").alias("host"), spelled.alias("volume")))
+
+
+@query("""
+  WITH r AS (SELECT 'C:/U' || x AS root, 9 - x AS ordinal FROM (SELECT DISTINCT user_id % 5 AS x FROM events) e),
+  s AS (SELECT p.seq, (SELECT arg_min(r.root, r.ordinal) FROM r WHERE starts_with(p.new_path, r.root || '/')) AS n,
+    (SELECT arg_min(r.root, r.ordinal) FROM r WHERE starts_with(p.old_path, r.root || '/')) AS o FROM {rename_pairs} p)
+  SELECT seq, coalesce(n, o, '') AS scope FROM s""")
+def rename_scope(t):
+    roots = t.events.select((F.col("user_id") % 5).alias("x")).distinct().select(
+        F.concat(F.lit("C:/U"), F.col("x").cast("string")).alias("root"), (9 - F.col("x")).alias("ordinal"))
+    return scope.assign_rename_scope(t.rename_pairs, roots).select("seq", "scope")
+
+
 @query("""
   WITH required AS (SELECT DISTINCT host, 'HKEY_LOCAL_MACHINE' || chr(92) || 'HOUSEHOLD' AS root FROM {host_roots}
     UNION SELECT DISTINCT host, 'hkey_local_machine' || chr(92) || 'Software' FROM {host_roots}),

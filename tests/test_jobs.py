@@ -114,12 +114,12 @@ def test_live_file_changes(spark, tmp_path):
     notes = spark.createDataFrame([("h", 1, 100, "s", "C:/a", "Created", None, None), ("h", 2, 110, "s", "C:/A", "Changed", None, None),
                                    ("h", 3, 20_000, "s", "C:/b", "Deleted", None, None)],
                                   "host string, seq bigint, captured_ms bigint, scope string, full_path string, category string, old_path string, new_path string")
-    activity = spark.createDataFrame([("h", 1, 90, "c:/a", "Attributed", None, "x.exe")],
-                                     "host string, seq bigint, t_ms bigint, path string, status string, missing_reason string, process_name string")
+    activity = spark.createDataFrame([("h", 1, 90, "c:/a", "Attributed", None, "x.exe", "S-1")],
+                                     "host string, seq bigint, t_ms bigint, path string, status string, missing_reason string, process_name string, user_sid string")
     facts = spark.createDataFrame([("h", 1, "H", 5, "acl", "File")], "host string, seq bigint, current_hash string, current_size_bytes bigint, acls string, object_type string")
     got = jobs.live_file_changes(notes, activity, facts)
-    assert rows(got, "seq", "change_category", "process_name", "attribution_confidence", "attribution_missing_reason") == [
-        (1, "Created", "x.exe", "High", None), (3, "Deleted", None, "None", "NoCorrelatedFileEvent")]
+    assert rows(got, "seq", "change_category", "process_name", "attribution_confidence", "attribution_missing_reason", "user_sid", "attribution_source_ms") == [
+        (1, "Created", "x.exe", "High", None, "S-1", 90), (3, "Deleted", None, "None", "NoCorrelatedFileEvent", None, None)]
     store = StateStore(spark, f"{tmp_path}/state")
     jobs.run_on_batches(lambda batch: jobs.live_file_changes(batch, activity, facts))(store, notes, 0)
     assert rows(pipelines.read_projection(store), "normalized_entity") == [("C:/A",), ("C:/B",)]
@@ -132,6 +132,11 @@ def test_live_registry_changes(spark):
     got = jobs.live_registry_changes(trace, root("HKEY_LOCAL_MACHINE\\SW"), root("HKEY_LOCAL_MACHINE\\SW\\Skip"), widths=(10,))
     assert rows(got, "seq", "entity", "change_category", "key_name", "hive", "attribution_confidence") == [
         (2, "HKEY_LOCAL_MACHINE\\SW\\val", "Changed", "SW", "LocalMachine", "Low")]
+    facts = spark.createDataFrame([("h", 2, "DWord", None, 7, None, None, "acl", None, "SecurityException")],
+                                  "host string, seq bigint, kind string, text_value string, int_value bigint, data binary, items array<string>, acls string, "
+                                  "unavailable_reason string, partial_reason string")
+    known = jobs.live_registry_changes(trace, root("HKEY_LOCAL_MACHINE\\SW"), root("HKEY_LOCAL_MACHINE\\SW\\Skip"), facts=facts, widths=(10,))
+    assert rows(known, "value_data", "acls", "evidence_status", "evidence_missing_reason") == [("7", "acl", "Partial", "SecurityException")]
 
 
 def test_audit_health_discovery_and_migration(spark, tmp_path):

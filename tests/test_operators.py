@@ -203,6 +203,9 @@ def test_filter_paths_and_first_configured_scope(spark):
     df = spark.createDataFrame([("C:\\w\\a\\f.txt",), ("C:\\w\\b.tmp",), ("C:\\w\\x\\f",), ("D:\\f",)], "path string")
     monitored = spark.createDataFrame([("C:\\w\\a", 2), ("C:\\W", 1)], "root string, ordinal int")
     assert rows(scope.filter_paths(df, "path", monitored, roots(spark, "c:\\w\\X\\"), [".TMP"])) == [("C:\\w\\a\\f.txt",)]
+    excluded = roots(spark, "c:\\w\\X\\")
+    for limit in (1, 200):
+        assert rows(scope.select_paths(df, "path", monitored, excluded, [".TMP"], limit)) == [("C:\\w\\a\\f.txt",)]
     assert dict(rows(scope.assign_scope(df, "path", monitored))) == {"C:\\w\\a\\f.txt": "C:\\W", "C:\\w\\b.tmp": "C:\\W", "C:\\w\\x\\f": "C:\\W", "D:\\f": ""}
 
 
