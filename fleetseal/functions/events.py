@@ -130,9 +130,11 @@ def display_name(name: Column, known: Iterable[str] = (*FS_FIELDS, *REG_FIELDS))
 
 
 def iso_timestamp(ms: Column) -> Column:
-    """Round-trip UTC text with seven fractional digits."""
-    text = F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    return F.concat(text, F.lit("0000+00:00"))
+    """Round-trip UTC text with seven fractional digits, whatever the session's time zone."""
+    since_epoch = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor(ms / 1000).cast("decimal(18,6)"))
+    clock = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since_epoch).cast("string")
+    millis = F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0")
+    return F.concat(F.replace(F.substring(clock, 1, 19), F.lit(" "), F.lit("T")), F.lit("."), millis, F.lit("0000+00:00"))
 
 
 def render_event(schema_version: Column, event_id: Column, record_type: Column, occurred_ms: Column,
