@@ -104,25 +104,29 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: di
     scans = {n: v if isinstance(v, Scan) else Scan(v[0], v[1], inclusive) for n, v in values.items()}
     inputs = {f"__in_{n}": s.value for n, s in scans.items()}
     inputs |= {f"__reset_{n}": s.reset for n, s in scans.items() if s.how == "since"}
-    df_in = df.withColumns(inputs)
-    if not widths:
-        local = _local(df_in, scans, keys, order)
-        return local.withColumns({n: _finished(n, s, None) for n, s in scans.items()}).select(*df.columns, *scans)
+    # Keys that are never null let the join below compare with plain equality and so reuse the window's partitioning.
+    never_null = {f"__key{i}": _never_null(df, k) for i, k in enumerate(keys)}
+    return _running(df.withColumns({**inputs, **never_null}), list(never_null), order, scans, widths).select(*df.columns, *scans)
+
+
+def _never_null(df: DataFrame, key: str) -> Column:
+    text = F.col(key) if dict(df.dtypes)[key] == "string" else F.col(key).cast("string")
+    return F.coalesce(text, F.lit("\u0000null"))
 
+
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[str, Scan], widths: Sequence[int]) -> DataFrame:
+    if not widths:
+        return _local(df, scans, keys, order).withColumns({n: _finished(n, s, None) for n, s in scans.items()})
     time, width, level = F.col(order[0]), F.lit(widths[0]), f"__chunk{len(widths)}"
-    chunked = df_in.withColumn(level, time - F.pmod(time, width))
+    chunked = df.withColumn(level, F.coalesce(time - F.pmod(time, width), F.lit(-(2**63))))
     local = _local(chunked, scans, [*keys, level], order)
     totals = _totals(chunked, scans, [*keys, level], order)
-    carried = running(totals, keys, [level], {
-        f"__carry_{n}": Scan(s.how, F.col(f"__total_{n}"), False, F.col(f"__had_{n}") if s.how == "since" else None)
-        for n, s in scans.items()}, widths[1:])
-    right = carried.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(level).alias("__kc"), *[f"__carry_{n}" for n in scans])
-    on = local[level].eqNullSafe(right["__kc"])
-    for i, k in enumerate(keys):
-        on = on & local[k].eqNullSafe(right[f"__k{i}"])
-    joined = local.join(right, on, "left")
-    return joined.withColumns({n: _finished(n, s, F.col(f"__carry_{n}")) for n, s in scans.items()}).select(*df.columns, *scans)
+    carries = {f"__carry_{n}": Scan(s.how, s.value, False, s.reset) for n, s in scans.items()}
+    renamed = {f"__in___carry_{n}": F.col(f"__total_{n}") for n in scans}
+    renamed |= {f"__reset___carry_{n}": F.col(f"__had_{n}") for n, s in scans.items() if s.how == "since"}
+    carried = _running(totals.select(*keys, level, *[c.alias(n) for n, c in renamed.items()]), keys, [level], carries, widths[1:])
+    joined = local.join(carried.select(*keys, level, *carries), [*keys, level], "left")
+    return joined.withColumns({n: _finished(n, s, F.col(f"__carry_{n}")) for n, s in scans.items()})
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], into: str,
@@ -170,7 +174,10 @@ def as_of_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ti
               .withColumn("__chunk", F.col("__chunk") + 1))
     joined = local.join(newest, [*keys, "__chunk"], "left")
     found = F.coalesce(F.col("__near"), F.col("__before"))
-    found = F.when(found["__rt"] >= F.col("__t") - (back + ahead), found)
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    found = F.when(named & (found["__rt"] >= F.col("__t") - (back + ahead)), found)
     struct = F.struct(*[(found["__rt"] if c == right_time else found[c]).alias(c) for c in
                         dict.fromkeys([*right_order, *right_columns])])
     return joined.select(

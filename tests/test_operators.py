@@ -161,7 +161,7 @@ def test_lifecycle_and_run_health(spark):
                                 "b string, t bigint, status string")
     assert rows(lineage.lifecycle_violations(log, "b", ["t"], (2,)), "b", "t", "previous_status") == [("a", 2, "Building")]
     runs = spark.createDataFrame([("s", t, ok) for t, ok in enumerate([False, False, True, False, False, False])], "s string, t bigint, ok boolean")
-    got = lineage.run_health(runs, ["s"], ["t"], F.col("ok"), ~F.col("ok"), (2, 4))
+    got = lineage.run_health(runs, ["s"], ["t"], F.col("ok"), ~F.col("ok"), widths=(2, 4))
     assert rows(got, "t", "consecutive_failures", "last_success_ms") == [(0, 1, None), (1, 2, None), (2, 0, 2), (3, 1, 2), (4, 2, 2), (5, 3, 2)]
 
 
