@@ -51,12 +51,10 @@ def diff(previous: DataFrame | None, current: DataFrame, keys: Sequence[str] = I
     if previous is None:
         previous, current = current.limit(0), current.limit(0)
     after = F.col("__after")
+    side = F.struct("path", "fingerprint")
     both = _stack(previous, current, keys).groupBy(*keys).agg(
         F.count_if(~after).alias("n_before"), F.count_if(after).alias("n_after"),
-        F.max(F.when(~after, F.col("path"))).alias("before_path"),
-        F.max(F.when(after, F.col("path"))).alias("after_path"),
-        F.max(F.when(~after, F.col("fingerprint"))).alias("before_print"),
-        F.max(F.when(after, F.col("fingerprint"))).alias("after_print"))
+        F.max(F.when(~after, side)).alias("before"), F.max(F.when(after, side)).alias("after"))
     repeated = (F.col("n_before") > 1) | (F.col("n_after") > 1)
     if on_duplicate == "raise":
         message = F.concat(F.lit("an inventory cannot contain duplicate identities: "), F.col(keys[-1]))
@@ -67,11 +65,9 @@ def diff(previous: DataFrame | None, current: DataFrame, keys: Sequence[str] = I
         duplicate,
         F.when(F.col("n_before") == 0, "Created")
         .when(F.col("n_after") == 0, "Deleted")
-        .when(F.col("before_print") != F.col("after_print"), "Changed"))
-    return both.select(
-        *keys, change.alias("change"),
-        F.when(F.col("n_before") > 0, F.col("before_path")).alias("old_path"),
-        F.when(F.col("n_after") > 0, F.col("after_path")).alias("new_path")).filter("change IS NOT NULL")
+        .when(F.col("before.fingerprint") != F.col("after.fingerprint"), "Changed"))
+    return both.select(*keys, change.alias("change"), F.col("before.path").alias("old_path"),
+                       F.col("after.path").alias("new_path")).filter("change IS NOT NULL")
 
 
 def flag_suspect_deletions(changes: DataFrame, current: DataFrame) -> DataFrame:

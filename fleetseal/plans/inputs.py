@@ -260,8 +260,9 @@ class Inputs:
     def streaming(self, table: str) -> Inputs:
         """The same inputs with one given table read as a stream of its files."""
         schema = getattr(self, table).schema
-        stream = (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-                  .option("maxFilesPerTrigger", "1").parquet(self.directory))
+        # The trailing star makes this a pattern, which covers a single file as well as a folder of part files.
+        stream = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", "1")
+                  .parquet(f"{self.directory}/{table}.parquet*"))
         return Inputs(self.spark, self.directory, {table: stream})
 
     def __getattr__(self, name: str) -> DataFrame:
