@@ -8,6 +8,7 @@ from fleetseal.functions import acl, events, registry
 from fleetseal.functions.paths import in_scope
 from fleetseal.operators import attribution, bursts, findings, projection, scope
 from fleetseal.plans.registry import query
+from fleetseal.sources import tables
 
 SECOND = 1000
 SCAN = (600 * SECOND, 600_000 * SECOND)
@@ -288,3 +289,36 @@ def sid_account(t):
 def audit_xml(t):
     parsed = attribution.parse_audit(t.audit_xml)
     return scope.audit_scope(parsed, "scope_name", ["c:/s1", "C:/S2"]).select("record_id", "subject_user_sid", "object_name", "new_value")
+
+
+@query("""SELECT seq, host, path FROM {file_trace} WHERE task = 'fileio' AND opcode IN ('Write', 'Delete', 'SetInfo') AND process_id > 0 AND process_id <> 7 AND trim(path) <> ''""")
+def file_mutation_filter(t):
+    return attribution.file_mutations(tables.split_file_trace(t.file_trace)[0], own_pid=7).select("seq", "host", "path")
+
+
+@query("""SELECT host, process_id, cast(process_sequence_number AS bigint) AS process_sequence_number, min(CASE WHEN opcode <> 'Stop' THEN t_ms END) AS start_ms,
+    max(CASE WHEN opcode = 'Stop' THEN t_ms END) AS end_ms, arg_max(process_name, CASE WHEN opcode <> 'Stop' THEN seq END) AS process_name,
+    (SELECT min(t_ms) FROM {file_trace} d WHERE d.host = f.host AND d.task = 'Process' AND d.opcode = 'DCStart' AND d.process_sequence_number IS NOT NULL) AS rundown_ms
+  FROM {file_trace} f WHERE task = 'Process' AND process_sequence_number IS NOT NULL GROUP BY host, process_id, process_sequence_number
+  HAVING min(CASE WHEN opcode <> 'Stop' THEN t_ms END) IS NOT NULL""")
+def process_lifecycle(t):
+    lifecycle = tables.split_file_trace(t.file_trace)[1]
+    spans = attribution.process_intervals(lifecycle).join(attribution.rundown_times(lifecycle), "host", "left")
+    return spans.select("host", "process_id", F.col("process_sequence_number").cast("long").alias("process_sequence_number"),
+                        "start_ms", "end_ms", "process_name", "rundown_ms")
+
+
+@query("""SELECT seq, CASE WHEN process_id > 3 THEN 'Low' ELSE 'None' END AS attribution_confidence, CASE WHEN process_id > 3 THEN NULL ELSE 'ProcessExitedOrAccessDenied' END
+    AS attribution_missing_reason, 'RegistryETWPostEventPid' AS attribution_method FROM {file_trace} WHERE process_id <> -1""")
+def registry_attribution(t):
+    status = F.when(F.col("process_id") > 3, "Attributed").otherwise("Unavailable")
+    kept = attribution.registry_actors(t.file_trace, "path")
+    return kept.select("seq", *[v.alias(k) for k, v in attribution.registry_attribution(status).items()])
+
+
+@query("""
+  SELECT seq, CASE WHEN opcode = 'Write' THEN 'use' WHEN opcode = 'Delete' THEN 'delete' ELSE 'create' END AS op FROM {file_trace} WHERE opcode IN ('Write', 'Delete', 'Start')""")
+def handle_trace_split(t):
+    opcode = F.when(F.col("opcode") == "Write", 14).when(F.col("opcode") == "Delete", 23).when(F.col("opcode") == "Start", 22)
+    trace = t.file_trace.select("seq", opcode.alias("opcode"), F.col("path").alias("key_name")).filter("opcode IS NOT NULL")
+    return tables.handle_operations(trace).select("seq", "op")

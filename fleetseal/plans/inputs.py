@@ -214,6 +214,24 @@ DERIVED = {
     "run_starts": """
       SELECT concat('H', cast(user_id % 4 AS string)) AS host, CASE WHEN event_id % 3 = 0 THEN 'Registry' ELSE 'FileSystem' END AS source,
         event_id * 1000 AS t_ms FROM {events} WHERE event_type = 'signup'""",
+    "file_trace": """
+      SELECT concat('H', cast(user_id % 4 AS string)) AS host, event_id AS seq, event_id * 1000 AS t_ms,
+        CASE WHEN event_id % 6 = 0 THEN 'Process' ELSE 'fileio' END AS task,
+        CASE WHEN event_id % 6 = 0 THEN CASE event_type WHEN 'error' THEN 'Stop' WHEN 'view' THEN 'DCStart' ELSE 'Start' END
+          ELSE CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Write' WHEN 'error' THEN 'Delete' ELSE 'SetInfo' END END AS opcode,
+        cast(user_id % 20 - 1 AS int) AS process_id, CASE WHEN event_id % 9 <> 0 THEN user_id % 3 END AS process_sequence_number,
+        concat('p', cast(user_id % 20 AS string), '.exe') AS process_name,
+        CASE WHEN event_id % 10 = 7 THEN ' ' ELSE concat('C:/t', cast(user_id % 50 AS string)) END AS path,
+        concat('u', cast(user_id % 5 AS string)) AS username, concat('S-1-', cast(user_id % 5 AS string)) AS user_sid FROM {events}""",
+    "read_outcomes": """
+      SELECT doc_id, n_chars AS length, CASE doc_id % 9 WHEN 0 THEN 'AccessDenied' WHEN 1 THEN 'Vanished' WHEN 2 THEN 'Locked' WHEN 3 THEN 'Odd' END AS error,
+        doc_id % 5 <> 0 AS is_file FROM {documents}""",
+    "full_members": """
+      SELECT source AS host, concat('C:/Data/', source, '/doc', cast(doc_id AS string)) AS path, cast(doc_id % 5 AS int) AS node_type,
+        CASE WHEN doc_id % 3 <> 0 THEN upper(SHA[[text]]) END AS content_hash, cast(doc_id % 7 AS int) AS hash_state, cast(doc_id % 4 AS int) AS acl_state,
+        concat('acl', cast(doc_id % 6 AS string)) AS acl_evidence, CASE WHEN doc_id % 2 = 0 THEN cast(doc_id % 4 AS int) END AS link_count,
+        doc_id % 2 = 0 AS is_system, doc_id % 3 = 0 AS is_sparse, doc_id % 5 = 0 AS is_temporary, doc_id % 7 = 0 AS is_offline,
+        CASE WHEN doc_id % 5 = 4 THEN 'String' END AS registry_value_kind, doc_id, lang FROM {documents}""",
     # Settings: host = nation.
     "settings_policy": "SELECT concat('host', cast(n_nationkey AS string)) AS host, name, concat('pol-', name) AS value FROM (SELECT n_nationkey, EACH[['MonitoredPaths','HashLimitMB','HeartbeatInterval']] AS name FROM {nation}) n WHERE n_nationkey % 3 = 0",
     "settings_preference": "SELECT concat('host', cast(n_nationkey AS string)) AS host, name, concat('pref-', name) AS value FROM (SELECT n_nationkey, EACH[['MonitoredPaths','HashLimitMB','HeartbeatInterval']] AS name FROM {nation}) n WHERE n_nationkey % 2 = 0",

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetseal.functions import evidence
 from fleetseal.operators import discovery, inventory, lineage, migration
 from fleetseal.plans.registry import query
+from fleetseal.schemas import EVIDENCE_STATES, HASH_STATES, enum_name
+from fleetseal.sources.tables import registry_members
 
 DAY_MS = 86_400_000
 MONTHS = (30 * DAY_MS, 3000 * DAY_MS)
@@ -204,3 +207,51 @@ def discovery_hash_changed(t):
     round(count(*) FILTER (attributes & 5972 <> 0) * 100.0 / count(*), 2)::double AS percentage FROM {found_files} GROUP BY host""")
 def discovery_stats(t):
     return discovery.statistics(t.found_files, discovery.is_plain_file(F.col("attributes")), ["host"])
+
+
+@query("""
+  SELECT path, ['File', 'Directory', 'ReparsePoint', 'RegistryKey', 'RegistryValue'][node_type + 1] || '|' || coalesce(content_hash, '') || '|' ||
+    ['Hashed', 'SkippedBySizeCap', 'Locked', 'AccessDenied', 'Vanished', 'Failed', 'NotApplicable'][hash_state + 1] || '|' ||
+    ['Available', 'AccessDenied', 'Vanished', 'Failed'][acl_state + 1] || '|' || acl_evidence || '|s1' || chr(31) || lang || '|' || coalesce(link_count::varchar, '') || '|' ||
+    CASE WHEN is_system THEN 'True' ELSE 'False' END || '|' || CASE WHEN is_sparse THEN 'True' ELSE 'False' END || '|' ||
+    CASE WHEN is_temporary THEN 'True' ELSE 'False' END || '|' || CASE WHEN is_offline THEN 'True' ELSE 'False' END || '|' ||
+    coalesce(registry_value_kind, '') || '|' || CASE WHEN registry_value_kind IS NULL THEN '' ELSE base64(encode(lang)) END AS fingerprint FROM {full_members}""")
+def member_fingerprint(t):
+    members = t.full_members.withColumns({
+        "stream_names": F.array(F.lit("s1"), F.col("lang")),
+        "registry_value_data": F.when(F.col("registry_value_kind").isNotNull(), F.encode("lang", "UTF-8"))})
+    return members.select("path", evidence.fingerprint(members).alias("fingerprint"))
+
+
+@query("""
+  SELECT doc_id, CASE WHEN NOT is_file THEN 'NotApplicable' WHEN error IN ('AccessDenied', 'Vanished', 'Locked') THEN error WHEN error IS NOT NULL THEN 'Failed'
+      WHEN length <= 500 THEN 'Hashed' ELSE 'SkippedBySizeCap' END AS snapshot_state,
+    CASE WHEN NOT is_file THEN 'NotApplicable' WHEN error IN ('AccessDenied', 'Vanished', 'Locked') THEN error WHEN error IS NOT NULL THEN 'Failed'
+      WHEN length < 500 THEN 'Hashed' ELSE 'SkippedBySizeCap' END AS live_state,
+    CASE WHEN error IS NULL THEN 'Available' WHEN error IN ('AccessDenied', 'Vanished') THEN error ELSE 'Failed' END AS acl_state,
+    CASE WHEN error = 'Vanished' THEN 'Unavailable' WHEN error IS NOT NULL THEN 'Partial' ELSE 'Available' END AS live_status FROM {read_outcomes}""")
+def evidence_states(t):
+    error, cap = F.col("error"), F.lit(500)
+    state = lambda live: enum_name(evidence.hash_state(F.col("length"), cap, error, F.col("is_file"), live), HASH_STATES)
+    return t.read_outcomes.select(
+        "doc_id", state(False).alias("snapshot_state"), state(True).alias("live_state"),
+        enum_name(evidence.evidence_state(error), EVIDENCE_STATES).alias("acl_state"),
+        evidence.live_evidence_status(F.when(error == "Vanished", error), error).alias("live_status"))
+
+
+@query("""
+  WITH k AS (SELECT DISTINCT 'h' AS host, 'HKEY_LOCAL_MACHINE' || chr(92) || p_brand AS path FROM part),
+  v AS (SELECT 'h' AS host, 'hkey_local_machine' || chr(92) || p.p_brand AS key_path, 'v' || p.p_partkey AS value_name, r.* FROM part p JOIN {registry_values} r ON r.row_id = p.p_partkey)
+  SELECT 'KEY|' || upper(path) AS identity_key, path, cast(3 AS integer) AS node_type, 'acl-' || path AS acl_evidence, NULL AS stored_hex FROM k
+  UNION ALL SELECT 'VALUE|' || upper(key_path || chr(92) || value_name), key_path || chr(92) || value_name, 4, 'acl-' || (SELECT k.path FROM k WHERE upper(k.path) = upper(v.key_path)),
+    CASE WHEN kind IN ('DWord', 'QWord') THEN hex(cast(int_value AS varchar)) WHEN kind = 'Binary' THEN hex_value
+      WHEN kind = 'MultiString' THEN array_to_string(list_transform(string_split(text_value, ' '), lambda x: hex(x)), '00') ELSE hex(text_value) END FROM v""")
+def registry_inventory(t):
+    name = F.concat(F.lit("HKEY_LOCAL_MACHINE\\"), "p_brand")
+    keys = t.part.select(F.lit("h").alias("host"), name.alias("path")).distinct().select(
+        "host", "path", F.lit(0).alias("acl_state"), F.concat(F.lit("acl-"), "path").alias("acl_evidence"))
+    values = t.part.join(t.registry_values, F.col("p_partkey") == F.col("row_id")).select(
+        F.lit("h").alias("host"), F.concat(F.lit("hkey_local_machine\\"), "p_brand").alias("key_path"),
+        F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("value_name"), "kind", "text_value", "int_value",
+        F.unhex("hex_value").alias("data"), F.split("text_value", " ").alias("items"))
+    return registry_members(keys, values).select("identity_key", "path", "node_type", "acl_evidence", F.hex("registry_value_data").alias("stored_hex"))

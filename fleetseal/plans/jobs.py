@@ -59,15 +59,15 @@ def converged(passes: DataFrame, maximum_passes: int = 3) -> tuple[DataFrame, Da
 
 
 def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms: int, unstable: DataFrame | None = None,
-              generations: int = 2) -> int:
+              generations: int = 2, name: str = "reconcile") -> int:
     """Compare new inventories with the last comparable ones, store them, and retire old generations.
 
     ``current`` is (host, identity_key, path, fingerprint), ``runs`` one row per host with its baseline id and
     lineage. A host whose inventory repeats an identity, did not converge, or whose previous inventory fails its
     digest gets an Invalid baseline, kept until the next run, and nothing is compared. Everything becomes visible in one
-    commit; members of rejected baselines are in the segment but no Complete baseline leads to them.
+    commit, once per ``name`` and ``as_of_ms``; members of rejected baselines are in the segment but no Complete baseline leads to them.
     """
-    if store.is_committed("reconcile", as_of_ms):
+    if store.is_committed(name, as_of_ms):
         return -1
     # Staging the members first means scan, hashing and convergence run once; every step below reads the narrow copy.
     staged, current = store.stage("members", current.join(runs.select("host", F.col("id").alias("baseline_id")), "host").select(
@@ -114,25 +114,26 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
                                .unionByName(results.select("baseline_id", "delivered_ms")), generations, ["host", *lineage.LINEAGE])
     return store.commit(append={"results": results}, adopt={"members": staged},
                         replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == staged)).select(*columns)},
-                        writer="reconcile", batch_id=as_of_ms)
+                        writer=name, batch_id=as_of_ms)
 
 
-def reconcile_files(store: StateStore, passes: DataFrame, runs: DataFrame, as_of_ms: int, area: Scope | None = None) -> int:
+def reconcile_files(store: StateStore, passes: DataFrame, runs: DataFrame, as_of_ms: int, area: Scope | None = None,
+                    name: str = "files") -> int:
     """File inventory run: scope each observation pass, take the first two that agree, compare."""
     scoped = scoped_files(passes, area) if area else passes
     key = F.col("identity_key") if "identity_key" in scoped.columns else F.upper("identity")
     observed = scoped.select("host", "pass", key.alias("identity_key"), "path",
                              inventory.fingerprint_hash(scoped).alias("fingerprint"))
     members, agreement = converged(observed)
-    return reconcile(store, members, runs, as_of_ms, agreement.filter("unstable"))
+    return reconcile(store, members, runs, as_of_ms, agreement.filter("unstable"), name=name)
 
 
 def reconcile_registry(store: StateStore, keys: DataFrame, values: DataFrame, runs: DataFrame, as_of_ms: int,
-                       included: DataFrame, excluded: DataFrame, sids: DataFrame) -> int:
+                       included: DataFrame, excluded: DataFrame, sids: DataFrame, name: str = "registry") -> int:
     """Registry inventory run: roots of all loaded users without overlaps, one observation pass, compare."""
     roots = scope.remove_overlaps(scope.expand_current_user(included, sids), ["host"])
     members = scope.filter_registry(tables.registry_members(keys, values), "path", roots, excluded, ["host"])
-    return reconcile(store, inventory.with_identity(members), runs, as_of_ms)
+    return reconcile(store, inventory.with_identity(members), runs, as_of_ms, name=name)
 
 
 def live_file_changes(notifications: DataFrame, activity: DataFrame, facts: DataFrame) -> DataFrame:

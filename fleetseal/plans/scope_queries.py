@@ -265,3 +265,10 @@ def settings_list_validation(t):
         F.when(kind < 2, F.col("path_value")).otherwise(F.col("key_value")).alias("value"))
     hosts = t.nation.select(F.concat(F.lit("host"), F.col("n_nationkey").cast("string")).alias("host"))
     return settings.validate(lists, hosts)
+
+
+@query("""
+  WITH s AS (SELECT page_id, string_split(rtrim(upper(path), '/'), '/') AS g FROM {scope_paths})
+  SELECT page_id, list_aggregate([array_to_string(g[1:i], '/') FOR i IN generate_series(1, len(g) - 1) IF array_to_string(g[1:i], '/') <> ''], 'string_agg', '>') AS above FROM s""")
+def path_ancestors(t):
+    return t.scope_paths.select("page_id", F.array_join(paths.ancestors(F.col("path")), ">").alias("above"))

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fleetseal.operators import outbox
-from fleetseal.plans import change_queries  # noqa: F401  (its checks are reused here)
+from fleetseal.operators import inventory, outbox
+from fleetseal.plans import change_queries, inventory_queries, jobs  # noqa: F401  (its checks are reused here)
 from fleetseal.plans.registry import CHECKS, query
 from fleetseal.session import checkpoint_dir
 from fleetseal.sources.files import scan_files
@@ -61,6 +61,34 @@ def stream_outbox(t):
     return store.read("outbox").select("id", "seq")
 
 
+def _runs(t, number: int):
+    return t.documents.select(F.col("source").alias("host")).distinct().select(
+        "host", F.concat(F.lit(f"{number}-"), "host").alias("id"), F.lit("FileSystem").alias("source"), F.lit("S").alias("scope_hash"),
+        F.lit("V").alias("source_identity"), F.lit(1).alias("schema_version"), F.lit(1).alias("algorithm"), F.lit(number).cast("bigint").alias("started_ms"))
+
+
+@query(CHECKS["snapshot_diff"])
+def reconcile_runs(t):
+    """Two inventory runs through the state store; the second finds what the direct comparison finds."""
+    store = StateStore(t.spark, f"{_folder(t)}/state")
+    jobs.reconcile(store, inventory.with_identity(t.members_prev), _runs(t, 1), 1000)
+    jobs.reconcile(store, inventory.with_identity(t.members_curr), _runs(t, 2), 2000)
+    return store.read("results").select("host", F.col("identity").alias("identity_key"), "change", "old_path", "new_path")
+
+
+@query("""SELECT host, id, CASE WHEN rn <= 200 THEN 1 ELSE 0 END AS delivery_attempts, rn <= 200 AS delivered FROM (
+    SELECT host, id, row_number() OVER (PARTITION BY host ORDER BY t_ms, id) AS rn FROM {fs_changes} WHERE change_category <> 'Discovery') x""")
+def delivery_run(t):
+    """Changes of the whole stream table become findings, and one delivery round takes the oldest of each host."""
+    folder = _folder(t)
+    store = StateStore(t.spark, f"{folder}/state")
+    changes = t.fs_changes.withColumnRenamed("size_bytes", "current_size_bytes").withColumns({
+        "full_path": F.col("entity"), "new_path": F.when(F.col("old_path").isNotNull(), F.col("entity"))})
+    pipelines.write_file_changes(store, changes, 0)
+    jobs.deliver_outbox(store, f"{folder}/sink", 10**12)
+    return pipelines.current_outbox(store).select("host", "id", "delivery_attempts", F.col("delivered_ms").isNotNull().alias("delivered"))
+
+
 @query()
 def content_scan(t):
     return scan_files(t.spark, [t.directory], "local", pattern="*.parquet")

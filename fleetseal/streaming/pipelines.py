@@ -6,6 +6,7 @@ The projection grows by the operations of each batch and is merged on read; :fun
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -86,6 +87,7 @@ def with_retries(write: Callable[[], None], on_failure: Callable[[str, int], Non
             on_failure(type(error).__name__, attempt)
             if attempt == attempts:
                 raise
+            time.sleep(0.1 * 2 ** (attempt - 1))
 
 
 def start_projection(changes: DataFrame, store: StateStore, checkpoint: str,
