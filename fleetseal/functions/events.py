@@ -154,12 +154,5 @@ def render_event(schema_version: Column, event_id: Column, record_type: Column,
 
 def parse_event(text: Column) -> Column:
     """The consumer's inverse: a map from display name to value, split at the first ``: `` of each line."""
-    lines = F.filter(F.split(text, "\n"), lambda l: l.contains(": "))
-    entries = F.transform(
-        lines,
-        lambda l: F.struct(
-            F.substring_index(l, ": ", 1).alias("key"),
-            F.substring(l, F.instr(l, ": ") + 2, F.length(l)).alias("value"),
-        ),
-    )
-    return F.map_from_entries(entries)
+    lines = F.str_to_map(text, F.lit("\n"), F.lit(": "))
+    return F.map_filter(lines, lambda name, value: value.isNotNull())

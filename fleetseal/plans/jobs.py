@@ -70,9 +70,10 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
     if store.is_committed(name, as_of_ms):
         return -1
     # Staging the members first means scan, hashing and convergence run once; every step below reads the narrow copy.
+    at = store.snapshot()
     staged, current = store.stage("members", current.join(runs.select("host", F.col("id").alias("baseline_id")), "host").select(
-        "host", "baseline_id", "identity_key", "path", "fingerprint"))
-    baselines = store.read("baselines", _BASELINES)
+        "host", "baseline_id", "identity_key", "path", "fingerprint"), at)
+    baselines = store.read("baselines", _BASELINES, at)
     superseded = lineage.supersede(baselines, runs, ["host", "source"])
     pairs = lineage.comparable_pairs(runs, superseded)
     earlier = pairs.select("host", F.col("previous_baseline_id").alias("baseline_id"))
@@ -110,7 +111,7 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
         F.coalesce(F.col("digest"), F.lit("")).alias("manifest_digest"), F.lit(staged).alias("segment")))
     columns = list(BASELINE_COLUMNS)
     every = superseded.select(*columns).unionByName(finished.select(*columns))
-    action = lineage.retention(every, store.read("results", _RESULTS).select("baseline_id", "delivered_ms")
+    action = lineage.retention(every, store.read("results", _RESULTS, at).select("baseline_id", "delivered_ms")
                                .unionByName(results.select("baseline_id", "delivered_ms")), generations, ["host", *lineage.LINEAGE])
     return store.commit(append={"results": results}, adopt={"members": staged},
                         replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == staged)).select(*columns)},

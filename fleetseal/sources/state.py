@@ -8,6 +8,7 @@ tables grow by appended segments and are merged on read; compaction replaces the
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,14 @@ from pyspark.sql import functions as F
 _META = "txn bigint, batch_id bigint, writer string, tables map<string,array<string>>"
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """A commit: its number and the segments of every table."""
+
+    txn: int
+    tables: dict[str, list[str]]
+
+
 class StateStore:
     """Tables below one root folder."""
 
@@ -34,19 +43,18 @@ class StateStore:
         found = self._rows().orderBy(F.col("txn").desc()).limit(1).collect()
         return found[0] if found else None
 
-    def next_txn(self) -> int:
-        """Number the next commit will get."""
+    def snapshot(self) -> Snapshot:
+        """The newest commit. Reads given the same snapshot see one state of all tables."""
         newest = self._newest()
-        return (newest.txn if newest else 0) + 1
+        return Snapshot(newest.txn, {k: list(v) for k, v in newest.tables.items()}) if newest else Snapshot(0, {})
 
-    def segments(self, table: str) -> list[str]:
-        """Folders that make up a table now."""
-        newest = self._newest()
-        return list(newest.tables.get(table, [])) if newest else []
+    def segments(self, table: str, at: Snapshot | None = None) -> list[str]:
+        """Folders that make up a table."""
+        return list((at or self.snapshot()).tables.get(table, []))
 
-    def read(self, table: str, schema: str | None = None) -> DataFrame:
-        """Current rows of a table; an empty table needs its schema."""
-        segments = self.segments(table)
+    def read(self, table: str, schema: str | None = None, at: Snapshot | None = None) -> DataFrame:
+        """Rows of a table; an empty table needs its schema."""
+        segments = self.segments(table, at)
         if not segments:
             if schema is None:
                 raise LookupError(f"table {table} has no committed rows")
@@ -55,9 +63,9 @@ class StateStore:
         reader = self.spark.read.schema(schema) if schema else self.spark.read.option("mergeSchema", "true")
         return reader.parquet(*paths)
 
-    def has(self, table: str) -> bool:
+    def has(self, table: str, at: Snapshot | None = None) -> bool:
         """Whether anything was committed to the table."""
-        return bool(self.segments(table))
+        return bool(self.segments(table, at))
 
     def is_committed(self, writer: str, batch_id: int) -> bool:
         """Whether this micro-batch was committed before: a replay must change nothing."""
@@ -70,12 +78,12 @@ class StateStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s}" for s in segments])
 
-    def stage(self, table: str, rows: DataFrame) -> tuple[str, DataFrame]:
+    def stage(self, table: str, rows: DataFrame, at: Snapshot | None = None) -> tuple[str, DataFrame]:
         """Write the segment the next commit will adopt, and read it back: (segment, rows).
 
         Nobody sees it before the commit; a retry of the same run writes it again.
         """
-        segment = f"{table}/txn={self.next_txn()}"
+        segment = f"{table}/txn={(at or self.snapshot()).txn + 1}"
         rows.write.mode("overwrite").parquet(f"{self.root}/{segment}")
         return segment, self.spark.read.schema(rows.schema).parquet(f"{self.root}/{segment}")
 
@@ -89,9 +97,8 @@ class StateStore:
         """
         if writer and self.is_committed(writer, batch_id):
             return -1
-        newest = self._newest()
-        tables = {k: list(v) for k, v in newest.tables.items()} if newest else {}
-        txn = (newest.txn if newest else 0) + 1
+        newest = self.snapshot()
+        tables, txn = dict(newest.tables), newest.txn + 1
         for table, segments in (keep or {}).items():
             tables[table] = list(segments)
         for table, segment in (adopt or {}).items():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetseal.operators import findings, outbox, projection
-from fleetseal.sources.state import StateStore
+from fleetseal.sources.state import Snapshot, StateStore
 
 FILE_TABLE = "fs_changes"
 REGISTRY_TABLE = "reg_changes"
@@ -33,46 +33,49 @@ def outbox_rows(events: DataFrame, created_ms: int | None = None, error: bool =
         F.lit(None).cast("string").alias("last_error"), F.lit(0).cast("bigint").alias("revision"))
 
 
-def current_outbox(store: StateStore) -> DataFrame:
+def current_outbox(store: StateStore, at: Snapshot | None = None) -> DataFrame:
     """Newest revision of every outbox row."""
-    rows = store.read(OUTBOX_TABLE)
+    rows = store.read(OUTBOX_TABLE, at=at)
     keys = ["host", "id"]
     others = [c for c in rows.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("revision")).alias("__row"))
     return newest.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
-def admit_new(store: StateStore, events: DataFrame, error: bool = False) -> DataFrame:
+def admit_new(store: StateStore, events: DataFrame, error: bool = False, at: Snapshot | None = None) -> DataFrame:
     """Rows of events whose record id the outbox does not hold."""
+    at = at or store.snapshot()
     rows = outbox_rows(events, error=error)
-    existing = store.read(OUTBOX_TABLE).select("host", "id") if store.has(OUTBOX_TABLE) else None
+    existing = store.read(OUTBOX_TABLE, at=at).select("host", "id") if store.has(OUTBOX_TABLE, at) else None
     return outbox.admit(rows, existing, ["host", "id"], "occurred_ms")
 
 
 def write_file_changes(store: StateStore, batch: DataFrame, batch_id: int, writer: str = "files") -> None:
     """Previous evidence, findings and projection of a batch of file changes, in one commit."""
-    if store.has(FILE_TABLE):
-        enriched = projection.attach_previous(batch, store.read(FILE_TABLE))
+    at = store.snapshot()
+    if store.has(FILE_TABLE, at):
+        enriched = projection.attach_previous(batch, store.read(FILE_TABLE, at=at))
     else:
         enriched = batch.withColumns({"previous_hash": F.lit(""), "previous_acl": F.lit(""),
                                       "previous_size_bytes": F.lit(None).cast("bigint")})
     enriched = enriched.persist()
     operations = projection.projection_operations(enriched).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    store.commit(append={FILE_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.file_findings(enriched))},
+    store.commit(append={FILE_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.file_findings(enriched), at=at)},
                  batch_id=batch_id, writer=writer)
     enriched.unpersist()
 
 
 def write_registry_changes(store: StateStore, batch: DataFrame, batch_id: int, writer: str = "registry") -> None:
     """The same for registry changes; the previous access list is the one stored before the batch."""
-    if store.has(REGISTRY_TABLE):
-        enriched = projection.attach_previous_acl(batch, store.read(REGISTRY_TABLE))
+    at = store.snapshot()
+    if store.has(REGISTRY_TABLE, at):
+        enriched = projection.attach_previous_acl(batch, store.read(REGISTRY_TABLE, at=at))
     else:
         enriched = batch.withColumn("previous_acl", F.lit(""))
     enriched = enriched.persist()
     latest = projection.latest_by_entity(enriched).withColumn("present", F.lit(True))
     operations = latest.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    store.commit(append={REGISTRY_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.registry_findings(enriched))},
+    store.commit(append={REGISTRY_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.registry_findings(enriched), at=at)},
                  batch_id=batch_id, writer=writer)
     enriched.unpersist()
 
