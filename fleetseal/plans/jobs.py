@@ -48,14 +48,14 @@ def scoped_files(members: DataFrame, area: Scope) -> DataFrame:
     return scope.prune_reparse_points(kept)
 
 
-def converged(passes: DataFrame, maximum_passes: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members of the agreeing pass per host, hosts with agreed_pass and unstable).
+def agreed_members(passes: DataFrame, agreement: DataFrame) -> DataFrame:
+    """Members of the agreeing pass of each host; hosts without one have none.
 
-    ``passes`` is the inventory columns of a comparison plus ``pass``.
+    ``passes`` is the columns of a comparison plus ``pass``, ``agreement`` what
+    :func:`fleetseal.operators.inventory.convergence` says about them.
     """
-    agreement = inventory.convergence(passes, maximum_passes=maximum_passes)
     chosen = agreement.filter("NOT unstable").select("host", F.col("agreed_pass").alias("pass"))
-    return passes.join(chosen, ["host", "pass"], "left_semi").drop("pass"), agreement
+    return passes.join(chosen, ["host", "pass"], "left_semi").drop("pass")
 
 
 def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms: int, unstable: DataFrame | None = None,
@@ -92,8 +92,10 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
     if unstable is not None:
         rejected = rejected.unionByName(unstable.select("host", F.lit("Unstable").alias("reason")))
     rejected = rejected.groupBy("host").agg(F.min("reason").alias("invalid_reason"))
+    # One row per host, used by the comparison and by the metadata: staged, so guards and digests are computed once.
+    judged, verdicts = store.stage("verdicts", runs.select("host").join(rejected, "host", "left").join(digests, "host", "left"), at)
 
-    comparable = pairs.join(rejected, "host", "left_anti")
+    comparable = pairs.join(verdicts.filter("invalid_reason IS NULL").select("host"), "host", "left_semi")
     changes = inventory.diff(previous.join(comparable, "host", "left_semi"), current.join(comparable, "host", "left_semi"))
     results = changes.join(comparable.select("host", "baseline_id", "previous_baseline_id"), "host").select(
         "host", F.sha2(F.concat_ws("|", "host", "baseline_id", "identity_key"), 256).alias("id"), "baseline_id",
@@ -101,19 +103,19 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
         F.lit(as_of_ms).cast("bigint").alias("detected_ms"), F.lit(None).cast("bigint").alias("delivered_ms"),
         F.lit(0).alias("delivery_attempts"))
 
-    finished = (runs.join(rejected, "host", "left").join(digests, "host", "left").select(
-        "host", "id", *lineage.LINEAGE,
-        F.when(F.col("invalid_reason").isNull(), "Complete").otherwise("Invalid").alias("status"),
-        F.lit("Current").alias("applicability"), "started_ms",
-        F.when(F.col("invalid_reason").isNull(), F.lit(as_of_ms)).cast("bigint").alias("completed_ms"),
+    valid = F.col("invalid_reason").isNull()
+    finished = runs.join(verdicts, "host").select(
+        "host", "id", *lineage.LINEAGE, F.when(valid, "Complete").otherwise("Invalid").alias("status"),
+        F.lit("Current").alias("applicability"), "started_ms", F.when(valid, F.lit(as_of_ms)).cast("bigint").alias("completed_ms"),
         F.coalesce("item_count", F.lit(0).cast("bigint")).alias("item_count"),
         F.lit(1).alias("observation_passes"), F.lit("").alias("consistency_method"), "invalid_reason",
-        F.coalesce(F.col("digest"), F.lit("")).alias("manifest_digest"), F.lit(staged).alias("segment")))
+        F.coalesce(F.col("digest"), F.lit("")).alias("manifest_digest"), F.lit(staged).alias("segment"))
     columns = list(BASELINE_COLUMNS)
     every = superseded.select(*columns).unionByName(finished.select(*columns))
-    action = lineage.retention(every, store.read("results", _RESULTS, at).select("baseline_id", "delivered_ms")
-                               .unionByName(results.select("baseline_id", "delivered_ms")), generations, ["host", *lineage.LINEAGE])
-    return store.commit(append={"results": results}, adopt={"members": staged},
+    # Results of this run belong to its own baselines, which stay anyway; only earlier ones can hold metadata back.
+    action = lineage.retention(every, store.read("results", _RESULTS, at).select("baseline_id", "delivered_ms"), generations,
+                               ["host", *lineage.LINEAGE])
+    return store.commit(append={"results": results}, adopt={"members": staged}, keep={"verdicts": [judged]},
                         replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == staged)).select(*columns)},
                         writer=name, batch_id=as_of_ms)
 
@@ -125,7 +127,9 @@ def reconcile_files(store: StateStore, passes: DataFrame, runs: DataFrame, as_of
     key = F.col("identity_key") if "identity_key" in scoped.columns else F.upper("identity")
     observed = scoped.select("host", "pass", key.alias("identity_key"), "path",
                              inventory.fingerprint_hash(scoped).alias("fingerprint"))
-    members, agreement = converged(observed)
+    # Agreement is one row per host; staged, the passes are compared once and then read once to pick the members.
+    _, agreement = store.stage("agreements", inventory.convergence(observed))
+    members = agreed_members(observed, agreement)
     return reconcile(store, members, runs, as_of_ms, agreement.filter("unstable"), name=name)
 
 
