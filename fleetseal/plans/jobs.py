@@ -141,14 +141,20 @@ def reconcile_registry(store: StateStore, keys: DataFrame, values: DataFrame, ru
     return reconcile(store, inventory.with_identity(members), runs, as_of_ms, name=name)
 
 
-def live_file_changes(notifications: DataFrame, activity: DataFrame, facts: DataFrame) -> DataFrame:
+def live_file_changes(notifications: DataFrame, activity: DataFrame, facts: DataFrame, collapsed: bool = False) -> DataFrame:
     """Changes of a batch of notifications: collapsed, attributed, with what was observed at the path.
 
+    ``collapsed`` says that :func:`fleetseal.streaming.bursts.collapse_stream` already ran upstream, which also handles
+    windows that spread over two micro-batches.
+
     ``activity`` carries the process outcome (status, missing_reason, process_name), ``facts`` is (host, seq,
     current_hash, current_size_bytes, acls, object_type).
     """
-    windowed = notifications.withColumn("win", bursts.fixed_window(F.col("captured_ms")))
-    kept = bursts.collapse(windowed, ["host", "win"]).withColumn("path_key", F.upper("full_path"))
+    kept = notifications
+    if not collapsed:
+        windowed = notifications.withColumn("win", bursts.fixed_window(F.col("captured_ms")))
+        kept = bursts.collapse(windowed, ["host", "win"])
+    kept = kept.withColumn("path_key", F.upper("full_path"))
     seen = kept.select("host", "path_key", F.col("captured_ms").alias("t_ms"), "seq", "full_path", "category", "old_path", "new_path", "scope")
     more = [c for c in ("process_id", "process_sequence_number", "username", "user_sid") if c in activity.columns]
     evidence = ["status", "missing_reason", "process_name", *more]

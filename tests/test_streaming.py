@@ -7,6 +7,7 @@ from test_operators import NOTE, random_notes, rows
 from fleetseal import schemas
 from fleetseal.operators import bursts, projection
 from fleetseal.operators.attribution import resolve_handles
+from fleetseal.plans import jobs
 from fleetseal.sources import tables
 from fleetseal.sources.state import StateStore
 from fleetseal.streaming import bindings, delivery, pipelines
@@ -183,3 +184,22 @@ def test_live_processes_and_file_activity(spark, tmp_path):
     handles = spark.createDataFrame([("h", 0, 1, 1, "create", "Z"), ("h", 0, 2, 2, "use", None), ("h", 5, 3, 3, "create", "K"), ("h", 5, 4, 4, "use", None)],
                                     "host string, handle bigint, seq bigint, t_ms bigint, op string, path string")
     assert rows(drain(bindings.handle_uses(as_stream(handles, tmp_path, "handles", 1)), tmp_path, "keys"), "seq", "found") == [(4, "K")]
+
+
+def test_live_file_pipeline_from_raw_notifications(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("h", 1, 10, "s", "C:/a", "Created", None, None), ("h", 2, 20, "s", "c:/A", "Changed", None, None), ("h", 3, 500, "s", "C:/b", "Changed", "C:/a", "C:/b"),
+         ("h", 4, 10**7, "s", "C:/z", "Created", None, None)],
+        "host string, seq bigint, captured_ms bigint, scope string, full_path string, category string, old_path string, new_path string")
+    activity = spark.createDataFrame([("h", 1, 5, "C:/A", "Attributed", None, "x.exe")],
+                                     "host string, seq bigint, t_ms bigint, path string, status string, missing_reason string, process_name string")
+    facts = spark.createDataFrame([("h", 1, "H", 5, "acl", "File")], "host string, seq bigint, current_hash string, current_size_bytes bigint, acls string, object_type string")
+    store = StateStore(spark, f"{tmp_path}/state")
+    write = jobs.run_on_batches(lambda batch: jobs.live_file_changes(batch, activity, facts, collapsed=True))
+    stream = collapse_stream(as_stream(raw, tmp_path, "raw", 1), "1 second")
+    pipelines.start_projection(stream, store, f"{tmp_path}/cp", write).awaitTermination()
+    # The Changed after the Created is folded; the last window stays open.
+    assert rows(pipelines.current_outbox(store).select("event_id", F.col("fields")["operation"].alias("o"), F.col("fields")["processName"].alias("p"))) == [
+        (7776, "Created", "x.exe"), (7777, "RenamedOrMoved", None)]
+    # Both changes came in one batch, so the rename finds no stored evidence yet, but it removes the old path.
+    assert rows(pipelines.read_projection(store), "normalized_entity", "previous_hash") == [("C:/B", "")]
