@@ -21,6 +21,17 @@ REGISTRY_TABLE = "reg_changes"
 OUTBOX_TABLE = "outbox"
 
 _ATTEMPTS = 3
+# Up to this many hosts in a batch, stored tables are read with a literal host filter.
+_LISTED_HOSTS = 200
+
+
+def of_same_hosts(stored: DataFrame, batch: DataFrame, limit: int = _LISTED_HOSTS) -> DataFrame:
+    """Stored rows that can concern a batch: with few hosts in it, a filter the Parquet scan can skip row groups by.
+
+    Compaction sorts by host, so most of a compacted table is skipped. With more hosts everything is read.
+    """
+    hosts = [r.host for r in batch.select("host").distinct().limit(limit + 1).collect()]
+    return stored if len(hosts) > limit else stored.filter(F.col("host").isin(hosts))
 
 
 def outbox_rows(events: DataFrame, created_ms: int | None = None, error: bool = False) -> DataFrame:
@@ -46,7 +57,9 @@ def admit_new(store: StateStore, events: DataFrame, error: bool = False, at: Sna
     """Rows of events whose record id the outbox does not hold."""
     at = at or store.snapshot()
     rows = outbox_rows(events, error=error)
-    existing = store.read(OUTBOX_TABLE, at=at).select("host", "id") if store.has(OUTBOX_TABLE, at) else None
+    existing = None
+    if store.has(OUTBOX_TABLE, at):
+        existing = of_same_hosts(store.read(OUTBOX_TABLE, at=at).select("host", "id"), events)
     return outbox.admit(rows, existing, ["host", "id"], "occurred_ms")
 
 
@@ -54,7 +67,7 @@ def write_file_changes(store: StateStore, batch: DataFrame, batch_id: int, write
     """Previous evidence, findings and projection of a batch of file changes, in one commit."""
     at = store.snapshot()
     if store.has(FILE_TABLE, at):
-        enriched = projection.attach_previous(batch, store.read(FILE_TABLE, at=at))
+        enriched = projection.attach_previous(batch, of_same_hosts(store.read(FILE_TABLE, at=at), batch))
     else:
         enriched = batch.withColumns({"previous_hash": F.lit(""), "previous_acl": F.lit(""),
                                       "previous_size_bytes": F.lit(None).cast("bigint")})
@@ -69,7 +82,7 @@ def write_registry_changes(store: StateStore, batch: DataFrame, batch_id: int, w
     """The same for registry changes; the previous access list is the one stored before the batch."""
     at = store.snapshot()
     if store.has(REGISTRY_TABLE, at):
-        enriched = projection.attach_previous_acl(batch, store.read(REGISTRY_TABLE, at=at))
+        enriched = projection.attach_previous_acl(batch, of_same_hosts(store.read(REGISTRY_TABLE, at=at), batch))
     else:
         enriched = batch.withColumn("previous_acl", F.lit(""))
     enriched = enriched.persist()
@@ -110,12 +123,14 @@ def read_projection(store: StateStore, table: str = FILE_TABLE) -> DataFrame:
 
 
 def compact_projection(store: StateStore, table: str = FILE_TABLE) -> None:
-    """Fold the accumulated operations of a projection into one segment."""
+    """Fold the accumulated operations of a projection into one segment, sorted by host and entity."""
     operations = store.read(table)
-    merged = projection.merge_operations(operations).withColumn("present", F.lit(True))
-    store.commit(replace={table: merged.select(*operations.columns)})
+    merged = projection.merge_operations(operations).withColumn("present", F.lit(True)).select(*operations.columns)
+    keys = ["host", "normalized_entity"]
+    store.commit(replace={table: merged.repartitionByRange(*keys).sortWithinPartitions(*keys)})
 
 
 def compact_outbox(store: StateStore, as_of_ms: int, days: int = outbox.RETENTION_DAYS) -> None:
     """Fold outbox revisions and drop what was delivered longer ago than the retention."""
-    store.commit(replace={OUTBOX_TABLE: outbox.retain(current_outbox(store), as_of_ms, days)})
+    kept = outbox.retain(current_outbox(store), as_of_ms, days)
+    store.commit(replace={OUTBOX_TABLE: kept.repartitionByRange("host", "id").sortWithinPartitions("host", "id")})
