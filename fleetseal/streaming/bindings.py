@@ -35,8 +35,11 @@ class _LatestBinding(StatefulProcessor):
             else:
                 fresh = value is not None and (self.lifetime_ms is None or t_ms - at <= self.lifetime_ms)
                 found.append((int(seq), value if fresh else None))
-        if at is not None:
+        if value is not None:
             self.bound.update((value, at))
+        elif at is not None:
+            # Nothing is bound any more: the key leaves the state.
+            self.bound.clear()
         if found:
             out = pd.DataFrame(found, columns=["seq", "found"])
             for name, part in zip(self.keys, key):
