@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetseal.llm import chat, mixing, nearest
+from fleetseal.llm import chat, mixing, nearest, packing, private, suffix_tree, toxicity
 from fleetseal.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,18 @@ def query(check: str | None = None):
     return register
 
 
+def is_held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 1, F.lit(False))
+
+
+@query()
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under the suffix tree and under single words."""
+    docs = table(spark, sf_dir, "documents")
+    scored = suffix_tree.score(docs, ~is_held_out())
+    return scored.select("doc_id", is_held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(r"""
 WITH turns AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role IS NOT NULL AND role <> 'system'),
@@ -71,6 +84,35 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
 
 
+@query()
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, and whether it is toxic."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")), 3)
+    return toxicity.grade(docs.select("doc_id", "text"), model).select("doc_id", "severity", "toxic_probability", "toxic")
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def op7_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY, RANKS))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query()
+def op8_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: how many plain identifiers, and the spans of plain and disguised ones."""
+    found = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["plain"] & (s["kind"] == kind))).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in private.KINDS], F.sha2(private.written(plain), 256).alias("base_sha256"),
+                        private.written(F.col("spans")).alias("spans"), (F.size("spans") - F.size(plain)).cast("long").alias("n_disguised"))
+
+
 @query("""
 WITH ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
