@@ -1,12 +1,56 @@
-"""The training-data pipeline: each stage applies one operator of fleetseal.llm to what the stage before it kept."""
+"""The training-data pipeline: each stage applies one operator of fleetseal.llm to what the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All but
+the last return the columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetseal.llm import jaccard, mixing, packing, private, toxicity
+from fleetseal.llm.common import shared_path, table, word_count
+from fleetseal.llm.queries import RANKS, VOCABULARY
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no grade of toxicity is likelier than not. A document without text stays."""
+    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")), 3)
+    return toxicity.grade(docs.select(*COLUMNS), model).filter(~F.col("toxic")).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id (null last), the first of equal ones; all rows without words."""
+    grouped = jaccard.link(docs.select("doc_id", "text"))
+    first = grouped.filter("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row")).alias("first")).select(F.col("first.row").alias("row"))
+    kept = grouped.filter("n_shingles = 0").select("row").union(first)
+    return docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).join(kept, "row", "left_semi").select(*COLUMNS)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the names of kinds in place of personal data."""
+    return private.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per pass that the mix takes of a document, in training order; a document that it does not take goes."""
+    taken = mixing.mix(docs.select(*COLUMNS, word_count(F.col("text")).alias("words")), mixing.cyclic_schedules(docs), F.col("words"), tie=F.xxhash64("text"))
+    return mixing.in_training_order(taken).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every row with its sequence and its place there."""
+    return packing.pack(packing.pieces(docs, VOCABULARY, RANKS)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-from fleetseal.llm.common import shared_path, table
+STAGES = [("toxicity", without_toxic), ("near_duplicates", one_of_each), ("personal_data", masked), ("mixing", mixed), ("packing", packed)]
 
-STAGES: list = []
+# A classifier, components of links, transducers and a packing are more than SQL can state: tests/llm holds a plain version.
 ORACLE_SQL = None
 
 

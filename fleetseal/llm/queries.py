@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetseal.llm import chat, mixing, nearest, packing, private, suffix_tree, toxicity
+from fleetseal.llm import chat, jaccard, mixing, nearest, packing, private, repeats, suffix_tree, toxicity, winnow
 from fleetseal.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,19 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query()
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of an edited copy, and how alike they are."""
+    docs = winnow.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = winnow.fingerprint(docs.withColumn("edited", winnow.edited(F.col("text"), F.col("next_text"))), "edited", "edited_chosen")
+    digest = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
+    return both.select(
+        "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        digest("chosen").alias("fingerprint"), digest("edited_chosen").alias("edited_fingerprint"),
+        winnow.likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"),
+        winnow.likeness(F.col("chosen"), F.col("next_chosen")).alias("near_next"), F.size("chosen").alias("n_chosen"))
+
+
 @query(r"""
 WITH turns AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role IS NOT NULL AND role <> 'system'),
@@ -54,6 +67,21 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+@query(r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+cells AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+often AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS both_n, count(*) AS c FROM cells a JOIN cells b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM often WHERE 100 * c >= 75 * (both_n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN edges e ON r.b = e.a) SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM sets s JOIN reach r ON s.doc_id = r.a""")
+def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near duplicates that every document is in."""
+    return jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 @query(r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
@@ -123,3 +151,9 @@ def op9_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors, 20)
+
+
+@query()
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that an earlier document, or an earlier place, has in a run of several."""
+    return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "removed", "text")

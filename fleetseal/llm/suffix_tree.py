@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from fleetseal.llm.common import stage
 
 START, END, SPACE = 0xFE, 0xFF, 0x20  # the marks are no bytes of UTF-8
-_SLICE = 8 << 20
-_WORDS_AT_ONCE = 400_000
+_SLICE = 2 << 20
+_WORDS_AT_ONCE = 200_000
 _GRAM, _WORD = 0, 1
 _LEN_SHIFT = 58
 LN10, LOG2 = np.log(10), np.log10(2)
@@ -90,10 +90,10 @@ def counts(docs: DataFrame, depth: int, text: str = "text") -> DataFrame:
                 known = keys >= 0
                 grams.append((keys[known], numbers[known]))
                 held += int(known.sum())
-                if held > 3_000_000:
+                if held > 1_500_000:
                     grams = [_merged(grams)]
                     held = len(grams[0][0])
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield rows(_GRAM, *grams[0])
                         grams, held = [], 0
                 for line in own:

@@ -49,7 +49,7 @@ def _cuts(free: np.ndarray) -> np.ndarray:
     return np.concatenate([[-np.inf], free[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(free[1:], -30, 8)))]), [np.inf]])
 
 
-def fit_arrays(rows: np.ndarray, columns: np.ndarray, n_columns: int, grade: np.ndarray, grades: int, penalty: float = 0.002,
+def fit_arrays(rows: np.ndarray, columns: np.ndarray, n_columns: int, grade: np.ndarray, grades: int, penalty: float = 0.0002,
                rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds. (rows, columns) are the cells of a binary matrix, ``grade`` runs from 0 to grades - 1.
 
@@ -88,10 +88,21 @@ def fit_arrays(rows: np.ndarray, columns: np.ndarray, n_columns: int, grade: np.
     return x[:n_columns], _cuts(x[n_columns:])[1:-1]
 
 
-def fit(labelled: DataFrame, grades: int, rows: int = 8192, least: int = 3, penalty: float = 0.002, text: str = "text") -> Model:
+def _telling(parents: np.ndarray, codes: np.ndarray, n_words: int, grade: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The ``most`` words, held by ``least`` texts or more, whose mean grade is furthest from the others', in standard errors."""
+    n = max(1, len(grade))
+    held = np.bincount(codes, minlength=n_words).astype(float)
+    residual = grade - grade.mean() if len(grade) else grade.astype(float)
+    spread = np.sqrt(np.maximum(held * (1 - held / n), 1e-9) * max(float((residual ** 2).mean()) if len(grade) else 0.0, 1e-9))
+    test = np.where(held >= least, np.abs(np.bincount(codes, residual[parents], minlength=n_words)) / spread, -1.0)
+    chosen = np.argsort(-test, kind="stable")[:most]
+    return np.sort(chosen[test[chosen] >= 0])
+
+
+def fit(labelled: DataFrame, grades: int, rows: int = 8192, least: int = 3, features: int = 2000, penalty: float = 0.0002, text: str = "text") -> Model:
     """Fit on (text, grade); the caller bounds ``labelled``, of which at most ``rows`` rows are taken by digest of the text.
 
-    A word is a feature if at least ``least`` sampled texts hold it. Null grades are left out, null texts have no words,
+    Features are the ``features`` words, each in ``least`` sampled texts or more, that tell the grades apart best one by one. Null grades are left out, null texts have no words,
     grades are moved into 0 to grades - 1. Without any row every text gets severity by the pseudo-rows alone.
     """
     sample = labelled.filter(F.col("grade").isNotNull()).select(
@@ -102,11 +113,12 @@ def fit(labelled: DataFrame, grades: int, rows: int = 8192, least: int = 3, pena
     grade = sample["grade"].to_numpy().astype(np.int64)
     parents, coded = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode()
     codes = coded.indices.to_numpy()
-    often = np.bincount(codes, minlength=len(coded.dictionary)) >= least
-    number = np.cumsum(often) - 1
-    kept = often[codes] if len(codes) else np.zeros(0, bool)
-    weights, cuts = fit_arrays(parents[kept], number[codes[kept]], int(often.sum()), grade, grades, penalty)
-    words = coded.dictionary.filter(pa.array(often)).to_pylist()
+    chosen = _telling(parents, codes, len(coded.dictionary), grade, least, features)
+    number = np.full(len(coded.dictionary), -1)
+    number[chosen] = np.arange(len(chosen))
+    kept = number[codes] >= 0
+    weights, cuts = fit_arrays(parents[kept], number[codes[kept]], len(chosen), grade, grades, penalty)
+    words = coded.dictionary.take(pa.array(chosen)).to_pylist()
     return Model({w: float(v) for w, v in zip(words, weights, strict=True) if v}, tuple(float(c) for c in cuts))
 
 
