@@ -23,12 +23,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id (null last), the first of equal ones; all rows without words."""
-    grouped = jaccard.link(docs.select("doc_id", "text"))
-    first = grouped.filter("n_shingles > 0").groupBy("component").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row")).alias("first")).select(F.col("first.row").alias("row"))
-    kept = grouped.filter("n_shingles = 0").select("row").union(first)
-    return docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).join(kept, "row", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates one row with the smallest id (null last; then by digest of the text); all rows without words."""
+    number = F.coalesce("doc_id", F.lit(2**63 - 1))
+    grouped = jaccard.link(docs.select("doc_id", "text")).withColumn("id", number)
+    first = grouped.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("id", "version")).alias("first")).select("first.id", "first.version")
+    rows = docs.select(*COLUMNS).withColumns({"id": number, "version": F.xxhash64("text"), "words": word_count(F.col("text"))})
+    kept = rows.filter("words > 0").join(first, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+    return kept.union(rows.filter("words = 0").select(*kept.columns)).select(*COLUMNS)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

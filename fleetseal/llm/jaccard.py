@@ -91,7 +91,7 @@ def common_shingles(docs: DataFrame, width: int, share: float) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """(row, doc_id, n, high, low, rare, often): size and digest of each set, and its prefix, uncommon and common elements apart."""
+    """(doc_id, version, n, high, low, rare, often): size and digest of each set, and its prefix, uncommon and common elements apart."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches):
@@ -111,18 +111,21 @@ def shingle_sets(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
                 part = slice(at, at + len(words))
                 at += len(words)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], *[pa.array(c, pa.int64()) for c in columns[:3]],
-                                                  *[pa.array(c, pa.list_(pa.int64())) for c in columns[3:]]], ["row", "doc_id", "n", "high", "low", "rare", "often"])
-    return docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n long, high long, low long, rare array<long>, often array<long>")
+                                                  *[pa.array(c, pa.list_(pa.int64())) for c in columns[3:]]], ["doc_id", "version", "n", "high", "low", "rare", "often"])
+    return docs.select("doc_id", "version", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, version long, n long, high long, low long, rare array<long>, often array<long>")
 
 
-def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
+def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(n, high, low, elements) of every text."""
     def work(batches):
         for batch in batches:
-            at = 0
-            for words in _slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:at + len(words)], pa.array(_sets(words, width), pa.list_(pa.int64()))], ["row", "elements"])
-                at += len(words)
-    return docs.select("row", "text").mapInArrow(work, "row long, elements array<long>")
+            for words in _slices(batch.column(0)):
+                sets = _sets(words, width)
+                digests = [xxhash.xxh3_128_intdigest(own.tobytes()) for own in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()),
+                                                  pa.array([(d & (2**64 - 1)) - (1 << 63) for d in digests], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                                                 ["n", "high", "low", "elements"])
+    return texts.select("text").mapInArrow(work, "n long, high long, low long, elements array<long>")
 
 
 def _overlap_needed(a: Column, b: Column) -> Column:
@@ -154,15 +157,15 @@ def _distance() -> Column:
     return 1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))
 
 
-def inverted_lists(sets: DataFrame) -> DataFrame:
-    """(key, row, n): elements of the prefixes of one set of each kind, where more than one kind has them."""
-    of_kind = sets.filter("n > 0").groupBy("n", "high", "low").agg(F.min("row").alias("row")).select("row")
+def inverted_lists(sets: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(key, row, n): elements of prefixes and the kinds of sets that have them, where more than one has."""
     # Uncommon elements head short lists, so a window over each is bounded; common ones are counted before they meet.
-    rare = sets.select(F.explode("rare").alias("key"), "row", "n").withColumn("__n", F.count("*").over(Window.partitionBy("key"))).filter("__n > 1").drop("__n")
-    often = sets.select(F.explode("often").alias("key"), "row", "n")
-    met = stage(rare.union(often).join(of_kind, "row", "left_semi"), "lists")
+    rare = sets.select(F.explode("rare").alias("key"), "high", "n").withColumn("__n", F.count("*").over(Window.partitionBy("key"))).filter("__n > 1").drop("__n")
+    often = sets.select(F.explode("often").alias("key"), "high", "n")
+    # Half a digest may stand for two kinds, which makes a list longer than it need be and no more.
+    met = stage(rare.union(often).distinct().join(kinds.select("row", "high", "n"), ["high", "n"]).select("key", "row", "n"), "lists")
     several = met.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1").select("key")
-    return met.join(several, "key", "left_semi").select("key", "row", "n")
+    return met.join(several, "key", "left_semi")
 
 
 def _leaders(lists: DataFrame, turn: int) -> DataFrame:
@@ -215,17 +218,24 @@ def _meeting_stars(open_: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_share: float = 2.0**-20) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, component): one row per row of ``docs``, which needs doc_id and text.
+    """(doc_id, version, n_shingles, component_id, component): one row per row of ``docs``, which needs doc_id and text.
 
     Two documents link if their sets of distinct ``width``-word shingles have a Jaccard similarity of 0.75 or more; component_id
     is the smallest doc_id that links reach. Fewer words make one shingle; a null or empty text has no set, links with
-    nothing and keeps its own id. Repeated rows are rows with equal sets; a null doc_id counts as none. ``row`` numbers the rows and ``component`` is the group in these numbers.
+    nothing, keeps its own id and has no component. Repeated rows are rows with equal sets; a null doc_id counts as none.
+    ``version`` is a digest of the text, ``component`` a number of the group.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
     sets = stage(shingle_sets(docs, common_shingles(docs, width, common_share), width), "sets")
-    lists = stage(inverted_lists(sets), "lists")
+    # Kinds get their numbers once, in a written table.
+    kinds = stage(sets.filter("n > 0").groupBy("n", "high", "low").agg(F.min("doc_id").alias("first"), F.min("version").alias("version"))
+                  .withColumn("row", F.monotonically_increasing_id()), "kinds")
+    lists = stage(inverted_lists(sets, kinds), "lists")
     several = lists.groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
-    elements = stage(_whole_sets(docs.join(several, "row", "left_semi"), width), "elements")
+    involved = kinds.join(several, "row", "left_semi")
+    texts = docs.join(involved.select("version").distinct(), "version", "left_semi")
+    elements = stage(_whole_sets(texts, width).join(involved.select("n", "high", "low", "row"), ["n", "high", "low"])
+                     .groupBy("row").agg(F.first("elements").alias("elements")), "elements")
 
     spark, none = docs.sparkSession, "a long, b long, distance double"
     found, free = [spark.createDataFrame([], none)], lists
@@ -270,11 +280,9 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
         links = links.union(last.select("a", "b"))
     groups = components(links)
 
-    kinds = sets.filter("n > 0").groupBy("n", "high", "low").agg(F.min("row").alias("kind"), F.min("doc_id").alias("first"))
-    grouped = kinds.join(groups.withColumnRenamed("node", "kind"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+    grouped = kinds.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(names, "component").select("n", "high", "low", "kind", "component", "component_id")
-    return sets.select("row", "doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("component", "row").alias("component"))
+    named = grouped.join(names, "component").select("n", "high", "low", "component", "component_id")
+    return sets.select("doc_id", "version", "n", "high", "low").join(named, ["n", "high", "low"], "left").select(
+        "doc_id", "version", F.col("n").alias("n_shingles"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
