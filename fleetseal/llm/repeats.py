@@ -1,7 +1,7 @@
 """Remove sentences that repeat elsewhere, wherever a run of several consecutive sentences occurs again.
 
-A sentence ends after . ! or ? before white space, and at a line break; a sentence of more than ``long`` words counts as several,
-cut every ``cut`` words. From each sentence on, the shortest run of at least ``several`` sentences and ``words`` words is hashed;
+A sentence ends after . ! or ? before white space, and at a line break; a sentence of more than ``LONG`` words counts as several,
+cut every ``CUT`` words. From each sentence on, the shortest run of at least ``several`` sentences and ``words`` words is hashed;
 equal runs meet in one join over the whole corpus. Every sentence covered by a run that is not the first of its kind goes.
 """
 
@@ -18,15 +18,17 @@ from pyspark.sql import types as T
 from fleetseal.llm.common import stage
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LINE_BREAK = re.compile(r"[\n\r\x0B\x0C]")
+_LINE_BREAK = re.compile(r"[\x0A-\x0D]")
+_BREAKS = bytes.maketrans(b"\r\x0B\x0C", b"\n\n\n")
+LONG, CUT = 24, 12
 
 
-def sentences(text: str, long: int = 24, cut: int = 12) -> list[tuple[int, int, list[str]]]:
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of every sentence; between two of them there is white space only."""
     out, begin, end, words = [], 0, 0, []
 
     def close():
-        step = cut if len(words) > long else max(len(words), 1)
+        step = CUT if len(words) > LONG else max(len(words), 1)
         for at in range(0, len(words), step):
             part = words[at:at + step]
             out.append((part[0][0], part[-1][1], [w for _, _, w in part]))
@@ -46,9 +48,23 @@ def sentences(text: str, long: int = 24, cut: int = 12) -> list[tuple[int, int,
     return out
 
 
-def runs(text: str, several: int = 2, words: int = 12) -> list[tuple[int, int, int, int, bool]]:
+def worded(text: bytes) -> list[tuple[int, bytes]]:
+    """(number of words, words one space apart) of the same sentences, without their places."""
+    for mark in (b".", b"!", b"?"):
+        text = text.replace(mark + b" ", mark + b"\n").replace(mark + b"\t", mark + b"\n")
+    out = []
+    for part in text.translate(_BREAKS).split(b"\n"):
+        words = part.split()
+        if len(words) > LONG:
+            out += [(len(words[at:at + CUT]), b" ".join(words[at:at + CUT])) for at in range(0, len(words), CUT)]
+        elif words:
+            out.append((len(words), b" ".join(words)))
+    return out
+
+
+def runs(text: bytes, several: int = 2, words: int = 12) -> list[tuple[int, int, int, int, bool]]:
     """(first, behind the last, two halves of a 128-bit hash, whether the text held it before) of each run of sentences."""
-    parts = [(len(w), " ".join(w)) for _, _, w in sentences(text)]
+    parts = worded(text)
     out, seen, behind, held = [], set(), 0, 0
     for first, (own, _) in enumerate(parts):
         while behind < len(parts) and (behind - first < several or held < words):
@@ -56,7 +72,7 @@ def runs(text: str, several: int = 2, words: int = 12) -> list[tuple[int, int, i
             behind += 1
         if behind - first < several or held < words:
             break
-        digest = xxhash.xxh3_128_intdigest("\n".join(p for _, p in parts[first:behind]))
+        digest = xxhash.xxh3_128_intdigest(b"\n".join([p for _, p in parts[first:behind]]))
         high, low = (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63)
         out.append((first, behind, high, low, digest in seen))
         seen.add(digest)
@@ -67,7 +83,7 @@ def runs(text: str, several: int = 2, words: int = 12) -> list[tuple[int, int, i
 def _all_runs(batches, several: int, words: int):
     names = ["doc_id", "version", "first", "behind", "high", "low", "again"]
     for batch in batches:
-        rows = [(row, *run) for row, text in enumerate(batch.column(2)) for run in runs(text.as_py() or "", several, words)]
+        rows = [(row, *run) for row, text in enumerate(batch.column(2).cast(pa.binary())) for run in runs(text.as_py() or b"", several, words)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         at = pa.array(columns[0], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int32()) for c in columns[1:3]],
@@ -80,8 +96,10 @@ def _without(texts: pa.Array, covered: pa.Array) -> pa.Array:
     rows = []
     for text, spans in zip(texts, covered, strict=True):
         text, spans = text.as_py(), spans.as_py() or []
-        found = sentences(text or "")
-        gone = set()
+        if not spans:
+            rows.append({"n_sentences": len(worded(text.encode())) if text else 0, "n_removed": 0, "removed": "", "text": text})
+            continue
+        found, gone = sentences(text), set()
         for span in spans:
             gone.update(range(span["first"], span["behind"]))
         parts, removed, at, i = [], [], 0, 0
@@ -94,8 +112,7 @@ def _without(texts: pa.Array, covered: pa.Array) -> pa.Array:
                 parts.append(text[at:found[i][0]])
                 at = found[j][0] if j < len(found) else found[j - 1][1]
             i = j + 1
-        kept = text if not gone else "".join([*parts, text[at:]])
-        rows.append({"n_sentences": len(found), "n_removed": len(gone), "removed": ",".join(removed), "text": kept})
+        rows.append({"n_sentences": len(found), "n_removed": len(gone), "removed": ",".join(removed), "text": "".join([*parts, text[at:]])})
     return pa.array(rows, pa.struct([("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string()), ("text", pa.string())]))
 
 

@@ -141,7 +141,7 @@ def test_private_spans(spark, sf, documents):
 def test_repeated_sentences(spark, sf, documents):
     from fleetseal.llm.repeats import runs, sentences
     got = {r["doc_id"]: r for r in rows(spark, sf, "op10_sentence_spans")}
-    found = {i: [(x[0], x[1], x[2:4]) for x in runs(t)] for i, t in documents}
+    found = {i: [(x[0], x[1], x[2:4]) for x in runs(t.encode())] for i, t in documents}
     first = {}
     for i, _ in documents:
         for a, _, h in found[i]:
