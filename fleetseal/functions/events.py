@@ -139,9 +139,12 @@ def iso_timestamp(ms: Column) -> Column:
 
 def render_event(schema_version: Column, event_id: Column, record_type: Column, occurred_ms: Column,
                  record_id: Column, scope_hash: Column, fields: Column) -> Column:
-    """Readable ``Name: value`` lines: the six envelope fields, then the map in its own order; null reads None."""
+    """Readable ``Name: value`` lines: the six envelope fields, then the map in its own order; null reads None.
+
+    A line break inside a value continues on a line that begins with a tab.
+    """
     def line(label: Column, value: Column) -> Column:
-        return F.concat(label, F.lit(": "), F.coalesce(value, F.lit("None")))
+        return F.concat(label, F.lit(": "), F.replace(F.coalesce(value, F.lit("None")), F.lit("\n"), F.lit("\n\t")))
 
     envelope = {
         "SchemaVersion": schema_version.cast("string"), "EventId": event_id.cast("string"), "RecordType": record_type,
@@ -153,6 +156,13 @@ def render_event(schema_version: Column, event_id: Column, record_type: Column,
 
 
 def parse_event(text: Column) -> Column:
-    """The consumer's inverse: a map from display name to value, split at the first ``: `` of each line."""
-    lines = F.str_to_map(text, F.lit("\n"), F.lit(": "))
-    return F.map_filter(lines, lambda name, value: value.isNotNull())
+    """The consumer's inverse: a map from display name to value, split at the first ``: `` of each line.
+
+    A line that begins with a tab continues the value before it; of a repeated name the first counts.
+    """
+    lines = F.filter(F.split(text, "\n(?!\t)"), lambda x: x.contains(": "))
+    name = lambda x: F.substring_index(x, ": ", 1)
+    names = F.transform(lines, name)
+    first = F.filter(lines, lambda x, i: F.array_position(names, name(x)) == i + 1)
+    value = lambda x: F.replace(F.substr(x, F.length(name(x)) + 3), F.lit("\n\t"), F.lit("\n"))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(name(x).alias("name"), value(x).alias("value"))))

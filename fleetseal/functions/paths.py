@@ -65,12 +65,17 @@ def container_keys(path: Column) -> Column:
     drive = F.regexp_extract(key, _DRIVE_ROOT, 0)
     extra = F.when((drive != "") & (drive != key), F.array(drive)).otherwise(F.array().cast("array<string>"))
     keys = F.concat(ancestors(path), F.array(key), extra)
-    return F.when(F.trim(path) != "", keys).otherwise(F.array().cast("array<string>"))
+    return F.when(has_content(path), keys).otherwise(F.array().cast("array<string>"))
+
+
+def has_content(text: Column) -> Column:
+    """Not null, and more than white space of any kind (line breaks, tabs and Unicode separators included)."""
+    return F.coalesce(text, F.lit("")).rlike(r"[^\s\p{Z}\x85]")
 
 
 def root_key(root: Column) -> Column:
     """Key of a configured root as :func:`container_keys` spells it; null for a blank root."""
-    return F.when(F.trim(root) != "", fs_identity(root))
+    return F.when(has_content(root), fs_identity(root))
 
 
 def within(path: Column, root: str) -> Column:
@@ -80,7 +85,7 @@ def within(path: Column, root: str) -> Column:
     stripped = root.rstrip("\\/")
     is_drive = root[-1] in "\\/" and (stripped == "" or stripped.endswith(":"))
     key = fs_identity(path)
-    not_blank = F.trim(path) != ""
+    not_blank = has_content(path)
     if is_drive:
         # A drive root keeps its separator and then matches as a plain prefix.
         return F.coalesce(not_blank & key.startswith((stripped + root[-1]).upper()), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetseal.functions.paths import has_content
+
 # Trace opcodes that carry a change.
 CREATED_OPCODES = (10,)
 CHANGED_OPCODES = (14, 20)
@@ -26,7 +28,7 @@ def hive_prefix(name: Column) -> Column:
 
 
 def _non_blank(part: Column) -> Column:
-    return F.when(F.trim(part) != "", part)
+    return F.when(has_content(part), part)
 
 
 def full_key_name(cached: Column, key: Column, value: Column) -> Column:

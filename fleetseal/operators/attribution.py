@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetseal.functions.paths import has_content
 from fleetseal.operators.ordered import DEFAULT_WIDTHS, as_of_within, running
 
 # File operations that change something, and how long their evidence may be correlated.
@@ -20,7 +21,7 @@ def file_mutations(trace: DataFrame, own_pid: int = -2) -> DataFrame:
     """File activity worth correlating: a real foreign process, a changing operation, a path."""
     return trace.filter(
         (F.col("process_id") > 0) & (F.col("process_id") != own_pid) & (F.upper("task") == "FILEIO")
-        & F.col("opcode").isin(*MUTATIONS) & (F.trim(F.coalesce("path", F.lit(""))) != ""))
+        & F.col("opcode").isin(*MUTATIONS) & has_content(F.col("path")))
 
 
 def registry_actors(trace: DataFrame, name: str = "entity", own_pid: int = -2) -> DataFrame:
@@ -145,7 +146,7 @@ def resolve_accounts(rows: DataFrame, local: DataFrame, translated: DataFrame, s
     """
     joined = (rows.join(local.select(F.col("sid").alias(sid), F.col("account").alias("__local")), sid, "left")
               .join(translated.select(F.col("sid").alias(sid), F.col("account").alias("__translated")), sid, "left"))
-    named = F.when(F.trim("__local") != "", F.col("__local"))
+    named = F.when(has_content(F.col("__local")), F.col("__local"))
     return joined.select(*rows.columns, F.coalesce(named, F.col("__translated"), F.col(sid)).alias("account"))
 
 
@@ -162,7 +163,8 @@ def parse_audit(records: DataFrame) -> DataFrame:
         matching = F.filter(items, lambda d: F.upper(d["_Name"]) == name.upper())
         return F.when(F.size(matching) > 0, F.coalesce(F.try_element_at(matching, F.lit(-1))["_VALUE"], F.lit("")))
 
-    wanted = records.filter(F.col("native_event_id").isin(*AUDIT_EVENT_IDS)).withColumn("__data", data)
+    # Out of a generator, so that the text is parsed once however often the fields are used and filtered.
+    wanted = records.filter(F.col("native_event_id").isin(*AUDIT_EVENT_IDS)).select("*", F.explode(F.array(data)).alias("__data"))
     scope_name = F.try_element_at(
         F.filter(items, lambda d: d["_Name"].isin("ObjectName", "KeyName")), F.lit(1))["_VALUE"]
     return wanted.select(

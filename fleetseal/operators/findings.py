@@ -58,8 +58,8 @@ def registry_findings(changes: DataFrame) -> DataFrame:
 
 def baseline_findings(results: DataFrame, baselines: DataFrame) -> DataFrame:
     """Pending reconciliation results with the scope and source of their baseline; orphans are skipped."""
-    known = baselines.select(F.col("id").alias("baseline_id"), "source", "scope_hash")
-    joined = results.filter("delivered_ms IS NULL").join(known, "baseline_id")
+    known = baselines.select("host", F.col("id").alias("baseline_id"), "source", "scope_hash")
+    joined = results.filter("delivered_ms IS NULL").join(known, ["host", "baseline_id"])
     names = {"baselineId": "baseline_id", "source": "source", "change": "change", "identity": "identity",
              "oldPath": "old_path", "newPath": "new_path", "detectedAt": "detected_ms"}
     values = [E.iso_timestamp(F.col(c)) if c == "detected_ms" else F.col(c).cast("string") for c in names.values()]

@@ -18,7 +18,7 @@ TRANSITIONS = (
 )
 
 
-def latest_complete(baselines: DataFrame, lineage: Sequence[str] = LINEAGE) -> DataFrame:
+def latest_complete(baselines: DataFrame, lineage: Sequence[str] = ("host", *LINEAGE)) -> DataFrame:
     """Newest Complete and Current baseline of every lineage (ties: greatest id)."""
     usable = baselines.filter("status = 'Complete' AND applicability = 'Current'")
     others = [c for c in baselines.columns if c not in lineage]
@@ -27,39 +27,39 @@ def latest_complete(baselines: DataFrame, lineage: Sequence[str] = LINEAGE) -> D
     return best.select(*lineage, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*baselines.columns)
 
 
-def reinstate_fallback(baselines: DataFrame, fallback: DataFrame, lineage: Sequence[str] = LINEAGE) -> DataFrame:
+def reinstate_fallback(baselines: DataFrame, fallback: DataFrame, lineage: Sequence[str] = ("host", *LINEAGE)) -> DataFrame:
     """Make the newest Complete baseline of each fallback lineage Current again.
 
-    ``fallback`` holds the runs (id and lineage, one per lineage) that could not use their preferred algorithm.
+    An id names a baseline within its host. ``fallback`` holds the runs (id and lineage, one per lineage) that could not use their preferred algorithm.
     """
     runs = fallback.select(*lineage, F.col("id").alias("__run"))
     newest = (baselines.filter("status = 'Complete'").join(runs, list(lineage))
               .filter(F.col("id") != F.col("__run"))
               .groupBy(*lineage).agg(F.max_by("id", F.struct("completed_ms", "id")).alias("id")))
-    flipped = newest.select("id").withColumn("__flip", F.lit(True))
-    joined = baselines.join(flipped, "id", "left")
+    flipped = newest.select("host", "id").withColumn("__flip", F.lit(True))
+    joined = baselines.join(flipped, ["host", "id"], "left")
     applicability = F.when(F.col("__flip"), F.lit("Current")).otherwise(F.col("applicability"))
     return joined.withColumn("applicability", applicability).select(*baselines.columns)
 
 
 def retention(baselines: DataFrame, results: DataFrame, generations: int = 2,
-              lineage: Sequence[str] = LINEAGE) -> DataFrame:
+              lineage: Sequence[str] = ("host", *LINEAGE)) -> DataFrame:
     """What compaction does with each baseline: ``keep``, ``drop_members`` or ``delete``.
 
     The newest complete generations of each lineage stay whole. Everything else loses its members; its metadata and
-    results go too, unless an undelivered result still needs them. ``results`` is (baseline_id, delivered_ms).
+    results go too, unless an undelivered result still needs them. ``results`` is (host, baseline_id, delivered_ms).
     """
     newest = Window.partitionBy(*lineage).orderBy(F.col("completed_ms").desc(), F.col("id").desc())
     kept = (baselines.filter("status = 'Complete'").withColumn("__rank", F.row_number().over(newest))
-            .filter(F.col("__rank") <= max(1, generations)).select("id").withColumn("__keep", F.lit(True)))
-    undelivered = (results.filter("delivered_ms IS NULL").select(F.col("baseline_id").alias("id")).distinct()
+            .filter(F.col("__rank") <= max(1, generations)).select("host", "id").withColumn("__keep", F.lit(True)))
+    undelivered = (results.filter("delivered_ms IS NULL").select("host", F.col("baseline_id").alias("id")).distinct()
                    .withColumn("__pending", F.lit(True)))
     action = F.when(F.col("__keep"), "keep").when(F.col("__pending"), "drop_members").otherwise("delete")
-    return (baselines.join(kept, "id", "left").join(undelivered, "id", "left")
+    return (baselines.join(kept, ["host", "id"], "left").join(undelivered, ["host", "id"], "left")
             .select(*baselines.columns, action.alias("action")))
 
 
-def supersede(baselines: DataFrame, begun: DataFrame, by: Sequence[str] = ("source",),
+def supersede(baselines: DataFrame, begun: DataFrame, by: Sequence[str] = ("host", "source"),
               lineage: Sequence[str] = LINEAGE) -> DataFrame:
     """A run that begins makes every Complete baseline of its source with another lineage Superseded.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetseal.functions.delivery import backoff_seconds
+from fleetseal.functions.paths import has_content
 
 RETENTION_DAYS = 7
 DAY_MS = 86_400_000
@@ -30,15 +31,19 @@ def is_ready(as_of_ms: int) -> Column:
     return F.col("delivered_ms").isNull() & (F.col("next_attempt_ms") <= as_of_ms)
 
 
-def ready_batch(outbox: DataFrame, as_of_ms: int, limit: int = 200, by: Sequence[str] = ("host",)) -> DataFrame:
-    """The oldest due records of every host, at most ``limit`` each: one delivery batch."""
+def ready_batch(outbox: DataFrame, as_of_ms: int, limit: int | None = 200, by: Sequence[str] = ("host",)) -> DataFrame:
+    """The oldest due records of every host, at most ``limit`` each (None: all): one delivery batch."""
+    if limit is None:
+        return outbox.filter(is_ready(as_of_ms))
     oldest = Window.partitionBy(*by).orderBy("created_ms", "id")
     return (outbox.filter(is_ready(as_of_ms)).withColumn("__rank", F.row_number().over(oldest))
             .filter(F.col("__rank") <= limit).drop("__rank"))
 
 
-def pending_results(results: DataFrame, limit: int = 500, by: Sequence[str] = ("host",)) -> DataFrame:
-    """Undelivered reconciliation results, oldest first, at most ``limit`` per host."""
+def pending_results(results: DataFrame, limit: int | None = 500, by: Sequence[str] = ("host",)) -> DataFrame:
+    """Undelivered reconciliation results, oldest first, at most ``limit`` per host (None: all)."""
+    if limit is None:
+        return results.filter("delivered_ms IS NULL")
     oldest = Window.partitionBy(*by).orderBy("detected_ms", "id")
     return (results.filter("delivered_ms IS NULL").withColumn("__rank", F.row_number().over(oldest))
             .filter(F.col("__rank") <= limit).drop("__rank"))
@@ -51,7 +56,7 @@ def apply_delivery(outbox: DataFrame, outcome: Column, error: Column, as_of_ms:
     a record type cannot be delivered and is closed with a reason.
     """
     tried = outcome.isNotNull() & is_ready(as_of_ms)
-    blank = tried & (F.trim(F.coalesce("record_type", F.lit(""))) == "")
+    blank = tried & ~has_content(F.col("record_type"))
     failed = tried & ~blank & ~outcome
     attempts = F.col("delivery_attempts") + F.when(tried, 1).otherwise(0)
     changed = {

@@ -7,12 +7,13 @@ predicate without a shuffle. No side is broadcast by hint: Spark decides by the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetseal.functions.paths import (ancestors, container_keys, fs_identity, has_suffix, in_scope,
+from fleetseal.functions.paths import (ancestors, container_keys, fs_identity, has_content, has_suffix, in_scope,
                                        registry_ancestors, root_key, trim_separator)
 from fleetseal.functions.registry import current_user_form
 
@@ -50,25 +51,14 @@ def filter_paths(df: DataFrame, path: str, monitored: DataFrame, excluded: DataF
     return _keep(candidates, path, found.filter("__in AND NOT __out"), "left_semi", host)
 
 
-# Up to this many roots a filter is a predicate in the scan stage; beyond it, a join.
-PREDICATE_ROOTS = 200
-
-
-def listed_roots(roots: DataFrame | None, limit: int = PREDICATE_ROOTS) -> list[str] | None:
-    """The roots as a list when there are at most ``limit`` of them, else None. Never fetches more than that."""
-    if roots is None:
-        return []
-    found = roots.select("root").distinct().limit(limit + 1).collect()
-    return None if len(found) > limit else sorted(r.root for r in found if r.root is not None)
-
-
-def select_paths(df: DataFrame, path: str, monitored: DataFrame, excluded: DataFrame | None = None,
-                 suffixes: Sequence[str] = (), limit: int = PREDICATE_ROOTS) -> DataFrame:
-    """:func:`filter_paths` for roots common to all hosts, as a predicate without any shuffle when the lists are short."""
-    inside, outside = listed_roots(monitored, limit), listed_roots(excluded, limit)
-    if inside is None or outside is None:
-        return filter_paths(df, path, monitored, excluded, suffixes)
-    return df.filter(in_scope(F.col(path), inside, outside, list(suffixes)))
+def select_paths(df: DataFrame, path: str, monitored: DataFrame | Sequence[str], excluded: DataFrame | Sequence[str] | None = None,
+                 suffixes: Sequence[str] = ()) -> DataFrame:
+    """Rows in scope. Roots given as lists become a predicate without a shuffle, roots in tables a join."""
+    if isinstance(monitored, DataFrame) or isinstance(excluded, DataFrame):
+        tables = [r if isinstance(r, DataFrame) or r is None else df.sparkSession.createDataFrame([(x,) for x in r], "root string")
+                  for r in (monitored, excluded)]
+        return filter_paths(df, path, *tables, suffixes)
+    return df.filter(in_scope(F.col(path), list(monitored), list(excluded or ()), list(suffixes)))
 
 
 def prune_subtrees(df: DataFrame, path: str, containers: DataFrame, host: Sequence[str] = (),
@@ -134,14 +124,14 @@ def filter_registry(df: DataFrame, name: str, included: DataFrame, excluded: Dat
     """
     def keyed(roots: DataFrame, out: bool) -> DataFrame:
         root = F.upper(F.col("root"))
-        return roots.filter(F.trim("root") != "").select(
+        return roots.filter(has_content(F.col("root"))).select(
             *host, F.regexp_replace(root, r"\\+$", "").alias("__root"), root.endswith("\\").alias("__below_only"),
             F.lit(out).alias("__out"))
 
     tagged = keyed(included, False)
     if excluded is not None:
         tagged = tagged.unionByName(keyed(excluded, True))
-    distinct = df.filter(F.trim(F.col(name)) != "").select(*host, F.upper(F.col(name)).alias("__path")).distinct()
+    distinct = df.filter(has_content(F.col(name))).select(*host, F.upper(F.col(name)).alias("__path")).distinct()
     exploded = distinct.select(*host, "__path", F.explode(_registry_keys(F.col("__path"))).alias("__e")).select(
         *host, "__path", F.col("__e.key").alias("__root"), F.col("__e.is_self").alias("__self"))
     roots = tagged.distinct()
@@ -164,7 +154,7 @@ def expand_current_user(roots: DataFrame, sids: DataFrame) -> DataFrame:
     is_current = (key == prefix) | key.startswith(prefix + "\\")
     loaded = sids.filter(F.upper("sid").startswith("S-1-") & ~F.upper("sid").endswith("_CLASSES")).select("host", "sid").distinct()
     expanded = roots.filter(is_current).join(loaded, "host").select(
-        "host", F.concat(F.lit("HKEY_USERS\\"), "sid", F.substring("root", len(prefix) + 1, 1 << 20)).alias("root"))
+        "host", F.concat(F.lit("HKEY_USERS\\"), "sid", F.substr("root", F.lit(len(prefix) + 1))).alias("root"))
     return expanded.unionByName(roots.filter(~is_current).select("host", "root"))
 
 
@@ -211,7 +201,7 @@ def resolve_wildcards(scopes: DataFrame, inventory: DataFrame, profiles: DataFra
     star = F.instr("root", "*")
     sep = F.when(F.col("root").contains("/"), F.lit("/")).otherwise(F.lit("\\"))
     literal = scopes.filter(star == 0).select("host", "root")
-    with_star = scopes.filter((star > 0) & (F.trim("root") != "")).select(
+    with_star = scopes.filter((star > 0) & (has_content(F.col("root")))).select(
         "host", "root",
         F.upper(F.regexp_replace(F.substring("root", F.lit(1), star - 1), r"[\\/]+$", "")).alias("__prefix"),
         F.regexp_replace(F.substring("root", star + 1, F.length("root")), r"^[\\/]+", "").alias("__suffix"),
@@ -231,8 +221,8 @@ def resolve_wildcards(scopes: DataFrame, inventory: DataFrame, profiles: DataFra
             F.col("downloads"), F.lit(r"(?i)%USERPROFILE%"), F.regexp_replace("profile_path", r"([\\$])", r"\\$1"))
         absolute = F.when(F.regexp_like(named, F.lit(r"^(?:[A-Za-z]:[\\/]|\\\\)")), named).otherwise(
             F.concat(F.regexp_replace("profile_path", r"[\\/]+$", ""), F.lit("\\"), named))
-        redirected = (profiles.filter(F.trim("profile_path") != "").join(wants, "host", "left_semi")
-                      .select("host", F.when(F.trim(F.coalesce("downloads", F.lit(""))) == "", default)
+        redirected = (profiles.filter(has_content(F.col("profile_path"))).join(wants, "host", "left_semi")
+                      .select("host", F.when(~has_content(F.col("downloads")), default)
                               .otherwise(absolute).alias("root")))
         found.append(_existing(redirected, inventory))
     union = found[0]
@@ -256,19 +246,16 @@ def add_required_keys(roots: DataFrame, hosts: DataFrame, required: Sequence[str
 
 
 def audit_scope(df: DataFrame, name: str, scopes: Sequence[str]) -> DataFrame:
-    """Audit records whose object starts with a declared scope: no boundary check. At most 64 scopes are allowed."""
-    if len(scopes) > 64:
-        raise ValueError("audit attribution is limited to 64 explicit scopes")
-    key = F.upper(F.col(name))
-    matches = F.lit(False)
-    for scope in scopes:
-        matches = matches | key.startswith(scope.upper())
-    return df.filter((F.trim(F.col(name)) != "") & matches)
+    """Audit records whose object starts with a declared scope: no boundary check. All scopes together are one pattern."""
+    if not scopes:
+        return df.filter(F.lit(False))
+    starts = "^(?:" + "|".join(re.escape(s.upper()) for s in scopes) + ")"
+    return df.filter(has_content(F.col(name)) & F.upper(F.col(name)).rlike(starts))
 
 
 def canonical_list(values: Column) -> Column:
     """Trimmed, upper-cased, distinct, ordered, blanks dropped, joined by ``|``."""
-    cleaned = F.transform(F.filter(values, lambda v: F.trim(v) != ""),
+    cleaned = F.transform(F.filter(values, lambda v: has_content(v)),
                           lambda v: F.upper(F.regexp_replace(F.trim(v), r"\\+$", "")))
     return F.array_join(F.array_sort(F.array_distinct(cleaned)), "|")
 

@@ -120,7 +120,7 @@ def registry_findings(t):
 @query(f"""
   SELECT host, event_id, 'FileSystemFinding' AS record_type, id AS record_id, t_ms AS occurred_ms FROM {_FS_BASE} f
   UNION ALL SELECT host, CASE change_category WHEN 'Created' THEN 7786 WHEN 'Changed' THEN 7787 ELSE 7788 END, 'RegistryFinding', id, t_ms FROM {{reg_changes}}
-  UNION ALL SELECT p.host, 7795, 'BaselineFinding', p.id, p.detected_ms FROM {{pending_source}} p JOIN {{baselines}} b ON b.id = p.baseline_id WHERE p.delivered_ms IS NULL
+  UNION ALL SELECT p.host, 7795, 'BaselineFinding', p.id, p.detected_ms FROM {{pending_source}} p JOIN {{baselines}} b ON b.host = p.host AND b.id = p.baseline_id WHERE p.delivered_ms IS NULL
   UNION ALL SELECT host, 7797, 'SecurityAuditAttribution', cast(record_id AS varchar), t_ms FROM {{audit_xml}} WHERE native_event_id <> 4670""")
 def unified_findings(t):
     audit = findings.audit_findings(attribution.parse_audit(t.audit_xml))

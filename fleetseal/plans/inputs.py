@@ -42,22 +42,22 @@ DERIVED = {
         doc_id % 8192 AS attributes FROM {documents}""",
     # Baselines: one per order.
     "baselines": """
-      SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'FileSystem' ELSE 'Registry' END AS source,
-        concat('S', cast(o_custkey % 5 AS string)) AS scope_hash, concat('V', cast(o_custkey % 3 AS string)) AS source_identity,
+      SELECT concat('H', cast(o_orderkey % 4 AS string)) AS host, cast(floor(o_orderkey / 4) AS bigint) AS id,
+        CASE WHEN o_custkey % 2 = 0 THEN 'FileSystem' ELSE 'Registry' END AS source, concat('S', cast(o_custkey % 5 AS string)) AS scope_hash, concat('V', cast(o_custkey % 3 AS string)) AS source_identity,
         1 AS schema_version, 1 + o_orderkey % 3 AS algorithm,
         CASE o_orderstatus WHEN 'F' THEN 'Complete' WHEN 'O' THEN 'Building' ELSE 'Invalid' END AS status,
         CASE WHEN o_orderkey % 10 < 8 THEN 'Current' ELSE 'Superseded' END AS applicability,
         cast(DAYS[[o_orderdate]] AS bigint) * 86400000 AS completed_ms
       FROM {orders}""",
     "run_results": """
-      SELECT l_orderkey AS baseline_id, CASE WHEN l_linestatus <> 'O' THEN cast(0 AS bigint) END AS delivered_ms FROM {lineitem}""",
+      SELECT concat('H', cast(l_orderkey % 4 AS string)) AS host, cast(floor(l_orderkey / 4) AS bigint) AS baseline_id, CASE WHEN l_linestatus <> 'O' THEN cast(0 AS bigint) END AS delivered_ms FROM {lineitem}""",
     "begun": """
-      SELECT b.source, b.scope_hash, b.source_identity, b.schema_version, b.algorithm FROM {baselines} b
-      JOIN (SELECT source, max(id) AS id FROM {baselines} WHERE status = 'Building' GROUP BY source) m
-        ON b.id = m.id AND b.source = m.source""",
+      SELECT b.host, b.source, b.scope_hash, b.source_identity, b.schema_version, b.algorithm FROM {baselines} b
+      JOIN (SELECT host, source, max(id) AS id FROM {baselines} WHERE status = 'Building' GROUP BY host, source) m
+        ON b.host = m.host AND b.id = m.id AND b.source = m.source""",
     "fallback_runs": """
-      SELECT source, scope_hash, source_identity, schema_version, algorithm, max(id) AS id FROM {baselines}
-      WHERE status = 'Building' GROUP BY source, scope_hash, source_identity, schema_version, algorithm""",
+      SELECT host, source, scope_hash, source_identity, schema_version, algorithm, max(id) AS id FROM {baselines}
+      WHERE status = 'Building' GROUP BY host, source, scope_hash, source_identity, schema_version, algorithm""",
     "status_log": """
       SELECT o_custkey AS baseline, o_orderkey AS step,
         CASE o_orderstatus WHEN 'F' THEN 'Reconciling' WHEN 'O' THEN 'Building' ELSE 'Complete' END AS status FROM {orders}""",
@@ -71,7 +71,7 @@ DERIVED = {
         CASE WHEN event_type IN ('click', 'view') THEN event_id * 1000 + 5 END AS delivered_ms,
         event_id % 4 AS delivery_attempts FROM {events}""",
     # Path scopes.
-    "scope_paths": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM {pages}",
+    "scope_paths": "SELECT page_id, url AS path FROM {pages}",
     "scope_monitored": """
       SELECT regexp_replace(path, '/[^/]*/?$', '') AS root, min(page_id) AS ordinal FROM {scope_paths}
       WHERE page_id % 5 = 0 GROUP BY regexp_replace(path, '/[^/]*/?$', '')""",
@@ -249,8 +249,14 @@ DERIVED = {
         CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS enable_registry FROM {orders}""",
     "audit_scopes": """
       SELECT concat('host', cast(c_nationkey AS string)) AS host, concat('C:', chr(92), c_name, CASE WHEN c_custkey % 211 = 0 THEN '*' ELSE '' END) AS scope
-      FROM {customer} WHERE c_nationkey % 4 <> 1""",
-    "audit_switches": "SELECT concat('host', cast(n_nationkey AS string)) AS host, n_nationkey % 6 <> 0 AS enabled FROM {nation}",
+      FROM {customer}""",
+    # Hosts named after regions have no rows in any list.
+    "settings_hosts": """
+      SELECT concat('host', cast(n_nationkey AS string)) AS host FROM {nation}
+      UNION ALL SELECT concat('region', cast(r_regionkey AS string)) AS host FROM {region}""",
+    "audit_switches": """
+      SELECT concat('host', cast(n_nationkey AS string)) AS host, n_nationkey % 6 <> 0 AS enabled FROM {nation}
+      UNION ALL SELECT concat('region', cast(r_regionkey AS string)) AS host, r_regionkey <> 1 AS enabled FROM {region}""",
     "legacy_baselines": """
       SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'sha256-v1' WHEN 1 THEN 'registry-v1' WHEN 2 THEN 'registry-v2'
           WHEN 3 THEN 'tpm-rsa-pss-sha256-v1' WHEN 4 THEN 'sha256-v1+tpm-rsa-pss-v1' ELSE 'registry-v2+tpm-rsa-pss-v1' END AS algorithm_version,
@@ -275,11 +281,11 @@ class Inputs:
     def __init__(self, spark: SparkSession, directory: str, known: dict[str, DataFrame] | None = None):
         self.spark, self.directory, self._known = spark, directory, dict(known or {})
 
-    def streaming(self, table: str) -> Inputs:
-        """The same inputs with one given table read as a stream of its files."""
+    def streaming(self, table: str, **options: str) -> Inputs:
+        """The same inputs with one given table read as a stream of its files; ``options`` go to the reader."""
         schema = getattr(self, table).schema
         # The trailing star makes this a pattern, which covers a single file as well as a folder of part files.
-        stream = (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", "1")
+        stream = (self.spark.readStream.schema(schema).options(**options)
                   .parquet(f"{self.directory}/{table}.parquet*"))
         return Inputs(self.spark, self.directory, {table: stream})
 

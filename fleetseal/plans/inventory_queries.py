@@ -104,39 +104,39 @@ def suspect_deletions(t):
 
 
 @query("""
-  SELECT id, source, scope_hash, source_identity, schema_version, algorithm, completed_ms FROM (
-    SELECT *, row_number() OVER (PARTITION BY source, scope_hash, source_identity, schema_version, algorithm
+  SELECT host, id, source, scope_hash, source_identity, schema_version, algorithm, completed_ms FROM (
+    SELECT *, row_number() OVER (PARTITION BY host, source, scope_hash, source_identity, schema_version, algorithm
       ORDER BY completed_ms DESC, id DESC) AS rn FROM {baselines} WHERE status = 'Complete' AND applicability = 'Current') x WHERE rn = 1""")
 def latest_complete_baseline(t):
     return lineage.latest_complete(t.baselines).drop("status", "applicability")
 
 
 @query("""
-  WITH newest AS (SELECT id FROM (SELECT b.id, row_number() OVER (PARTITION BY b.source, b.scope_hash, b.source_identity,
+  WITH newest AS (SELECT host, id FROM (SELECT b.host, b.id, row_number() OVER (PARTITION BY b.host, b.source, b.scope_hash, b.source_identity,
       b.schema_version, b.algorithm ORDER BY b.completed_ms DESC, b.id DESC) AS rn
-    FROM {baselines} b JOIN {fallback_runs} f USING (source, scope_hash, source_identity, schema_version, algorithm)
+    FROM {baselines} b JOIN {fallback_runs} f USING (host, source, scope_hash, source_identity, schema_version, algorithm)
     WHERE b.status = 'Complete' AND b.id <> f.id) x WHERE rn = 1)
-  SELECT id, status, CASE WHEN id IN (SELECT id FROM newest) THEN 'Current' ELSE applicability END AS applicability FROM {baselines}""")
+  SELECT host, id, status, CASE WHEN (host, id) IN (SELECT host, id FROM newest) THEN 'Current' ELSE applicability END AS applicability FROM {baselines}""")
 def fallback_reinstate(t):
-    return lineage.reinstate_fallback(t.baselines, t.fallback_runs).select("id", "status", "applicability")
+    return lineage.reinstate_fallback(t.baselines, t.fallback_runs).select("host", "id", "status", "applicability")
 
 
 @query("""
-  WITH ranked AS (SELECT id, row_number() OVER (PARTITION BY source, scope_hash, source_identity, schema_version, algorithm
+  WITH ranked AS (SELECT host, id, row_number() OVER (PARTITION BY host, source, scope_hash, source_identity, schema_version, algorithm
       ORDER BY completed_ms DESC, id DESC) AS rn FROM {baselines} WHERE status = 'Complete')
-  SELECT b.id, CASE WHEN r.rn <= 2 THEN 'keep' WHEN EXISTS (SELECT 1 FROM {run_results} u WHERE u.baseline_id = b.id
+  SELECT b.host, b.id, CASE WHEN r.rn <= 2 THEN 'keep' WHEN EXISTS (SELECT 1 FROM {run_results} u WHERE u.host = b.host AND u.baseline_id = b.id
       AND u.delivered_ms IS NULL) THEN 'drop_members' ELSE 'delete' END AS action
-  FROM {baselines} b LEFT JOIN ranked r ON b.id = r.id""")
+  FROM {baselines} b LEFT JOIN ranked r ON b.host = r.host AND b.id = r.id""")
 def generation_retention(t):
-    return lineage.retention(t.baselines, t.run_results).select("id", "action")
+    return lineage.retention(t.baselines, t.run_results).select("host", "id", "action")
 
 
 @query("""
-  SELECT b.id, CASE WHEN b.status = 'Complete' AND (b.scope_hash, b.source_identity, b.schema_version, b.algorithm)
+  SELECT b.host, b.id, CASE WHEN b.status = 'Complete' AND (b.scope_hash, b.source_identity, b.schema_version, b.algorithm)
       <> (g.scope_hash, g.source_identity, g.schema_version, g.algorithm) THEN 'Superseded' ELSE b.applicability END AS applicability
-  FROM {baselines} b LEFT JOIN {begun} g ON b.source = g.source""")
+  FROM {baselines} b LEFT JOIN {begun} g ON b.host = g.host AND b.source = g.source""")
 def supersede_lineages(t):
-    return lineage.supersede(t.baselines, t.begun).select("id", "applicability")
+    return lineage.supersede(t.baselines, t.begun).select("host", "id", "applicability")
 
 
 @query("""
@@ -160,21 +160,21 @@ def lifecycle_conformance(t):
 @query("""
   WITH c AS (SELECT *, sum(CASE WHEN status = 'Complete' THEN 1 ELSE 0 END) OVER w AS island,
       max(CASE WHEN status = 'Complete' THEN completed_ms END) OVER w AS last_success_ms FROM {baselines}
-    WINDOW w AS (PARTITION BY source ORDER BY completed_ms, id ROWS UNBOUNDED PRECEDING))
-  SELECT id, cast(sum(CASE WHEN status = 'Invalid' THEN 1 ELSE 0 END) OVER (PARTITION BY source, island ORDER BY completed_ms, id
+    WINDOW w AS (PARTITION BY host, source ORDER BY completed_ms, id ROWS UNBOUNDED PRECEDING))
+  SELECT host, id, cast(sum(CASE WHEN status = 'Invalid' THEN 1 ELSE 0 END) OVER (PARTITION BY host, source, island ORDER BY completed_ms, id
     ROWS UNBOUNDED PRECEDING) AS bigint) AS consecutive_failures, last_success_ms, status = 'Building' AS running,
-    last_value(CASE WHEN status = 'Complete' THEN id % 97 END IGNORE NULLS) OVER (PARTITION BY source ORDER BY completed_ms, id
+    last_value(CASE WHEN status = 'Complete' THEN id % 97 END IGNORE NULLS) OVER (PARTITION BY host, source ORDER BY completed_ms, id
     ROWS UNBOUNDED PRECEDING) AS last_duration_ms FROM c""")
 def run_health_state(t):
-    health = lineage.run_health(t.baselines, ["source"], ["completed_ms", "id"],
+    health = lineage.run_health(t.baselines, ["host", "source"], ["completed_ms", "id"],
                                 F.col("status") == "Complete", F.col("status") == "Invalid", F.col("id") % 97, MONTHS)
-    return health.select("id", "consecutive_failures", "last_success_ms", "running", "last_duration_ms")
+    return health.select("host", "id", "consecutive_failures", "last_success_ms", "running", "last_duration_ms")
 
 
 @query("""
   SELECT id, cast(CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 3 END AS integer) AS algorithm,
     CASE WHEN id % 6 = 1 THEN 'Invalid' ELSE 'Complete' END AS status,
-    CASE WHEN id % 6 = 1 THEN 'Legacy registry-v1 evidence is not comparable with RegistryV2.' END AS invalid_reason,
+    CASE WHEN id % 6 = 1 THEN 'superseded-format' END AS invalid_reason,
     upper(sha256(cast(id AS varchar))) AS manifest_hex FROM {legacy_baselines}""")
 def legacy_decode(t):
     decoded = migration.decode_baselines(t.legacy_baselines)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from fleetseal.functions import registry
 from fleetseal.functions.evidence import live_evidence_reason, live_evidence_status
+from fleetseal.functions.events import is_allocated
 from fleetseal.functions.paths import has_suffix
 from fleetseal.operators import attribution, bursts, discovery, findings, health, inventory, lineage, migration, outbox, scope
-from fleetseal.operators.ordered import HOUR_MS
+from fleetseal.operators.ordered import HOUR_MS, latest_by
 from fleetseal.operators.projection import dedupe_projection
 from fleetseal.sources import sinks, tables
-from fleetseal.sources.state import StateStore
+from fleetseal.sources.state import Snapshot, StateStore
 from fleetseal.streaming import pipelines
 
 BASELINE_COLUMNS = ("host", "id", *lineage.LINEAGE, "status", "applicability", "started_ms", "completed_ms", "item_count",
@@ -24,16 +25,16 @@ _BASELINES = ("host string, id string, source string, scope_hash string, source_
               "status string, applicability string, started_ms bigint, completed_ms bigint, item_count bigint, observation_passes int, "
               "consistency_method string, invalid_reason string, manifest_digest string, segment string")
 _RESULTS = ("host string, id string, baseline_id string, previous_baseline_id string, identity string, change string, old_path string, "
-            "new_path string, detected_ms bigint, delivered_ms bigint, delivery_attempts int")
+            "new_path string, detected_ms bigint, delivered_ms bigint, delivery_attempts int, revision bigint")
 _MEMBERS = "host string, baseline_id string, identity_key string, path string, fingerprint string"
 
 
 @dataclass
 class Scope:
-    """What belongs to an inventory: roots as tables with a ``root`` column, suffixes as a list."""
+    """What belongs to an inventory: roots as a list, or as tables with a ``root`` column; suffixes as a list."""
 
-    monitored: DataFrame | None = None
-    excluded: DataFrame | None = None
+    monitored: DataFrame | Sequence[str] | None = None
+    excluded: DataFrame | Sequence[str] | None = None
     suffixes: Sequence[str] = field(default_factory=tuple)
 
 
@@ -101,7 +102,7 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
         "host", F.sha2(F.concat_ws("|", "host", "baseline_id", "identity_key"), 256).alias("id"), "baseline_id",
         "previous_baseline_id", F.col("identity_key").alias("identity"), "change", "old_path", "new_path",
         F.lit(as_of_ms).cast("bigint").alias("detected_ms"), F.lit(None).cast("bigint").alias("delivered_ms"),
-        F.lit(0).alias("delivery_attempts"))
+        F.lit(0).alias("delivery_attempts"), F.lit(0).cast("bigint").alias("revision"))
 
     valid = F.col("invalid_reason").isNull()
     finished = runs.join(verdicts, "host").select(
@@ -113,7 +114,7 @@ def reconcile(store: StateStore, current: DataFrame, runs: DataFrame, as_of_ms:
     columns = list(BASELINE_COLUMNS)
     every = superseded.select(*columns).unionByName(finished.select(*columns))
     # Results of this run belong to its own baselines, which stay anyway; only earlier ones can hold metadata back.
-    action = lineage.retention(every, store.read("results", _RESULTS, at).select("baseline_id", "delivered_ms"), generations,
+    action = lineage.retention(every, current_results(store, at).select("host", "baseline_id", "delivered_ms"), generations,
                                ["host", *lineage.LINEAGE])
     return store.commit(append={"results": results}, adopt={"members": staged}, keep={"verdicts": [judged]},
                         replace={"baselines": action.filter((F.col("action") != "delete") | (F.col("segment") == staged)).select(*columns)},
@@ -203,31 +204,47 @@ def live_registry_changes(trace: DataFrame, included: DataFrame, excluded: DataF
         *[v.alias(k) for k, v in {**evidence, **attribution.registry_attribution(status)}.items()])
 
 
-def publish_baseline_findings(store: StateStore, as_of_ms: int, limit: int = 500) -> int:
-    """Move pending reconciliation results into the outbox and count the attempt, in one commit."""
-    results = store.read("results", _RESULTS)
-    batch = outbox.pending_results(results, limit).select("host", "id").withColumn("__sent", F.lit(True))
-    marked = results.join(batch, ["host", "id"], "left")
-    events = findings.baseline_findings(marked.filter("__sent"), store.read("baselines", _BASELINES))
-    valid, _ = findings.catalog_gate(events)
-    published = marked.join(valid.select("host", F.col("record_id").alias("id"), F.lit(True).alias("__ok")), ["host", "id"], "left")
-    updated = outbox.record_attempts(published, F.when(F.col("__sent") & F.col("__ok"), F.lit(True)), as_of_ms)
-    return store.commit(append={"outbox": pipelines.admit_new(store, valid)}, replace={"results": updated.select(*results.columns)})
+def current_results(store: StateStore, at: Snapshot | None = None) -> DataFrame:
+    """Newest revision of every reconciliation result."""
+    return latest_by(store.read("results", _RESULTS, at), ["host", "id"], [F.col("revision")])
 
 
-def deliver_outbox(store: StateStore, sink: str, as_of_ms: int, limit: int = 200,
-                   fails: Column | None = None, retention_days: int = outbox.RETENTION_DAYS) -> int:
-    """One delivery round: write the due records, then append their new state as a revision.
+def publish_baseline_findings(store: StateStore, as_of_ms: int, limit: int | None = None) -> int:
+    """Move pending reconciliation results into the outbox and append their new state, in one commit.
 
-    ``fails`` marks records whose write is known to fail; it stands in for a sink that rejects single records.
+    A result whose baseline is unknown, or whose event is not in the catalog, stays pending. ``limit`` bounds a call per host.
     """
-    ready = outbox.ready_batch(pipelines.current_outbox(store), as_of_ms, limit)
-    outcome = F.lit(True) if fails is None else ~fails
-    state = outbox.apply_delivery(ready, outcome, F.lit("SinkError"), as_of_ms).withColumn("revision", F.col("revision") + 1)
-    writable = ready.filter(outcome & (F.trim("record_type") != ""))
-    sinks.deliver(writable.select("host", "schema_version", "event_id", "record_type", "occurred_ms", F.col("id").alias("record_id"),
-                                  "scope_hash", "fields", "error"), sink, as_of_ms)
-    return store.commit(append={"outbox": state.select(*ready.columns)})
+    at = store.snapshot()
+    _, batch = store.stage("publishing", outbox.pending_results(current_results(store, at), limit), at)
+    valid, _ = findings.catalog_gate(findings.baseline_findings(batch, store.read("baselines", _BASELINES, at)))
+    sent = valid.select("host", F.col("record_id").alias("id"), F.lit(True).alias("__ok"))
+    marked = outbox.record_attempts(batch.join(sent, ["host", "id"], "left_semi"), F.lit(True), as_of_ms)
+    revised = marked.withColumn("revision", F.col("revision") + 1).select(*batch.columns)
+    return store.commit(append={"outbox": pipelines.admit_new(store, valid, at=at), "results": revised})
+
+
+def deliver_outbox(store: StateStore, sink: str, as_of_ms: int, limit: int | None = None, fails: Column | None = None) -> int:
+    """Deliver until nothing is due: each round writes due records, then appends their new state as a revision.
+
+    Every round has a folder of its own in the sink, named by the transaction that closes it. A record whose id and type the
+    catalog does not allocate to each other fails like one the sink rejects, and is due again after its back-off. ``limit`` is
+    the size of a round per host, for a sink that takes no more at once. ``fails`` marks records whose write is known
+    to fail. Returns the last transaction, -1 if nothing was due.
+    """
+    last = -1
+    while True:
+        at = store.snapshot()
+        _, ready = store.stage("deliveries", outbox.ready_batch(pipelines.current_outbox(store, at), as_of_ms, limit), at)
+        if ready.isEmpty():
+            return last
+        allocated = F.coalesce(is_allocated(F.col("event_id"), F.col("record_type")), F.lit(False))
+        outcome = allocated if fails is None else allocated & ~F.coalesce(fails, F.lit(False))
+        error = F.when(~allocated, "NotAllocated").otherwise("SinkError")
+        state = outbox.apply_delivery(ready, outcome, error, as_of_ms).withColumn("revision", F.col("revision") + 1)
+        sinks.deliver(ready.filter(outcome).select(
+            "host", "schema_version", "event_id", "record_type", "occurred_ms", F.col("id").alias("record_id"), "scope_hash", "fields", "error"),
+            sink, at.txn + 1)
+        last = store.commit(append={"outbox": state.select(*ready.columns)})
 
 
 def ingest_audit(store: StateStore, records: DataFrame, scopes: Sequence[str]) -> int:

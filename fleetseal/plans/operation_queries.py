@@ -57,7 +57,7 @@ def retry_backoff(t):
 
 
 @query("""SELECT p.host, p.id AS record_id, b.scope_hash, b.source, p.change, p.old_path, p.new_path FROM {pending_source} p
-  JOIN {baselines} b ON b.id = p.baseline_id WHERE p.delivered_ms IS NULL""")
+  JOIN {baselines} b ON b.host = p.host AND b.id = p.baseline_id WHERE p.delivered_ms IS NULL""")
 def pending_findings(t):
     f = F.col("fields")
     return findings.baseline_findings(t.pending_source, t.baselines).select(

@@ -207,16 +207,16 @@ def settings_effective(t):
 
 @query("""
   SELECT row_id,
-    CASE WHEN path_value = '' THEN 'must not be empty' WHEN path_value LIKE 'relative%' THEN 'must be an absolute path'
-      WHEN path_value LIKE '%?%' THEN 'only a whole-segment ''*'' wildcard is supported'
-      WHEN path_value LIKE '%*%' THEN '''*'' must occupy one complete path segment' END AS path_reason,
-    CASE WHEN key_value = '' THEN 'must not be empty' WHEN key_value LIKE '%*%' THEN 'wildcards are not supported'
-      WHEN key_value LIKE 'HKLM%' THEN 'must start with a supported full hive name' END AS key_reason,
-    CASE WHEN lower(key_value) LIKE 'hkey_local_machine%software%' THEN 'covers the protected configuration key' END AS exclusion_reason,
-    CASE WHEN number_name = 'CaptureQueueCapacity' AND number_value < 1 THEN 'must be at least 1'
-      WHEN number_name = 'DiscoveryConcurrency' AND (number_value < 1 OR number_value > 64) THEN 'must be between 1 and 64'
-      WHEN number_name = 'WatcherBufferSizeKB' AND (number_value < 8 OR number_value > 64) THEN 'must be between 8 and 64'
-      WHEN number_name = 'RegistrySnapshotInterval' AND number_value < 60 THEN 'must be at least 60' END AS number_reason
+    CASE WHEN path_value = '' THEN 'blank' WHEN path_value LIKE 'relative%' THEN 'not-absolute'
+      WHEN path_value LIKE '%?%' THEN 'question-mark'
+      WHEN path_value LIKE '%*%' THEN 'loose-star' END AS path_reason,
+    CASE WHEN key_value = '' THEN 'blank' WHEN key_value LIKE '%*%' THEN 'star-in-key'
+      WHEN key_value LIKE 'HKLM%' THEN 'unknown-hive' END AS key_reason,
+    CASE WHEN lower(key_value) LIKE 'hkey_local_machine%software%' THEN 'hides-settings' END AS exclusion_reason,
+    CASE WHEN number_name = 'CaptureQueueCapacity' AND number_value < 1 THEN 'out-of-range:1..'
+      WHEN number_name = 'DiscoveryConcurrency' AND (number_value < 1 OR number_value > 64) THEN 'out-of-range:1..64'
+      WHEN number_name = 'WatcherBufferSizeKB' AND (number_value < 8 OR number_value > 64) THEN 'out-of-range:8..64'
+      WHEN number_name = 'RegistrySnapshotInterval' AND number_value < 60 THEN 'out-of-range:60..' END AS number_reason
   FROM {settings_values}""")
 def settings_validation(t):
     return t.settings_values.select(
@@ -236,8 +236,8 @@ def settings_changes(t):
 
 
 @query("""
-  SELECT w.host, count(s.scope) AS scopes, CASE WHEN count(s.scope) = 0 THEN 'requires an explicit scope'
-      WHEN count(s.scope) > 64 THEN 'is limited to 64 explicit scopes' ELSE 'must not contain wildcards' END AS reason
+  SELECT w.host, count(s.scope) AS scopes, CASE WHEN count(s.scope) = 0 THEN 'no-values'
+      WHEN count(s.scope) > 64 THEN 'too-many' ELSE 'loose-star' END AS reason
   FROM {audit_switches} w LEFT JOIN {audit_scopes} s ON w.host = s.host WHERE w.enabled GROUP BY w.host
   HAVING count(s.scope) = 0 OR count(s.scope) > 64 OR bool_or(s.scope LIKE '%*%')""")
 def attribution_scope_validation(t):
@@ -247,24 +247,24 @@ def attribution_scope_validation(t):
 @query("""
   WITH l AS (SELECT 'host' || c.c_nationkey AS host, CASE v.row_id % 4 WHEN 0 THEN 'MonitoredPaths' WHEN 1 THEN 'ExcludedPaths' WHEN 2 THEN 'MonitoredKeys'
       ELSE 'ExcludedKeys' END AS list_name, CASE WHEN v.row_id % 4 < 2 THEN v.path_value ELSE v.key_value END AS value, v.row_id
-    FROM {settings_values} v JOIN customer c ON c.c_custkey = v.row_id WHERE c.c_nationkey <> 3),
+    FROM {settings_values} v JOIN customer c ON c.c_custkey = v.row_id),
   r AS (SELECT host, list_name, value, CASE WHEN list_name LIKE 'Excluded%' AND value = '' THEN NULL
-      WHEN value = '' THEN 'must not be empty'
-      WHEN list_name LIKE '%Paths' THEN CASE WHEN value LIKE 'relative%' THEN 'must be an absolute path' WHEN value LIKE '%?%' THEN
-        'only a whole-segment ''*'' wildcard is supported' WHEN value LIKE '%*%' THEN '''*'' must occupy one complete path segment' END
-      ELSE CASE WHEN value LIKE '%*%' THEN 'wildcards are not supported' WHEN value LIKE 'HKLM%' THEN 'must start with a supported full hive name'
-        WHEN list_name = 'ExcludedKeys' AND lower(value) LIKE '%software%' THEN 'covers the protected configuration key' END END AS reason FROM l)
+      WHEN value = '' THEN 'blank'
+      WHEN list_name LIKE '%Paths' THEN CASE WHEN value LIKE 'relative%' THEN 'not-absolute' WHEN value LIKE '%?%' THEN
+        'question-mark' WHEN value LIKE '%*%' THEN 'loose-star' END
+      ELSE CASE WHEN value LIKE '%*%' THEN 'star-in-key' WHEN value LIKE 'HKLM%' THEN 'unknown-hive'
+        WHEN list_name = 'ExcludedKeys' AND lower(value) LIKE '%software%' THEN 'hides-settings' END END AS reason FROM l)
   SELECT host, list_name, value, reason FROM r WHERE reason IS NOT NULL
-  UNION ALL SELECT 'host3', 'MonitoredPaths', NULL, 'must contain at least one value' UNION ALL SELECT 'host3', 'MonitoredKeys', NULL, 'must contain at least one value'""")
+  UNION ALL SELECT h.host, q.list_name, NULL, 'no-values' FROM {settings_hosts} h CROSS JOIN (SELECT unnest(['MonitoredPaths', 'MonitoredKeys']) AS list_name) q
+    WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.host = h.host AND l.list_name = q.list_name)""")
 def settings_list_validation(t):
     named = t.settings_values.join(t.customer.select(F.col("c_custkey").alias("row_id"), "c_nationkey"), "row_id")
     kind = F.col("row_id") % 4
-    lists = named.filter("c_nationkey <> 3").select(
+    lists = named.select(
         F.concat(F.lit("host"), F.col("c_nationkey").cast("string")).alias("host"),
         F.when(kind == 0, "MonitoredPaths").when(kind == 1, "ExcludedPaths").when(kind == 2, "MonitoredKeys").otherwise("ExcludedKeys").alias("list_name"),
         F.when(kind < 2, F.col("path_value")).otherwise(F.col("key_value")).alias("value"))
-    hosts = t.nation.select(F.concat(F.lit("host"), F.col("n_nationkey").cast("string")).alias("host"))
-    return settings.validate(lists, hosts)
+    return settings.validate(lists, t.settings_hosts)
 
 
 @query("""

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fleetseal.operators import inventory, outbox
+from fleetseal.operators import findings, inventory, outbox
 from fleetseal.plans import change_queries, inventory_queries, jobs  # noqa: F401  (its checks are reused here)
 from fleetseal.plans.registry import CHECKS, query
 from fleetseal.session import checkpoint_dir
-from fleetseal.sources.files import scan_files
+from fleetseal.sources.files import content_columns
 from fleetseal.sources.state import StateStore
 from fleetseal.streaming import pipelines
 from fleetseal.streaming.bursts import collapse_stream
@@ -76,19 +76,29 @@ def reconcile_runs(t):
     return store.read("results").select("host", F.col("identity").alias("identity_key"), "change", "old_path", "new_path")
 
 
-@query("""SELECT host, id, CASE WHEN rn <= 200 THEN 1 ELSE 0 END AS delivery_attempts, rn <= 200 AS delivered FROM (
-    SELECT host, id, row_number() OVER (PARTITION BY host ORDER BY t_ms, id) AS rn FROM {fs_changes} WHERE change_category <> 'Discovery') x""")
+@query("""WITH f AS (SELECT host, id, CASE substr(md5(id), 1, 1) WHEN '0' THEN 'wrong' WHEN '1' THEN 'blank' ELSE 'fine' END AS kind
+    FROM {fs_changes} WHERE change_category <> 'Discovery')
+  SELECT host, id, 1 AS delivery_attempts, kind <> 'wrong' AS delivered, CASE kind WHEN 'wrong' THEN 'NotAllocated' WHEN 'blank' THEN 'EmptyRecordType' END AS last_error,
+    kind = 'fine' AS in_sink FROM f""")
 def delivery_run(t):
-    """Changes of the whole stream table become findings, and one delivery round takes the oldest of each host."""
+    """Changes become findings, some of them with a wrong or blank type; two deliveries at one time drain the outbox in rounds."""
     folder = _folder(t)
     store = StateStore(t.spark, f"{folder}/state")
-    changes = t.fs_changes.withColumnRenamed("size_bytes", "current_size_bytes").withColumns({
-        "full_path": F.col("entity"), "new_path": F.when(F.col("old_path").isNotNull(), F.col("entity"))})
-    pipelines.write_file_changes(store, changes, 0)
+    events = findings.file_findings(t.fs_changes)
+    mark = F.substring(F.md5("record_id"), 1, 1)
+    altered = events.withColumn("record_type", F.when(mark == "0", "Heartbeat").when(mark == "1", " \t").otherwise(F.col("record_type")))
+    store.commit(append={"outbox": pipelines.outbox_rows(altered)})
+    largest = pipelines.current_outbox(store).groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    jobs.deliver_outbox(store, f"{folder}/sink", 10**12, limit=-(-largest // 3))
     jobs.deliver_outbox(store, f"{folder}/sink", 10**12)
-    return pipelines.current_outbox(store).select("host", "id", "delivery_attempts", F.col("delivered_ms").isNotNull().alias("delivered"))
+    sunk = t.spark.read.json(f"{folder}/sink").select("host", F.col("record_id").alias("id"), F.lit(True).alias("in_sink"))
+    return pipelines.current_outbox(store).join(sunk, ["host", "id"], "left").select(
+        "host", "id", "delivery_attempts", F.col("delivered_ms").isNotNull().alias("delivered"), "last_error", F.coalesce("in_sink", F.lit(False)).alias("in_sink"))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN strlen(text) > 4096 THEN NULL ELSE upper(sha256(text)) END AS content_hash,
+  CASE WHEN text IS NULL THEN 2 WHEN strlen(text) > 4096 THEN 1 ELSE 0 END AS hash_state FROM documents""")
 def content_scan(t):
-    return scan_files(t.spark, [t.directory], "local", pattern="*.parquet")
+    """State and hash of every document taken for a file, with a size cap of 4096 bytes."""
+    content = F.encode("text", "UTF-8")
+    return t.documents.select("doc_id", *content_columns(F.octet_length("text"), content, 4096, F.col("text").isNotNull()))

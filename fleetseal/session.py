@@ -1,10 +1,10 @@
-"""Session settings the engine relies on, and the shared folder used to cut lineage."""
+"""Session settings the engine relies on, and the shared folder for what is staged."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Times are compared as UTC; adaptive execution sizes partitions and splits skewed join sides at run time.
 SETTINGS = {
@@ -34,11 +34,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     return tempfile.mkdtemp(prefix="fleetseal-checkpoint-")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()

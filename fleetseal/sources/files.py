@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetseal.functions.evidence import hash_state
 from fleetseal.functions.paths import ancestors, fs_identity
 from fleetseal.schemas import HASH_STATES, NODE_TYPES
 
@@ -21,6 +22,13 @@ def distinct_roots(roots: Sequence[str]) -> list[str]:
     return list(seen.values())
 
 
+def content_columns(length: Column, content: Column, cap: int = DEFAULT_CAP, readable: Column | None = None) -> list[Column]:
+    """content_hash (upper-case SHA-256, none above the cap or where ``readable`` is false) and the code of hash_state."""
+    failed = F.lit(None).cast("string") if readable is None else F.when(~readable, "Vanished")
+    state = hash_state(F.coalesce(length, F.lit(0)), F.lit(cap), failed, F.lit(True))
+    return [F.when(state == HASH_STATES.index("Hashed"), F.upper(F.sha2(content, 256))).alias("content_hash"), state.alias("hash_state")]
+
+
 def scan_files(spark: SparkSession, roots: Sequence[str], host: str, cap: int = DEFAULT_CAP, pattern: str = "*") -> DataFrame:
     """One member per file below the roots: upper-case SHA-256 of the content, no hash above the cap.
 
@@ -30,14 +38,14 @@ def scan_files(spark: SparkSession, roots: Sequence[str], host: str, cap: int =
                .option("pathGlobFilter", pattern).load(distinct_roots(roots)))
     path = F.regexp_replace("path", r"^file:/*", "/")
 
-    def members(files: DataFrame, content_hash: Column, state: str) -> DataFrame:
+    def members(files: DataFrame, content: Column) -> DataFrame:
         return files.select(
             F.lit(host).alias("host"), fs_identity(path).alias("identity_key"), path.alias("path"),
             F.lit(NODE_TYPES.index("File")).alias("node_type"), F.col("length").alias("size_bytes"),
-            content_hash.alias("content_hash"), F.lit(HASH_STATES.index(state)).alias("hash_state"))
+            *content_columns(F.col("length"), content, cap))
 
-    within = members(listing.filter(F.col("length") <= cap), F.upper(F.sha2("content", 256)), "Hashed")
-    above = members(listing.filter(F.col("length") > cap), F.lit(None).cast("string"), "SkippedBySizeCap")
+    within = members(listing.filter(F.col("length") <= cap), F.col("content"))
+    above = members(listing.filter(F.col("length") > cap), F.lit(None).cast("binary"))
     return within.unionByName(above)
 
 

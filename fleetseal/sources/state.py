@@ -35,8 +35,10 @@ class StateStore:
     def _rows(self) -> DataFrame:
         try:
             return self.spark.read.schema(_META).parquet(self._meta)
-        except AnalysisException:
-            # Nothing was committed yet.
+        except AnalysisException as error:
+            # Only a missing folder means that nothing was committed yet; anything else must not be taken for that.
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _META)
 
     def _newest(self):

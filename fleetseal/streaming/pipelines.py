@@ -21,17 +21,6 @@ REGISTRY_TABLE = "reg_changes"
 OUTBOX_TABLE = "outbox"
 
 _ATTEMPTS = 3
-# Up to this many hosts in a batch, stored tables are read with a literal host filter.
-_LISTED_HOSTS = 200
-
-
-def of_same_hosts(stored: DataFrame, batch: DataFrame, limit: int = _LISTED_HOSTS) -> DataFrame:
-    """Stored rows that can concern a batch: with few hosts in it, a filter the Parquet scan can skip row groups by.
-
-    Compaction sorts by host, so most of a compacted table is skipped. With more hosts everything is read.
-    """
-    hosts = [r.host for r in batch.select("host").distinct().limit(limit + 1).collect()]
-    return stored if len(hosts) > limit else stored.filter(F.col("host").isin(hosts))
 
 
 def outbox_rows(events: DataFrame, created_ms: int | None = None, error: bool = False) -> DataFrame:
@@ -59,15 +48,15 @@ def admit_new(store: StateStore, events: DataFrame, error: bool = False, at: Sna
     rows = outbox_rows(events, error=error)
     existing = None
     if store.has(OUTBOX_TABLE, at):
-        existing = of_same_hosts(store.read(OUTBOX_TABLE, at=at).select("host", "id"), events)
+        existing = store.read(OUTBOX_TABLE, at=at).select("host", "id")
     return outbox.admit(rows, existing, ["host", "id"], "occurred_ms")
 
 
 def write_file_changes(store: StateStore, batch: DataFrame, batch_id: int, writer: str = "files") -> None:
     """Previous evidence, findings and projection of a batch of file changes, in one commit."""
-    at = store.snapshot()
+    at, batch = store.snapshot(), batch.persist()
     if store.has(FILE_TABLE, at):
-        enriched = projection.attach_previous(batch, of_same_hosts(store.read(FILE_TABLE, at=at), batch))
+        enriched = projection.attach_previous(batch, store.read(FILE_TABLE, at=at))
     else:
         enriched = batch.withColumns({"previous_hash": F.lit(""), "previous_acl": F.lit(""),
                                       "previous_size_bytes": F.lit(None).cast("bigint")})
@@ -76,13 +65,14 @@ def write_file_changes(store: StateStore, batch: DataFrame, batch_id: int, write
     store.commit(append={FILE_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.file_findings(enriched), at=at)},
                  batch_id=batch_id, writer=writer)
     enriched.unpersist()
+    batch.unpersist()
 
 
 def write_registry_changes(store: StateStore, batch: DataFrame, batch_id: int, writer: str = "registry") -> None:
     """The same for registry changes; the previous access list is the one stored before the batch."""
-    at = store.snapshot()
+    at, batch = store.snapshot(), batch.persist()
     if store.has(REGISTRY_TABLE, at):
-        enriched = projection.attach_previous_acl(batch, of_same_hosts(store.read(REGISTRY_TABLE, at=at), batch))
+        enriched = projection.attach_previous_acl(batch, store.read(REGISTRY_TABLE, at=at))
     else:
         enriched = batch.withColumn("previous_acl", F.lit(""))
     enriched = enriched.persist()
@@ -91,6 +81,7 @@ def write_registry_changes(store: StateStore, batch: DataFrame, batch_id: int, w
     store.commit(append={REGISTRY_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.registry_findings(enriched), at=at)},
                  batch_id=batch_id, writer=writer)
     enriched.unpersist()
+    batch.unpersist()
 
 
 def with_retries(write: Callable[[], None], on_failure: Callable[[str, int], None], attempts: int = _ATTEMPTS) -> None:

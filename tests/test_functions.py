@@ -45,9 +45,9 @@ def test_scope_predicate(one):
 
 
 @pytest.mark.parametrize("cached, key, value, expected", [
-    ("\\REGISTRY\\MACHINE\\SOFTWARE\\Contoso", "", "", "HKEY_LOCAL_MACHINE\\SOFTWARE\\Contoso"),
-    ("\\REGISTRY\\USER\\S-1-5-21-100\\Software", "Contoso", "Enabled", "HKEY_USERS\\S-1-5-21-100\\Software\\Contoso\\Enabled"),
-    ("\\registry\\machine\\Software", "Vendor", "Value", "HKEY_LOCAL_MACHINE\\Software\\Vendor\\Value"),
+    ("\\Registry\\Machine\\System\\Pumps", "", "", "HKEY_LOCAL_MACHINE\\System\\Pumps"),
+    ("\\REGISTRY\\USER\\S-1-5-19", "Panel", "Colour", "HKEY_USERS\\S-1-5-19\\Panel\\Colour"),
+    ("\\registry\\user\\S-1-5-20\\Env", "", "Path", "HKEY_USERS\\S-1-5-20\\Env\\Path"),
     (None, " ", None, ""),
 ])
 def test_full_key_name(one, cached, key, value, expected):
@@ -56,11 +56,11 @@ def test_full_key_name(one, cached, key, value, expected):
 
 
 @pytest.mark.parametrize("full, value, expected", [
-    ("HKEY_LOCAL_MACHINE\\Software\\Vendor\\a.b[1]", "a.b[1]", "Software\\Vendor"),
-    ("HKEY_LOCAL_MACHINE\\Software\\Vendor\\VALUE", "Value", "Software\\Vendor\\VALUE"),
-    ("HKEY_LOCAL_MACHINE\\Value", "Value", "HKEY_LOCAL_MACHINE"),
-    ("NoHiveSeparator", "Value", "NoHiveSeparator"),
-    ("", "Value", ""),
+    ("HKEY_USERS\\S-1-5-19\\Panel\\(x|y)*", "(x|y)*", "S-1-5-19\\Panel"),
+    ("HKEY_USERS\\S-1-5-19\\Panel\\colour", "Colour", "S-1-5-19\\Panel\\colour"),
+    ("HKEY_USERS\\Top", "Top", "HKEY_USERS"),
+    ("plain", "v", "plain"),
+    ("", "v", ""),
 ])
 def test_strip_full_name(one, full, value, expected):
     assert one(registry.strip_full_name(C("f"), C("v")), f=full, v=value) == expected
@@ -147,6 +147,20 @@ def test_render_and_parse(one):
     assert one(events.parse_event(F.lit("A: b: c")))["A"] == "b: c"
 
 
+@pytest.mark.parametrize("value", ["first\nRecord Id: forged", "\n", "a\n\tb\n\n", "x: y\nNote: z", "tab\there"])
+def test_a_value_with_line_breaks_comes_back_whole(one, value):
+    fields = F.map_from_arrays(F.array(F.lit("note")), F.array(F.lit(value)))
+    text = events.render_event(F.lit(1), F.lit(7791), F.lit("CoverageGap"), F.lit(0).cast("bigint"), F.lit("r"), F.lit("s"), fields)
+    got = one(events.parse_event(text))
+    assert got["Note"] == value and got["Record Id"] == "r" and len(got) == 7
+    assert one(events.parse_event(F.lit("A: 1\nA: 2"))) == {"A": "1"}
+
+
+@pytest.mark.parametrize("text, filled", [(None, False), ("", False), (" \t\r\n", False), ("\u00a0\u2003", False), (" x", True), (".", True)])
+def test_content_is_more_than_white_space(one, text, filled):
+    assert one(paths.has_content(C("t").cast("string")), t=text) is filled
+
+
 def test_acl_text(one):
     ace = F.struct(F.lit(None).cast("string").alias("identity_name"), F.lit(0x001F01FF).cast("bigint").alias("rights"), F.lit("Allow").alias("ace_type"),
                    F.lit(True).alias("inherited"), F.lit(3).alias("inheritance"), F.lit(0).alias("propagation"))

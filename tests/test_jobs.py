@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import rows
 
+from fleetseal.functions import events
 from fleetseal.operators import inventory
 from fleetseal.plans import jobs
 from fleetseal.sources import files
@@ -77,7 +78,8 @@ def test_publish_and_deliver(spark, tmp_path):
     jobs.reconcile(store, make("1"), run(spark, 1, hosts=["h"]), 1000)
     jobs.reconcile(store, make("2"), run(spark, 2, hosts=["h"]), 2000)
     jobs.publish_baseline_findings(store, 3000)
-    assert rows(store.read("results"), "delivery_attempts", "delivered_ms") == [(1, 3000), (1, 3000)]
+    assert rows(jobs.current_results(store), "delivery_attempts", "delivered_ms") == [(1, 3000), (1, 3000)]
+    assert store.read("results").count() == 4
     assert rows(pipelines.current_outbox(store), "event_id", "delivered_ms") == [(7795, None), (7795, None)]
     jobs.publish_baseline_findings(store, 3500)
     assert pipelines.current_outbox(store).count() == 2
@@ -93,6 +95,40 @@ def test_publish_and_deliver(spark, tmp_path):
     assert pipelines.current_outbox(store).count() == 0
 
 
+def outbox_of(spark, *items):
+    schema = ("host string, id string, schema_version int, event_id int, record_type string, occurred_ms bigint, scope_hash string, fields map<string,string>, error boolean, "
+              "created_ms bigint, next_attempt_ms bigint, delivered_ms bigint, delivery_attempts int, last_error string, revision bigint")
+    return spark.createDataFrame([("h", i, 1, 7790, kind, t, "", {"a": "b"}, False, t, 0, None, 0, None, 0) for i, kind, t in items], schema)
+
+
+def test_a_rejected_record_fails_and_nothing_is_lost(spark, tmp_path):
+    store = StateStore(spark, f"{tmp_path}/state")
+    store.commit(append={"outbox": outbox_of(spark, ("good", events.EVENT_CATALOG[7790], 1), ("wrong", "NoSuchType", 2), ("blank", "\t\n", 3))})
+    jobs.deliver_outbox(store, f"{tmp_path}/sink", 4000)
+    assert rows(pipelines.current_outbox(store), "id", "delivered_ms", "last_error") == [
+        ("blank", 4000, "EmptyRecordType"), ("good", 4000, None), ("wrong", None, "NotAllocated")]
+    assert rows(spark.read.json(f"{tmp_path}/sink"), "record_id") == [("good",)]
+
+
+def test_rounds_at_one_time_do_not_overwrite_each_other(spark, tmp_path):
+    store, kind = StateStore(spark, f"{tmp_path}/state"), events.EVENT_CATALOG[7790]
+    store.commit(append={"outbox": outbox_of(spark, *[(f"r{i}", kind, i) for i in range(5)])})
+    jobs.deliver_outbox(store, f"{tmp_path}/sink", 4000, limit=2)
+    store.commit(append={"outbox": outbox_of(spark, ("late", kind, 9))})
+    jobs.deliver_outbox(store, f"{tmp_path}/sink", 4000)
+    assert jobs.deliver_outbox(store, f"{tmp_path}/sink", 4000) == -1
+    assert rows(spark.read.json(f"{tmp_path}/sink"), "record_id") == [("late",), *[(f"r{i}",) for i in range(5)]]
+
+
+def test_only_a_missing_folder_reads_as_nothing_committed(spark, tmp_path):
+    store = StateStore(spark, f"{tmp_path}/state")
+    assert store.snapshot().txn == 0
+    (tmp_path / "state" / "_meta").mkdir(parents=True)
+    (tmp_path / "state" / "_meta" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        store.snapshot()
+
+
 def test_registry_run(spark, tmp_path):
     store = StateStore(spark, f"{tmp_path}/state")
     keys = spark.createDataFrame([("h", "HKEY_USERS\\S-1-5\\Software\\A", 0, "acl"), ("h", "HKEY_LOCAL_MACHINE\\X", 0, "acl")],

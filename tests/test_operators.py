@@ -127,10 +127,10 @@ def test_suspect_deletions_lie_below_a_failed_container(spark):
 
 # --- lineage -------------------------------------------------------------------------------------------------------
 
-def baselines(spark, *items):
-    schema = ("id string, source string, scope_hash string, source_identity string, schema_version int, algorithm int, status string, "
+def baselines(spark, *items, host="h"):
+    schema = ("host string, id string, source string, scope_hash string, source_identity string, schema_version int, algorithm int, status string, "
               "applicability string, completed_ms bigint")
-    return spark.createDataFrame([(i, "FileSystem", s, "V", 1, a, st, ap, t) for i, s, a, st, ap, t in items], schema)
+    return spark.createDataFrame([(host, i, "FileSystem", s, "V", 1, a, st, ap, t) for i, s, a, st, ap, t in items], schema)
 
 
 def test_lineage_change_leaves_nothing_to_compare_with(spark):
@@ -145,15 +145,30 @@ def test_lineage_change_leaves_nothing_to_compare_with(spark):
 def test_retention_keeps_two_generations_per_lineage(spark):
     table = baselines(spark, *[(str(i), "s", 1, "Complete", "Current", i) for i in range(1, 5)], ("9", "s", 3, "Complete", "Current", 0),
                       ("b", "s", 1, "Building", "Current", None))
-    pending = spark.createDataFrame([("1", None), ("2", 5)], "baseline_id string, delivered_ms bigint")
+    pending = spark.createDataFrame([("h", "1", None), ("h", "2", 5), ("g", "2", None)], "host string, baseline_id string, delivered_ms bigint")
     assert dict(rows(lineage.retention(table, pending), "id", "action")) == {
         "1": "drop_members", "2": "delete", "3": "keep", "4": "keep", "9": "keep", "b": "delete"}
+    # The same ids on another host are other baselines.
+    both = table.unionByName(baselines(spark, ("1", "s", 1, "Complete", "Current", 9), ("2", "s", 1, "Invalid", "Current", 1), host="g"))
+    assert rows(lineage.retention(both, pending).filter("host = 'g'"), "id", "action") == [("1", "keep"), ("2", "drop_members")]
+    assert lineage.retention(both, pending).count() == both.count()
 
 
 def test_fallback_becomes_current_again(spark):
     table = baselines(spark, ("1", "s", 1, "Complete", "Superseded", 1), ("2", "s", 1, "Complete", "Superseded", 2), ("3", "s", 1, "Building", "Current", None))
     after = lineage.reinstate_fallback(table, table.filter("id = '3'"))
     assert dict(rows(after, "id", "applicability")) == {"1": "Superseded", "2": "Current", "3": "Current"}
+    both = table.unionByName(baselines(spark, ("2", "s", 1, "Complete", "Superseded", 5), host="g"))
+    other = lineage.reinstate_fallback(both, table.filter("id = '3'")).filter("host = 'g'")
+    assert rows(other, "id", "applicability") == [("2", "Superseded")]
+
+
+def test_pending_results_meet_the_baseline_of_their_own_host(spark):
+    from fleetseal.operators import findings
+    held = spark.createDataFrame([("g", "1", "FileSystem", "G"), ("h", "1", "Registry", "H")], "host string, id string, source string, scope_hash string")
+    results = spark.createDataFrame([("h", "r", "1", "Changed", "X", None, None, 5, None)], "host string, id string, baseline_id string, change string, "
+                                    "identity string, old_path string, new_path string, detected_ms bigint, delivered_ms bigint")
+    assert rows(findings.baseline_findings(results, held), "host", "scope_hash") == [("h", "H")]
 
 
 def test_lifecycle_and_run_health(spark):
@@ -204,8 +219,8 @@ def test_filter_paths_and_first_configured_scope(spark):
     monitored = spark.createDataFrame([("C:\\w\\a", 2), ("C:\\W", 1)], "root string, ordinal int")
     assert rows(scope.filter_paths(df, "path", monitored, roots(spark, "c:\\w\\X\\"), [".TMP"])) == [("C:\\w\\a\\f.txt",)]
     excluded = roots(spark, "c:\\w\\X\\")
-    for limit in (1, 200):
-        assert rows(scope.select_paths(df, "path", monitored, excluded, [".TMP"], limit)) == [("C:\\w\\a\\f.txt",)]
+    for inside, outside in ((monitored, excluded), (["C:\\w\\a", "C:\\W"], ["c:\\w\\X\\"]), (monitored, ["c:\\w\\X\\"])):
+        assert rows(scope.select_paths(df, "path", inside, outside, [".TMP"])) == [("C:\\w\\a\\f.txt",)]
     assert dict(rows(scope.assign_scope(df, "path", monitored))) == {"C:\\w\\a\\f.txt": "C:\\W", "C:\\w\\b.tmp": "C:\\W", "C:\\w\\x\\f": "C:\\W", "D:\\f": ""}
 
 
@@ -230,11 +245,11 @@ def test_scope_hash_ignores_order_case_and_repeats(spark):
     assert a != digest(("XP", "C:\\b"), ("MP", "C:\\A"), ("XK", "x"))
 
 
-def test_audit_scope_has_no_boundary_and_a_limit(spark):
+def test_audit_scope_has_no_boundary_and_takes_any_number(spark):
     df = spark.createDataFrame([("C:/S1/f",), ("c:/s10/f",), ("C:/T",), (" ",)], "name string")
     assert rows(scope.audit_scope(df, "name", ["C:/S1"])) == [("C:/S1/f",), ("c:/s10/f",)]
-    with pytest.raises(ValueError):
-        scope.audit_scope(df, "name", [str(i) for i in range(65)])
+    assert rows(scope.audit_scope(df, "name", [f"x{i}(" for i in range(100)] + ["c:/t"])) == [("C:/T",)]
+    assert rows(scope.audit_scope(df, "name", [])) == []
 
 
 # --- projection ----------------------------------------------------------------------------------------------------
@@ -466,8 +481,16 @@ def test_settings_precedence_and_reports(spark):
                                    ("h", "ExcludedKeys", "HKEY_LOCAL_MACHINE\\software")], "host string, list_name string, value string")
     bad = settings.validate(lists, spark.createDataFrame([("h",), ("g",)], "host string"))
     assert rows(bad, "host", "list_name", "reason") == [
-        ("g", "MonitoredKeys", "must contain at least one value"), ("g", "MonitoredPaths", "must contain at least one value"),
-        ("h", "ExcludedKeys", "covers the protected configuration key"), ("h", "MonitoredKeys", "must start with a supported full hive name")]
+        ("g", "MonitoredKeys", "no-values"), ("g", "MonitoredPaths", "no-values"),
+        ("h", "ExcludedKeys", "hides-settings"), ("h", "MonitoredKeys", "unknown-hive")]
+
+
+def test_variables_are_expanded_before_a_path_is_judged(spark):
+    lists = spark.createDataFrame([("h", "MonitoredPaths", "%BASE%\\x"), ("h", "ExcludedPaths", "%none%\\x"), ("h", "MonitoredKeys", "HKEY_USERS\\a")],
+                                  "host string, list_name string, value string")
+    known = spark.createDataFrame([("h", "base", "D:\\root")], "host string, name string, value string")
+    got = settings.validate(lists, spark.createDataFrame([("h",)], "host string"), environment=known)
+    assert rows(got, "value", "reason") == [("%none%\\x", "not-absolute")]
 
 
 @pytest.mark.parametrize("path, fine", [("relative\\path", False), ("C:\\Us*ers\\x", False), ("C:\\Users\\*\\*\\x", False), ("", False),

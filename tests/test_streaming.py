@@ -71,7 +71,7 @@ def test_projection_and_outbox_commit_together_and_replay_changes_nothing(spark,
     pipelines.write_file_changes(store, second, 1)
     pipelines.compact_projection(store)
     pipelines.compact_outbox(store, 10)
-    assert pipelines.of_same_hosts(store.read("outbox"), first, limit=0).count() == pipelines.of_same_hosts(store.read("outbox"), first).count() == 4
+    assert store.read("outbox").count() == 4
     assert rows(pipelines.read_projection(store), "normalized_entity", "id", "previous_hash") == expected_state
     assert rows(pipelines.current_outbox(store), "id") == expected_ids
 
