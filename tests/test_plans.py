@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from __spark_entry__ import QUERIES, queries
 
 DIRECTORY = "/root/testdata/sf0.001"
 # These run jobs of their own while they are built.
@@ -25,7 +25,7 @@ def broadcast_limit(spark, request):
 
 def test_no_plan_forms_pairs_or_gathers_everything(spark, broadcast_limit):
     bad = {}
-    for name in sorted(set(queries()) - EAGER):
+    for name in sorted(set(QUERIES) - EAGER):
         found = re.findall(r"NestedLoopJoin|CartesianProduct|SinglePartition|PythonUDF|ArrowEvalPython", plan(spark, name))
         if found:
             bad[name] = found
