@@ -123,12 +123,30 @@ def test_rounds_at_one_time_do_not_overwrite_each_other(spark, tmp_path):
 def test_only_a_missing_folder_reads_as_nothing_committed(spark, tmp_path):
     store = StateStore(spark, f"{tmp_path}/state")
     assert store.snapshot().txn == 0
-    (tmp_path / "state" / "_meta").mkdir(parents=True)
-    (tmp_path / "state" / "_meta" / "part-0.parquet").write_text("not parquet")
+    unfinished = tmp_path / "state" / "_meta" / "txn=000000000001"
+    unfinished.mkdir(parents=True)
+    assert store.snapshot().txn == 0
+    (unfinished / "part-0.parquet").write_text("not parquet")
+    (unfinished / "_SUCCESS").write_text("")
     with pytest.raises(Exception):
         store.snapshot()
 
 
+def test_many_commits_cost_the_same_and_fold(spark, tmp_path):
+    import time
+    store, took = StateStore(spark, f"{tmp_path}/state"), []
+    for i in range(60):
+        began = time.perf_counter()
+        store.commit(append={"t": spark.range(i, i + 1)}, writer="w", batch_id=i)
+        took.append(time.perf_counter() - began)
+        store.fold("t", 20)
+    assert store.commit(append={"t": spark.range(1)}, writer="w", batch_id=30) == -1
+    assert sorted(r.id for r in store.read("t").collect()) == list(range(60))
+    assert len(store.segments("t")) <= 21 and len(store._commits()) <= 16
+    assert len(list((tmp_path / "state" / "t").iterdir())) < 60
+    assert sum(took[-15:]) < 2 * sum(took[15:30])
+
+
 def test_registry_run(spark, tmp_path):
     store = StateStore(spark, f"{tmp_path}/state")
     keys = spark.createDataFrame([("h", "HKEY_USERS\\S-1-5\\Software\\A", 0, "acl"), ("h", "HKEY_LOCAL_MACHINE\\X", 0, "acl")],
