@@ -38,9 +38,17 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per pass that the mix takes of a document, in training order; a document that it does not take goes."""
-    taken = mixing.mix(docs.select(*COLUMNS, word_count(F.col("text")).alias("words")), mixing.cyclic_schedules(docs), F.col("words"), tie=F.xxhash64("text"))
-    return mixing.in_training_order(taken).select(*COLUMNS)
+    """One row per pass that the mix takes of a document, in training order; a document that it does not take goes.
+
+    Times are worked out without the texts, which then move once to their times and once into order. Rows equal in id and text
+    are told apart by nothing: one of them stands for the passes of all.
+    """
+    keys = {"id": F.coalesce("doc_id", F.lit(2**63 - 1)), "version": F.xxhash64("text")}
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), *[c.alias(k) for k, c in keys.items()])
+    taken = mixing.mix(narrow, mixing.cyclic_schedules(docs), F.col("words"), tie=F.col("version")).filter("passes > 0")
+    due = taken.groupBy("id", "version").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    rows = docs.select(*COLUMNS, *[c.alias(k) for k, c in keys.items()]).dropDuplicates(["id", "version"])
+    return mixing.in_training_order(rows.join(due, ["id", "version"])).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
