@@ -24,10 +24,23 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor depend on an executor."""
-    path = shared_path(df.sparkSession, what)
+    """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor depend on an executor.
+
+    The shuffles that made it are needed no more; Spark gives up their files when the driver's collector has seen that.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def drop(staged: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    jvm, path = staged.sparkSession.sparkContext._jvm, staged.staged_path
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(staged.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Link documents whose word-shingle sets overlap by a given Jaccard similarity, and group what links reach.
 
-A size-aware join: in a fixed order of all shingles (common ones last), two similar sets share at least two of the first elements
-of each, their prefixes. Equal sets collapse first. Then leaders are tried: the set that heads most of the inverted lists of a
+A size-aware join: in a fixed order of all shingles (common ones last), two similar sets share some of the first elements of
+each, their prefixes, and the more of them the larger they are. Equal sets collapse first. Then leaders are tried: the set that heads most of the inverted lists of a
 document is compared with it, which finds almost every link without forming pairs within a list. What is left are stars
 (a leader and the sets that link to it) which still meet in a list without being connected. For these, stars with few such
 lists enumerate their pairs of elements, stars with many scan the lists; the boundary between the two is the cheapest. Two stars
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetseal.llm.common import stage
+from fleetseal.llm.common import drop, stage
 from fleetseal.llm.components import components
 
 SHINGLE = 5
@@ -72,8 +72,14 @@ def _needed(size: int) -> int:
     return -(-NUMERATOR * size // DENOMINATOR)
 
 
-def common_shingles(docs: DataFrame, width: int, share: float) -> np.ndarray:
-    """Hashes of shingles in many documents, at most 1 / ``share`` of them: the ones that come last in the order of shingles.
+def _extra(size):
+    """How many elements two linked sets have in common within their prefixes at least, by the size of the smaller one."""
+    return 2 + size // 20
+
+
+def common_shingles(docs: DataFrame, width: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles in many documents, sorted, at most 1 / ``share`` of them, and the rank of each by how many: they come last
+    in the order of shingles, the commonest at the end.
 
     Counts only add up what is frequent within a slice of a task. Which shingles are taken for common changes the cost, never the result.
     """
@@ -87,26 +93,32 @@ def common_shingles(docs: DataFrame, width: int, share: float) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([sum(map(len, sets))], pa.int64())], ["key", "n", "all"])
     counted = stage(docs.select("text").mapInArrow(work, "key long, n long, all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "common")
     total = counted.agg(F.sum("all")).first()[0] or 0
-    return np.sort(counted.filter(F.col("n") >= max(8, total * share)).select("key").toArrow()["key"].to_numpy())
+    found = counted.filter(F.col("n") >= max(8, total * share)).select("key", "n").toArrow()
+    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
+    by_key, rank = np.argsort(keys), np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, n))] = np.arange(len(keys))
+    return keys[by_key], rank[by_key]
 
 
-def shingle_sets(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
     """(doc_id, version, n, high, low, rare, often): size and digest of each set, and its prefix, uncommon and common elements apart."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches):
-        last = shared.value
+        last, rank = shared.value
         for batch in batches:
             at = 0
             for words in _slices(batch.column(2)):
                 columns = [[], [], [], [], []]
                 for own in _sets(words, width):
                     digest = xxhash.xxh3_128_intdigest(own.tobytes())
-                    is_common = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
-                    length = min(len(own), len(own) - _needed(len(own)) + 2)
+                    place = np.minimum(np.searchsorted(last, own), len(last) - 1)
+                    is_common = last[place] == own if len(last) else np.zeros(len(own), bool)
+                    length = min(len(own), len(own) - _needed(len(own)) + _extra(len(own)))
                     rare = own[~is_common][:length]
+                    often = own[is_common][np.argsort(rank[place[is_common]])][:length - len(rare)] if len(rare) < length else own[:0]
                     for column, value in zip(columns, (len(own), (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63),
-                                                       rare, own[is_common][:length - len(rare)]), strict=True):
+                                                       rare, often), strict=True):
                         column.append(value)
                 part = slice(at, at + len(words))
                 at += len(words)
@@ -116,16 +128,23 @@ def shingle_sets(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
 
 
 def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(n, high, low, elements) of every text."""
+    """(row, elements) of texts with the row and digest of the kind they are expected to be; of texts side by side that agree, one."""
     def work(batches):
+        last = None
         for batch in batches:
-            for words in _slices(batch.column(0)):
-                sets = _sets(words, width)
-                digests = [xxhash.xxh3_128_intdigest(own.tobytes()) for own in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()),
-                                                  pa.array([(d & (2**64 - 1)) - (1 << 63) for d in digests], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                                                 ["n", "high", "low", "elements"])
-    return texts.select("text").mapInArrow(work, "n long, high long, low long, elements array<long>")
+            at = 0
+            for words in _slices(batch.column(3)):
+                rows, kept = [], []
+                expected = [c[at:at + len(words)].to_pylist() for c in batch.columns[:3]]
+                at += len(words)
+                for row, high, low, own in zip(*expected, _sets(words, width), strict=True):
+                    digest = xxhash.xxh3_128_intdigest(own.tobytes())
+                    if row != last and ((digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63)) == (high, low):
+                        rows.append(row)
+                        kept.append(own)
+                        last = row
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], ["row", "elements"])
+    return texts.select("row", "high", "low", "text").mapInArrow(work, "row long, elements array<long>")
 
 
 def _overlap_needed(a: Column, b: Column) -> Column:
@@ -138,8 +157,12 @@ def _may_link(a: Column, b: Column) -> Column:
 
 def _shared_needed(a: Column, b: Column) -> Column:
     """Least number of common prefix elements of two linked sets: what the larger one has behind its prefix can add no more."""
-    large = F.greatest(a, b)
-    return F.greatest(F.lit(2), _overlap_needed(a, b) - (F.ceil(large * NUMERATOR / F.lit(DENOMINATOR) - 1e-9) - 2))
+    behind = lambda n: F.ceil(n * NUMERATOR / F.lit(DENOMINATOR) - 1e-9) - _more(n)
+    return F.greatest(_more(F.least(a, b)), _overlap_needed(a, b) - F.greatest(behind(a), behind(b)))
+
+
+def _more(n: Column) -> Column:
+    return 2 + F.floor(n / 20)
 
 
 def _compared(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -198,7 +221,14 @@ def _boundary(open_: DataFrame) -> int:
 
 def _meeting_stars(open_: DataFrame) -> DataFrame:
     """(a, b): stars of different groups with two open lists in common and sizes that may link."""
+    # The open lists of two stars that link have so many elements in common that the shortest lists of each suffice.
     open_ = stage(open_, "open")
+    of_star = Window.partitionBy("star")
+    least = _more(F.ceil(F.min("low").over(of_star) * NUMERATOR / F.lit(DENOMINATOR) - 1e-9))
+    lengths = open_.groupBy("key").agg(F.count("*").alias("stars"))
+    open_ = stage(open_.join(lengths, "key").withColumns({
+        "place": F.row_number().over(of_star.orderBy("stars", "key")), "last": F.count("*").over(of_star) - least + 2})
+        .filter("place <= last").drop("stars", "place", "last"), "open")
     bound = _boundary(open_)
     sized = open_.join(open_.groupBy("star").agg(F.count("*").alias("q")), "star").withColumn("small", F.col("q") <= bound)
     side = lambda s: sized.select("key", "small", *[F.col(c).alias(f"{c}_{s}") for c in ("star", "group", "low", "high")]).withColumnRenamed("small", f"small_{s}")
@@ -227,15 +257,17 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
     """
     docs = docs.select("doc_id", "text").withColumn("version", F.xxhash64("text"))
     sets = stage(shingle_sets(docs, common_shingles(docs, width, common_share), width), "sets")
+    named = stage(sets.drop("rare", "often"), "named")
     # Kinds get their numbers once, in a written table.
     kinds = stage(sets.filter("n > 0").groupBy("n", "high", "low").agg(F.min("doc_id").alias("first"), F.min("version").alias("version"))
                   .withColumn("row", F.monotonically_increasing_id()), "kinds")
     lists = stage(inverted_lists(sets, kinds), "lists")
-    several = lists.groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
-    involved = kinds.join(several, "row", "left_semi")
-    texts = docs.join(involved.select("version").distinct(), "version", "left_semi")
-    elements = stage(_whole_sets(texts, width).join(involved.select("n", "high", "low", "row"), ["n", "high", "low"])
-                     .groupBy("row").agg(F.first("elements").alias("elements")), "elements")
+    drop(sets)
+    # A set with fewer elements in lists than any link of it needs has no link.
+    least = _more(F.ceil(F.col("n") * NUMERATOR / F.lit(DENOMINATOR) - 1e-9))
+    several = lists.groupBy("row").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= least).select("row")
+    lists = stage(lists.join(several, "row", "left_semi"), "lists")
+    elements = stage(_whole_sets(docs.join(kinds.join(several, "row", "left_semi").select("version", "row", "high", "low"), "version"), width), "elements")
 
     spark, none = docs.sparkSession, "a long, b long, distance double"
     found, free = [spark.createDataFrame([], none)], lists
@@ -282,7 +314,7 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
 
     grouped = kinds.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(names, "component").select("n", "high", "low", "component", "component_id")
-    return sets.select("doc_id", "version", "n", "high", "low").join(named, ["n", "high", "low"], "left").select(
+    told = grouped.join(names, "component").select("n", "high", "low", "component", "component_id")
+    return named.join(told, ["n", "high", "low"], "left").select(
         "doc_id", "version", F.col("n").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
