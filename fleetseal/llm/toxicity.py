@@ -49,7 +49,7 @@ def _cuts(free: np.ndarray) -> np.ndarray:
     return np.concatenate([[-np.inf], free[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(free[1:], -30, 8)))]), [np.inf]])
 
 
-def fit_arrays(rows: np.ndarray, columns: np.ndarray, n_columns: int, grade: np.ndarray, grades: int, penalty: float = 0.0002,
+def fit_arrays(rows: np.ndarray, columns: np.ndarray, n_columns: int, grade: np.ndarray, grades: int, penalty: float = 0.0005,
                rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds. (rows, columns) are the cells of a binary matrix, ``grade`` runs from 0 to grades - 1.
 
@@ -99,7 +99,7 @@ def _telling(parents: np.ndarray, codes: np.ndarray, n_words: int, grade: np.nda
     return np.sort(chosen[test[chosen] >= 0])
 
 
-def fit(labelled: DataFrame, grades: int, rows: int = 8192, least: int = 3, features: int = 2000, penalty: float = 0.0002, text: str = "text") -> Model:
+def fit(labelled: DataFrame, grades: int, rows: int = 8192, least: int = 3, features: int = 2000, penalty: float = 0.0005, text: str = "text") -> Model:
     """Fit on (text, grade); the caller bounds ``labelled``, of which at most ``rows`` rows are taken by digest of the text.
 
     Features are the ``features`` words, each in ``least`` sampled texts or more, that tell the grades apart best one by one. Null grades are left out, null texts have no words,

@@ -1,12 +1,13 @@
 """The pipeline against a plain version of its stages, and on odd rows."""
 
-import re
 from collections import Counter
 
 import corpus_pipeline as pipeline
 import pytest
 from test_against_brute_force import grouped, plain
 
+from fleetseal.llm import toxicity
+
 COLUMNS = list(pipeline.COLUMNS)
 
 
@@ -29,11 +30,9 @@ def stages(spark, sf, tmp_path_factory):
 def test_stages_against_plain_versions(spark, sf, stages):
     docs, clean, single, masked, mixed, packed = stages
     assert all(s.columns == COLUMNS for s in stages[:5])
-    words = re.compile(r"[^\W_]+")
-    insults = {"idiot", "moron", "clown", "loser", "scum", "stupid", "trash", "pathetic", "worthless", "disgusting"}
-    gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()}
-    toxic = {r.doc_id for r in docs.collect() if insults & set(words.findall(r.text.lower()))}
-    assert len(gone & toxic) > 0.7 * len(toxic) and len(gone - toxic) <= 0.02 * docs.count() + 1
+    model = toxicity.fit(toxicity.labelled_sample(docs, spark.read.parquet(f"{sf}/labels.parquet")), 3)
+    flagged = {r.doc_id for r in toxicity.grade(docs, model).filter("toxic").collect()}
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()} == flagged
     kept = sorted((r.doc_id, r.text) for r in clean.collect())
     assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, _, c in grouped(kept)})
     before = {r.doc_id: r.text for r in single.collect()}
