@@ -6,6 +6,7 @@ The projection grows by the operations of each batch and is merged on read; :fun
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ REGISTRY_TABLE = "reg_changes"
 OUTBOX_TABLE = "outbox"
 
 _ATTEMPTS = 3
+_log = logging.getLogger(__name__)
 
 
 def outbox_rows(events: DataFrame, created_ms: int | None = None, error: bool = False) -> DataFrame:
@@ -97,10 +99,30 @@ def with_retries(write: Callable[[], None], on_failure: Callable[[str, int], Non
             time.sleep(0.1 * 2 ** (attempt - 1))
 
 
+def failure_log(store: StateStore, sink: str, host: str = "driver") -> Callable[[str, int], None]:
+    """A callback for :func:`with_retries`: every failed try becomes a sink failure in the outbox.
+
+    A store that cannot take it either is reported to the log, and the failure of the batch stays the one that counts.
+    """
+    def record(reason: str, attempt: int) -> None:
+        row = [(host, int(time.time() * 1000), sink, reason, attempt)]
+        try:
+            tried = store.spark.createDataFrame(row, "host string, t_ms bigint, sink string, reason string, attempt int")
+            store.commit(append={OUTBOX_TABLE: admit_new(store, findings.sink_failures(tried), error=True)})
+        except Exception:  # noqa: BLE001 - must not hide the failure it reports
+            _log.exception("cannot record that %s failed with %s on try %s", sink, reason, attempt)
+    return record
+
+
 def start_projection(changes: DataFrame, store: StateStore, checkpoint: str,
                      write: Callable[[StateStore, DataFrame, int], None] = write_file_changes,
-                     on_failure: Callable[[str, int], None] = lambda reason, attempt: None, **trigger) -> StreamingQuery:
-    """Run a change stream into the store. ``trigger`` is what ``DataStreamWriter.trigger`` takes."""
+                     on_failure: Callable[[str, int], None] | None = None, **trigger) -> StreamingQuery:
+    """Run a change stream into the store. ``trigger`` is what ``DataStreamWriter.trigger`` takes.
+
+    Failed tries go to the outbox unless ``on_failure`` takes them.
+    """
+    on_failure = on_failure or failure_log(store, "projection")
+
     def process(batch: DataFrame, batch_id: int) -> None:
         with_retries(lambda: write(store, batch, batch_id), on_failure)
 

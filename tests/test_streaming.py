@@ -205,3 +205,15 @@ def test_live_file_pipeline_from_raw_notifications(spark, tmp_path):
         (7776, "Created", "x.exe"), (7777, "RenamedOrMoved", None)]
     # Both changes came in one batch, so the rename finds no stored evidence yet, but it removes the old path.
     assert rows(pipelines.read_projection(store), "normalized_entity", "previous_hash") == [("C:/B", "")]
+
+
+def test_failed_tries_become_sink_failures(spark, tmp_path):
+    store, left = StateStore(spark, f"{tmp_path}/state"), [1, 2]
+
+    def write():
+        if left:
+            left.pop()
+            raise OSError("full")
+    pipelines.with_retries(write, pipelines.failure_log(store, "files", "h"))
+    got = pipelines.current_outbox(store).select("host", "event_id", "error", F.col("fields")["reason"], F.col("fields")["attempt"])
+    assert rows(got) == [("h", 7793, True, "OSError", "1"), ("h", 7793, True, "OSError", "2")]
