@@ -41,6 +41,10 @@ _NAMED = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})",
 _NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _DOT_AFTER = re.compile(r"(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])", re.I)
 _DOT_CHAIN = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+|(?<![0-9])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9])", re.I)
+# Spoken dots within a name; they count only if a sign follows that is written or stands in brackets.
+_NAME_CHAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s+dot\s+[A-Za-z0-9._%+-]++)++", re.I)
+_SIGN_NEXT = re.compile(r"@[A-Za-z0-9-]|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*[A-Za-z0-9]", re.I)
+_NAME_DOT = re.compile(r"\s+dot\s+", re.I)
 _ANY_DIGIT_WORD = re.compile(r"\b(?:%s)\b" % "|".join(_DIGITS), re.I)
 _ITEM = r"(?:%s|[0-9]+)" % "|".join(_DIGITS)
 _SIGN = r"(?:%s)" % "|".join(_SIGNS)
@@ -149,6 +153,13 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
     return _apart(edits)
 
 
+def _name_dots(text: str) -> list[tuple[int, int, str]]:
+    if "dot" not in text.lower():
+        return []
+    return [(m.start(), m.end(), ".") for chain in _NAME_CHAIN.finditer(text) if _SIGN_NEXT.match(text, chain.end())
+            for m in _NAME_DOT.finditer(text, chain.start(), chain.end())]
+
+
 def _dots(text: str) -> list[tuple[int, int, str]]:
     """Spoken dots count within a domain after its sign, and between the four parts of an address."""
     return [(chain.start() + m.start(), chain.start() + m.end(), ".") for chain in _DOT_CHAIN.finditer(text) for m in _DOT_AFTER.finditer(chain[0])]
@@ -172,11 +183,14 @@ def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return kept
 
 
-_TRANSDUCERS = (_invisible, _digits, _signs, _dots)
+_TRANSDUCERS = (_invisible, _digits, _name_dots, _signs, _dots)
 
 
 def disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that only the rewritten text shows, as spans of the source; none overlaps a plain one of its kind."""
+    """Identifiers that the rewritten text shows, as spans of the source, but for those inside a plain one of their kind.
+
+    A plain one may be a fragment of a disguised one; both are found then.
+    """
     now, rewrites = _homoglyphs(text), []
     swapped = now is not text and now != text
     for transducer in _TRANSDUCERS:
@@ -191,8 +205,8 @@ def disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
         for rewrite in reversed(rewrites):
             start, end = rewrite.back(start, end)
         own = taken[kind]
-        i = bisect_right(own, (start, len(text))) - 1
-        if not any(a < end and start < b for a, b in own[max(i, 0):i + 2]):
+        i = bisect_right(own, (start, len(text))) - 1  # plain ones of a kind lie apart
+        if i < 0 or own[i][1] < end:
             found.append((start, kind, end))
     return sorted(set(found))
 

@@ -189,6 +189,26 @@ def test_disguises(text, spans):
     assert [s for s in got if s not in spans] == [] and set(spans) <= set(got) | {f"{private.KINDS[k]}:{a}:{b}" for a, k, b in plain}
 
 
+PARTLY_PLAIN = [
+    ("j\u043ehn@example.com", ["email:0:16", "email:2:16"], "[EMAIL]"),
+    ("jane[dot]doe@example.com", ["email:0:24", "email:9:24"], "[EMAIL]"),
+    ("john@mail.example[dot]com", ["email:0:25", "email:0:17"], "[EMAIL]"),
+    ("jo\u200bhn@example.com", ["email:0:17", "email:3:17"], "[EMAIL]"),
+    ("+1 415 555 26\uff17", ["phone:0:13", "phone:0:14"], "[PHONE]"),
+    ("ask jane dot doe@example.com", ["email:4:28", "email:13:28"], "[EMAIL]"),
+    ("jane dot doe [at] example dot com", ["email:0:33"], "[EMAIL]"),
+    ("john@example.com and \u0430nn@example.com", ["email:0:16", "email:21:36", "email:22:36"], "[EMAIL] and [EMAIL]"),
+]
+
+
+@pytest.mark.parametrize("text, spans, masked", PARTLY_PLAIN)
+def test_partly_plain_spans(spark, text, spans, masked):
+    df = spark.createDataFrame([(text,)], "text string")
+    found = [f"{s.kind}:{s.start}:{s.end}" for s in private.find(df).first().spans]
+    assert sorted(found) == sorted(spans)
+    assert masked in private.mask(df).first().text and "@" not in private.mask(df).first().text
+
+
 def test_private(odd_docs, none, spark):
     assert all(r.spans == [] for r in private.find(odd_docs).collect()) and private.find(none).count() == 0
     assert rows(private.mask(odd_docs), "doc_id", "text", "size") == rows(odd_docs, "doc_id", "text", "size")
