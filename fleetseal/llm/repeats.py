@@ -1,7 +1,8 @@
 """Remove sentences that repeat elsewhere, wherever a run of several consecutive sentences occurs again.
 
-A sentence ends after . ! or ? before white space, and at a line break; a sentence of more than ``LONG`` words counts as several,
-cut every ``CUT`` words. From each sentence on, the shortest run of at least ``several`` sentences and ``words`` words is hashed;
+A sentence ends after . ! or ? before white space, and at a line break; a sentence of more than ``LONG`` words counts as several.
+It is cut before the word whose hash is the smallest of any ``CUT`` neighbouring words, the rightmost of equal ones, so that a
+passage is cut alike wherever in a sentence it begins, but for its first and last words. From each sentence on, the shortest run of at least ``several`` sentences and ``words`` words is hashed;
 equal runs meet in one join over the whole corpus. Every sentence covered by a run that is not the first of its kind goes.
 """
 
@@ -15,22 +16,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetseal.llm.common import stage
-
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LINE_BREAK = re.compile(r"[\x0A-\x0D]")
 _BREAKS = bytes.maketrans(b"\r\x0B\x0C", b"\n\n\n")
 LONG, CUT = 24, 12
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """Where a long sentence is cut: the places of the smallest hash of every ``CUT`` words in a row, at most ``CUT`` apart."""
+    hashes, out, at = [xxhash.xxh3_64_intdigest(w) for w in words], [], -1
+    for last in range(CUT - 1, len(hashes)):
+        if at <= last - CUT:
+            first = last - CUT + 1
+            at = max(range(first, last + 1), key=lambda i: (-hashes[i], i))
+        elif hashes[last] <= hashes[at]:
+            at = last
+        else:
+            continue
+        out.append(at)
+    return out[1:] if out and out[0] == 0 else out
+
+
+def _spans(words: list[bytes]):
+    """(first, behind the last) word of every part of a sentence."""
+    edges = [0, *(cuts(words) if len(words) > LONG else ()), len(words)]
+    return zip(edges, edges[1:])
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of every sentence; between two of them there is white space only."""
     out, begin, end, words = [], 0, 0, []
 
     def close():
-        step = CUT if len(words) > LONG else max(len(words), 1)
-        for at in range(0, len(words), step):
-            part = words[at:at + step]
+        for at, behind in _spans([w.encode() for _, _, w in words]):
+            part = words[at:behind]
             out.append((part[0][0], part[-1][1], [w for _, _, w in part]))
 
     for match in _WORD.finditer(text):
@@ -56,7 +75,7 @@ def worded(text: bytes) -> list[tuple[int, bytes]]:
     for part in text.translate(_BREAKS).split(b"\n"):
         words = part.split()
         if len(words) > LONG:
-            out += [(len(words[at:at + CUT]), b" ".join(words[at:at + CUT])) for at in range(0, len(words), CUT)]
+            out += [(behind - at, b" ".join(words[at:behind])) for at, behind in _spans(words)]
         elif words:
             out.append((len(words), b" ".join(words)))
     return out
@@ -92,7 +111,7 @@ def _all_runs(batches, several: int, words: int):
 
 @F.arrow_udf(T.StructType().add("n_sentences", "long").add("n_removed", "long").add("removed", "string").add("text", "string"))
 def _without(texts: pa.Array, covered: pa.Array) -> pa.Array:
-    """The text without the covered sentences; a removed stretch takes the white space behind it along."""
+    """The text without the covered sentences, runs as first << 31 | number; a removed stretch takes the white space behind it along."""
     rows = []
     for text, spans in zip(texts, covered, strict=True):
         text, spans = text.as_py(), spans.as_py() or []
@@ -101,7 +120,8 @@ def _without(texts: pa.Array, covered: pa.Array) -> pa.Array:
             continue
         found, gone = sentences(text), set()
         for span in spans:
-            gone.update(range(span["first"], span["behind"]))
+            first = span >> 31
+            gone.update(range(first, first + (span & (1 << 31) - 1)))
         parts, removed, at, i = [], [], 0, 0
         while i < len(found):
             j = i
@@ -124,14 +144,16 @@ def remove(docs: DataFrame, several: int = 2, words: int = 12) -> DataFrame:
     stay null, empty ones and those with too few words lose nothing. Other columns stay; those named like the added are replaced.
     """
     version = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version"), "text").mapInArrow(
+    # Worked out anew by each of the two that read it: that takes less than a copy of every run on disk.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version"), "text").mapInArrow(
         lambda batches: _all_runs(batches, several, words),
-        "doc_id long, version long, first int, behind int, high long, low long, again boolean").withColumn(
-            "doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))), "runs")
+        "doc_id long, version long, first int, behind int, high long, low long, again boolean").select(
+            F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "version", "high", "low",
+            (F.shiftleft(F.col("first").cast("long"), 32) + (F.col("behind") - F.col("first")).cast("long") * 2 + F.col("again").cast("long")).alias("place"))
     often = found.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(often, ["high", "low"]).filter((F.col("doc_id") > F.col("owner")) | F.col("again"))
-    covered = later.select("doc_id", "version", "first", "behind").distinct().groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("first", "behind")).alias("__covered"))  # bounded by the sentences of one document
+    later = found.join(often, ["high", "low"]).filter((F.col("doc_id") > F.col("owner")) | (F.col("place") % 2 == 1))
+    covered = later.groupBy("doc_id", "version").agg(
+        F.collect_set(F.shiftright("place", 1)).alias("__covered"))  # bounded by the sentences of one document
     others = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "removed")]
     left = docs.select(*others, "text").withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__version": version})
     joined = left.join(covered, (F.col("__doc") == covered["doc_id"]) & (F.col("__version") == covered["version"]), "left").select(

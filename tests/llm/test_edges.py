@@ -254,3 +254,26 @@ def test_repeats(odd_docs, none):
     first, second = ([r for r in got if r[0] == i][0] for i in (5, 6))
     assert second[2] > 0.9 * second[1] and second[2] > first[2]
     assert (2, 0, 0, None) in got and (3, 0, 0, "") in got
+
+
+def test_repeats_at_other_offsets_of_long_sentences(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(60)
+    texts = [" ".join([*new(100), *passage, *new(100)])] + [" ".join([*new(40 + k), *passage, *new(80)]) for k in range(12)]
+    got = repeats.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        left = len(set(passage) & set(r.text.split()))
+        assert set(texts[r.doc_id].split()) - set(r.text.split()) <= set(passage)
+        assert left == 60 if r.doc_id == 0 else left <= 24
+
+
+def test_cuts_follow_the_words():
+    rng = random.Random(2)
+    words = [f"v{rng.randrange(500)}".encode() for _ in range(3000)]
+    cut = repeats.cuts(words)
+    assert max(b - a for a, b in zip([0, *cut], [*cut, len(words)], strict=True)) <= 2 * repeats.CUT
+    for skip in (1, 7, 400):
+        behind = skip + repeats.CUT
+        assert [c - skip for c in cut if c >= behind] == [c for c in repeats.cuts(words[skip:]) if c >= repeats.CUT]
+    assert repeats.cuts([b"a", b"b"] * 40)[repeats.CUT:] == list(range(repeats.cuts([b"a", b"b"] * 40)[repeats.CUT], 80, 2))
