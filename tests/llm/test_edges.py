@@ -39,6 +39,24 @@ def test_tree_is_a_distribution(spark):
         assert abs((10 ** tree.lookup(np.array(grams, np.int64))).sum() - 1) < 1e-6
 
 
+def test_what_is_held_does_not_change_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).cache()
+    train = F.col("doc_id") % 5 > 0
+    whole = {r.doc_id: r for r in suffix_tree.score(docs, train, frequent_share=0.0).collect()}
+    for held, share in ((0, 2.0**-6), (3000, 2.0**-11)):
+        got = suffix_tree.score(docs, train, held=held, frequent_share=share).collect()
+        assert len(got) == len(whole)
+        for r in got:
+            assert (r.n_known, r.n_tokens) == (whole[r.doc_id].n_known, whole[r.doc_id].n_tokens)
+            assert abs(r.score - whole[r.doc_id].score) < 1e-6 * abs(r.score) and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6 * abs(r.base_score)
+
+
+def test_rare_contexts_become_states_in_large_tables(spark):
+    grams = spark.createDataFrame([(int.from_bytes(b"aaaa", "big"), 10**9), (int.from_bytes(b"aqon", "big"), 20), (int.from_bytes(b"aaob", "big"), 10**6)], "key long, n long")
+    kept = suffix_tree.states(grams, 3, 10**9 + 10**6 + 20)
+    assert [r.n for r in kept.filter(F.col("ctx") == int.from_bytes(b"qo", "big")).filter("len = 2").collect()] == [20]
+
+
 def test_winnowing(odd_docs, none):
     docs = odd_docs.select("doc_id", "text")
     got = winnow.with_next(docs)
