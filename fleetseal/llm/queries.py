@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetseal.llm import chat, jaccard, mixing, nearest, packing, private, repeats, suffix_tree, toxicity, winnow
+from fleetseal.llm import chat, jaccard, mining, mixing, nearest, packing, private, repeats, sharding, suffix_tree, toxicity, variants, winnow
 from fleetseal.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,94 @@ def op9_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that an earlier document, or an earlier place, has in a run of several."""
     return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
+@query("""
+WITH ok AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS own, CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM ok a JOIN ok r ON a.id % 100 = 0 AND a.id <> r.id AND len(a.v) = len(r.v)),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM pairs WHERE own) WHERE place <= 5),
+inside AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.own AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM inside WHERE rank <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that lie a little below each positive of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", "embedding", label.alias("label"))
+    return mining.mine(rows.filter(F.col("vec_id") % 100 == 0), rows)
+
+
+# Unsigned crc32 of the list of bytes "bytes" in SQL: a table of 256 remainders made by its rule, then one step per byte.
+_CRC_TABLE = """bits AS (SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)"""
+_CRC = "xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+
+
+_SHARDS = 40
+
+
+def _sql_tree(tree) -> str:
+    """The tree as rows (region, rack, number, weight)."""
+    return ", ".join(f"('{s.region}', '{s.rack}', {s.number}, {float(s.weight)}::DOUBLE)" for s in tree)
+
+
+def _sql_descent(name: str, tree) -> str:
+    """Node of every distinct id after each level: at each the child of smallest draw."""
+    def level(i: int, node: str, parent: str) -> str:
+        return f"""{name}{i} AS (SELECT k.key, arg_min(c.child, -ln((('0x' || substr(md5('shard|' || c.child || '|' || k.key), 1, 13))::BIGINT + 0.5) / 4503599627370496) / c.weight) AS node
+  FROM {name}{i - 1} k JOIN (SELECT {parent} AS parent, {node} AS child, sum(weight) AS weight FROM (VALUES {_sql_tree(tree)}) v(region, rack, number, weight) GROUP BY ALL) c
+  ON c.parent = k.node GROUP BY k.key)"""
+    return ",\n".join([f"{name}0 AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, '' AS node FROM documents)",
+                       level(1, "region", "''"), level(2, "region || '/' || rack", "region"),
+                       level(3, "region || '/' || rack || '/' || number", "region || '/' || rack")])
+
+
+@query(f"""
+WITH RECURSIVE {_CRC_TABLE},
+{_sql_descent("now", sharding.uniform_tree(_SHARDS))},
+{_sql_descent("then", sharding.grown(sharding.uniform_tree(_SHARDS)))},
+listed AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, {_bytes("coalesce(text, '')")} AS bytes FROM documents),
+summed AS (SELECT doc_id, size, {_CRC} AS text_crc32 FROM listed, remainders),
+parted AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // 4096 * 4096 AS part FROM summed),
+placed AS (SELECT p.*, CAST(split_part(n.node, '/', 3) AS INTEGER) AS shard, CAST(split_part(t.node, '/', 3) AS INTEGER) AS grown_shard
+  FROM parted p JOIN now3 n ON n.key = coalesce(CAST(doc_id AS VARCHAR), 'null') JOIN then3 t ON t.key = n.key)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY
+  substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), size, text_crc32, part)), 1, 3), doc_id NULLS FIRST, size, text_crc32, part) - 1 AS BIGINT) AS slot,
+  grown_shard FROM placed""")
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document, its place there, and its shard once there is one more."""
+    placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.uniform_tree(_SHARDS))
+    return sharding.manifest(placed).withColumn("law", F.lit("key"))
+
+
+@query(f"""
+WITH RECURSIVE {_CRC_TABLE},
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+listed AS (SELECT doc_id, run, count(*) AS many, {_bytes("doc_id || ':' || run")} AS bytes FROM found GROUP BY doc_id, run),
+summed AS (SELECT run, many, CASE WHEN bytes IS NOT NULL THEN {_CRC} END AS h FROM listed, remainders),
+kept AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, many FROM summed),
+words AS (SELECT word, CAST(sum(many) AS BIGINT) AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(many) >= 5),
+places AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM words),
+skips AS (SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM places WHERE i < length(word)),
+gaps AS (SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 1) AS s FROM places),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skips a JOIN gaps b ON a.p = b.p AND a.s = b.s
+  UNION SELECT b.word, a.word, a.n FROM skips a JOIN gaps b ON a.p = b.p AND a.s = b.s),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM near GROUP BY word),
+named AS (SELECT b.word, b.n_near, b.best_n, min(n.other) AS best FROM best b JOIN near n ON n.word = b.word AND n.other_n = b.best_n GROUP BY ALL),
+judged AS (SELECT w.word, w.n, CASE WHEN m.best_n >= 5 * w.n THEN m.best END AS form, CASE WHEN m.best_n >= 5 * w.n THEN m.best_n END AS form_n, coalesce(m.n_near, 0) AS n_near
+  FROM words w LEFT JOIN named m ON w.word = m.word),
+ways AS (SELECT word, word AS at FROM judged UNION ALL SELECT w.word, j.form FROM ways w JOIN judged j ON j.word = w.at WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, w.at AS root, j.n, CAST(j.n_near AS BIGINT) AS n_near, j.form_n FROM judged j JOIN ways w ON w.word = j.word JOIN judged e ON e.word = w.at AND e.form IS NULL""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the commoner word that it is a variant of."""
+    return variants.group(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
