@@ -160,9 +160,13 @@ def parse_event(text: Column) -> Column:
 
     A line that begins with a tab continues the value before it; of a repeated name the first counts.
     """
-    lines = F.filter(F.split(text, "\n(?!\t)"), lambda x: x.contains(": "))
     name = lambda x: F.substring_index(x, ": ", 1)
-    names = F.transform(lines, name)
-    first = F.filter(lines, lambda x, i: F.array_position(names, name(x)) == i + 1)
     value = lambda x: F.replace(F.substr(x, F.length(name(x)) + 3), F.lit("\n\t"), F.lit("\n"))
-    return F.map_from_entries(F.transform(first, lambda x: F.struct(name(x).alias("name"), value(x).alias("value"))))
+
+    def add(seen: Column, x: Column) -> Column:
+        known = ~x.contains(": ") | F.exists(seen, lambda e: e["name"] == name(x))
+        return F.when(known, seen).otherwise(F.concat(seen, F.array(F.struct(name(x).alias("name"), value(x).alias("value")))))
+
+    # One fold: the text is split once, however long it takes to come about.
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return F.map_from_entries(F.aggregate(F.split(text, "\n(?!\t)"), none, add))

@@ -117,26 +117,25 @@ def resolve_handles(trace: DataFrame, clears: DataFrame | None = None, order: Se
     binding = F.coalesce(binding, F.when(real & (F.col("op") == "delete"), F.struct(
         F.lit(None).cast("string").alias("path"), F.col(order[0]).alias("at"))))
     bound = running(trace, ["host", "handle"], order, {"__bound": ("last", binding)}, widths).filter("op = 'use'")
+    if clears is not None:
+        bound = with_last_clear(bound, clears, order[0], widths)
     path, at = F.col("__bound.path"), F.col("__bound.at")
     if clears is not None:
-        bound = _with_last_clear(bound, trace, clears, order[0], widths)
         path = F.when(F.col("__cleared").isNull() | (at > F.col("__cleared")), path)
     return bound.select(*[c for c in trace.columns if c != "path"], F.when(real, path).alias("resolved_path"))
 
 
-def _with_last_clear(rows: DataFrame, trace: DataFrame, clears: DataFrame, time: str, widths: Sequence[int]) -> DataFrame:
-    """Add ``__cleared``: the newest clear of the host up to each row.
+def with_last_clear(rows: DataFrame, clears: DataFrame, time: str, widths: Sequence[int] = DEFAULT_WIDTHS) -> DataFrame:
+    """Add ``__cleared``: the newest clear of the host up to the time of each row, that time included.
 
-    Clears are few and are kept per host and chunk of time; only chunks, not rows, are scanned for what came before.
+    Clears and rows are put into one order per host, and the time of the last clear is carried along it; however many clears there are, a
+    row compares with one.
     """
-    chunk = (F.col(time) - F.pmod(F.col(time), F.lit(widths[0]))).alias("__c")
-    seen = trace.select("host", chunk).distinct().select("host", "__c", F.lit(None).cast("bigint").alias("__t"))
-    both = seen.unionByName(clears.select("host", chunk, F.col(time).alias("__t")))
-    per_chunk = both.groupBy("host", "__c").agg(F.array_sort(F.collect_list("__t")).alias("__marks"), F.max("__t").alias("__newest"))
-    carried = running(per_chunk, ["host"], ["__c"], {"__earlier": ("max", F.col("__newest"))}, widths[1:], inclusive=False)
-    joined = rows.withColumn("__c", chunk).join(carried.select("host", "__c", "__marks", "__earlier"), ["host", "__c"], "left")
-    within = F.array_max(F.filter("__marks", lambda m: m <= F.col(time)))
-    return joined.withColumn("__cleared", F.coalesce(within, "__earlier"))
+    side = rows.select("*", F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__clear"))
+    marks = clears.select("host", F.col(time), F.lit(0).alias("__side"), F.col(time).cast("bigint").alias("__clear"))
+    both = side.unionByName(marks, allowMissingColumns=True)
+    carried = running(both, ["host"], [time, "__side"], {"__cleared": ("max", F.col("__clear"))}, widths)
+    return carried.filter("__side = 1").select(*rows.columns, "__cleared")
 
 
 def resolve_accounts(rows: DataFrame, local: DataFrame, translated: DataFrame, sid: str = "sid") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Times are compared as UTC; adaptive execution sizes partitions and splits skewed join sides at run time.
 SETTINGS = {
@@ -34,3 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     return tempfile.mkdtemp(prefix="fleetseal-checkpoint-")
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` once to a new folder below the checkpoint folder and read it back, so that later steps share one result."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
