@@ -322,6 +322,8 @@ def with_tables(sql: str) -> str:
     body = plain(sql).strip()
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

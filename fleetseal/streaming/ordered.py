@@ -23,6 +23,8 @@ from fleetseal.operators.bursts import WINDOW_MS
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 16
+# Due of a row without a time: always late.
+_NO_TIME = -(2**62)
 
 
 @contextmanager
@@ -91,12 +93,13 @@ class InOrder(StatefulProcessor):
         fresh, wake = [], self._woken()
         for row in map(tuple, rows):
             due = row[self.at["due"]]
-            if due <= mark:
+            # Before the first watermark nothing is late.
+            if due <= mark if mark > 0 else due == _NO_TIME:
                 yield from (self.out(*x) for x in self.late(key, row))
                 due = mark + 1  # to look at what it left in the state
             else:
                 fresh.append(row)
-            wake = due if wake is None else min(wake, due)
+            wake = max(due, 1) if wake is None else min(wake, max(due, 1))
         if fresh:
             self.pending.appendList(fresh)
         self._wake(wake)
@@ -193,7 +196,7 @@ def window_stream(notifications: DataFrame, delay: str = "10 seconds", width: in
     late = true and no window, so rows out plus rows still held are rows in. Rows without a time are late as well.
     """
     columns = notifications.columns
-    rows = clocked(notifications, time, delay).withColumns({"due": F.coalesce(F.col(time), F.lit(-(2**62))).cast("bigint"), "__key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
+    rows = clocked(notifications, time, delay).withColumns({"due": F.coalesce(F.col(time), F.lit(_NO_TIME)).cast("bigint"), "__key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
     schema = ", ".join(f"`{n}` {t}" for n, t in notifications.dtypes) + ", window_ms bigint, late boolean"
     assert not {"due", "window_ms", "late", "__key"} & set(columns)
     return _run(rows, ["__key"], _Windows(rows, [order], width), schema)
@@ -279,6 +282,8 @@ class _Bound(InOrder):
 
     def take(self, key: tuple, row: tuple) -> Iterator[tuple]:
         op, name, value = (row[self.at[n]] for n in ("op", "name", "value"))
+        if op in ("bind", "unbind") and name is None:
+            return
         if op == "bind":
             self.bound.updateValue((name,), (value,))
         elif op == "unbind":
@@ -289,7 +294,7 @@ class _Bound(InOrder):
         elif op == "mark":
             if not self.marked.exists():
                 self.marked.update((row[self.at["due"]],))
-        else:
+        elif op == "use":
             yield self._answer(key, row, False)
 
     def late(self, key: tuple, row: tuple) -> Iterator[tuple]:
@@ -349,7 +354,7 @@ def handle_stream(trace: DataFrame, clears: DataFrame, delay: str = "10 seconds"
     """
     op = F.when((F.col("op") == "create") & (F.col("path") != ""), "bind").when(F.col("op") == "delete", "unbind").when(F.col("op") == "use", "use")
     rows = clocked(trace, "t_ms", delay).select("host", "t_ms", F.col("seq").cast("bigint").alias("seq"), op.alias("op"), F.when(F.col("handle") != 0, F.col("handle").cast("string")).alias("name"),
-                        F.col("path").alias("value"), F.col("handle").alias("by")).filter("op IS NOT NULL AND (name IS NOT NULL OR op = 'use')")
+                        F.col("path").alias("value"), F.col("handle").alias("by"))
     lost = clocked(clears, "t_ms", delay).select("host", "t_ms", F.lit(0).cast("bigint").alias("seq"), F.lit("clear").alias("op"), F.lit(None).cast("string").alias("name"),
                          F.lit(None).cast("string").alias("value"), F.lit(None).cast(dict(rows.dtypes)["by"]).alias("by"))
     found = _bound_stream(rows.unionByName(lost), buckets, F.col("op") == "clear", F.col("by"))

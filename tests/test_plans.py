@@ -8,7 +8,8 @@ from __spark_entry__ import QUERIES, queries
 
 DIRECTORY = "/root/testdata/sf0.001"
 # These run jobs of their own while they are built.
-EAGER = {"stream_latest_state", "stream_burst_collapse", "stream_outbox", "reconcile_runs", "delivery_run", "content_scan"}
+EAGER = {"stream_latest_state", "stream_burst_collapse", "stream_outbox", "reconcile_runs", "delivery_run", "content_scan",
+         "stream_first_arrival", "stream_late_rows", "stream_file_attribution", "stream_process_state", "stream_handle_resolution"}
 
 
 def plan(spark, name):
