@@ -22,7 +22,7 @@ from fleetseal.llm.components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-_SLICE = 8 << 20
+_SLICE = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

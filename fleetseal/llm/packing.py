@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetseal.llm.common import stage
+from fleetseal.llm.common import in_parts, stage
 
 CAPACITY = 1024
 _PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity:
     """
     def cut(batches):
         encode = _encoder(vocabulary, ranks)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             ids, rows = batch.column(0), []
             for row, text in enumerate(batch.column(1)):
                 tokens = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")

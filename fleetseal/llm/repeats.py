@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetseal.llm.common import in_parts
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LINE_BREAK = re.compile(r"[\x0A-\x0D]")
 _BREAKS = bytes.maketrans(b"\r\x0B\x0C", b"\n\n\n")
@@ -101,7 +103,7 @@ def runs(text: bytes, several: int = 2, words: int = 12) -> list[tuple[int, int,
 
 def _all_runs(batches, several: int, words: int):
     names = ["doc_id", "version", "first", "behind", "high", "low", "again"]
-    for batch in batches:
+    for batch in in_parts(batches, 2):
         rows = [(row, *run) for row, text in enumerate(batch.column(2).cast(pa.binary())) for run in runs(text.as_py() or b"", several, words)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         at = pa.array(columns[0], pa.int64())

@@ -4,7 +4,8 @@ Symbols are the UTF-8 bytes of the lower-cased words, each followed by a space,
 symbols becomes a state if it is frequent enough and its next-symbol distribution diverges from that of its longest proper
 suffix; the suffixes of a state are states. A state mixes its counts with the distribution of its parent, as heavily as it has
 seen different symbols. Every symbol is scored by the longest state that is a suffix of what came before. The probability of a
-word is the mean of what the tree gives to its symbols and of the smoothed frequency of the word, which remembers long words.
+word is the mean of what the tree gives to its symbols and of the smoothed frequency of the word, which remembers long words. In
+that frequency all words never seen are one class, as they are in the base; a text's score is that of its words up to that class.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from fleetseal.llm.common import stage
 
 START, END, SPACE = 0xFE, 0xFF, 0x20  # the marks are no bytes of UTF-8
-_SLICE = 2 << 20
+_SLICE = 256 << 10
 _WORDS_AT_ONCE = 200_000
 _GRAM, _WORD = 0, 1
 _LEN_SHIFT = 58
