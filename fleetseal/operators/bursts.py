@@ -24,15 +24,16 @@ def normalize_renames(pairs: DataFrame, old_in_scope: Column, new_in_scope: Colu
     Both halves make a Changed with both paths, the old half alone a Deleted, the new half alone a Created; a pair
     without a visible half disappears.
     """
-    old = F.when(F.coalesce(old_in_scope, F.lit(False)), F.col("old_path"))
-    new = F.when(F.coalesce(new_in_scope, F.lit(False)), F.col("new_path"))
-    both = old.isNotNull() & new.isNotNull()
     rest = [c for c in pairs.columns if c not in ("old_path", "new_path", "full_path", "category")]
-    return pairs.select(
+    # The halves are columns of their own first, so that each scope test is worked out once.
+    halves = pairs.select(*rest, F.when(F.coalesce(old_in_scope, F.lit(False)), F.col("old_path")).alias("__old"),
+                          F.when(F.coalesce(new_in_scope, F.lit(False)), F.col("new_path")).alias("__new")).filter("__old IS NOT NULL OR __new IS NOT NULL")
+    old, new = F.col("__old"), F.col("__new")
+    both = old.isNotNull() & new.isNotNull()
+    return halves.select(
         *rest, F.coalesce(new, old).alias("full_path"),
-        F.when(both, "Changed").when(old.isNotNull(), "Deleted").when(new.isNotNull(), "Created").alias("category"),
-        F.when(both, old).alias("old_path"), F.when(both, new).alias("new_path"),
-    ).filter("category IS NOT NULL")
+        F.when(both, "Changed").when(old.isNotNull(), "Deleted").otherwise("Created").alias("category"),
+        F.when(both, old).alias("old_path"), F.when(both, new).alias("new_path"))
 
 
 def touches(notifications: DataFrame, path: str = "full_path", old_path: str = "old_path") -> DataFrame:

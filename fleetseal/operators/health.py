@@ -101,14 +101,33 @@ def overdue_transitions(checks: DataFrame, keys: Sequence[str], order: Sequence[
                     F.when(F.col("overdue"), "BaselineOverdue").otherwise("BaselineCurrent").alias("reason")))
 
 
-def qualification(latencies: DataFrame, keys: Sequence[str] = ("host",), latency: str = "latency_ms") -> DataFrame:
-    """Exact p50, p95, p99 of whole-millisecond latencies per host, from counts per distinct value."""
+_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def qualification(latencies: DataFrame, keys: Sequence[str] = ("host",), latency: str = "latency_ms", widths: Sequence[int] = (1000, 1_000_000)) -> DataFrame:
+    """Exact p50, p95, p99 of whole-millisecond latencies per host, between two values by linear interpolation.
+
+    Distributed selection: values are counted, counts are summed up in order of value within chunks of ``widths`` ms, and the values are picked
+    in which the wanted ranks fall. No task holds the values of a host. Null latencies count as events only.
+    """
+    keys = list(keys)
     counted = latencies.groupBy(*keys, latency).agg(F.count("*").alias("n"))
-    points = counted.groupBy(*keys).agg(
-        F.sum("n").alias("events"), F.max(latency).alias("max_ms"),
-        F.expr(f"percentile({latency}, array(0.5D, 0.95D, 0.99D), n)").alias("p"))
-    return points.select(*keys, "events", "max_ms", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"),
-                         F.col("p")[2].alias("p99"))
+    whole = counted.groupBy(*keys).agg(F.sum("n").alias("events"), F.max(latency).alias("max_ms"), F.sum(F.when(F.col(latency).isNotNull(), F.col("n"))).alias("__known"))
+    placed = running(counted.filter(F.col(latency).isNotNull()), keys, [latency], {"__upto": ("sum", F.col("n"))}, widths)
+    renamed = whole.withColumnsRenamed({k: f"__w_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__w_{k}"))
+    value, before = F.col(latency).cast("double"), F.col("__upto") - F.col("n")
+    at = {name: share * (F.col("__known") - 1) for name, share in _QUANTILES.items()}
+    holds = lambda rank: (before <= rank) & (rank < F.col("__upto"))
+    picked = renamed.join(placed, same, "left").groupBy(*[f"__w_{k}" for k in keys], "events", "max_ms", "__known").agg(
+        *[F.max(F.when(holds(side(rank)), value)).alias(f"{name}_{end}") for name, rank in at.items() for end, side in (("low", F.floor), ("high", F.ceil))])
+
+    def between(name: str) -> Column:
+        rank, low, high = at[name], F.col(f"{name}_low"), F.col(f"{name}_high")
+        return F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high).alias(name)
+    return picked.select(*[F.col(f"__w_{k}").alias(k) for k in keys], "events", "max_ms", *[between(name) for name in _QUANTILES])
 
 
 def peak_rates(events: DataFrame, keys: Sequence[str] = ("host",), time: str = "t_ms",

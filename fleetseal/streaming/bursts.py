@@ -9,23 +9,28 @@ from fleetseal.operators.bursts import WINDOW_MS, touches
 
 
 def _survivors(group: Column, keep_rename_chain: bool) -> Column:
-    """Rows of one path's ordered touches that survive; the rule of :func:`fleetseal.operators.bursts.collapse`."""
-    def survives(item: Column, index: Column) -> Column:
-        earlier = F.slice(group, F.lit(1), index)
-        before = F.get(group, index - 1)
-        lasting = F.filter(earlier, lambda e: (e["arrives"] == 1) & F.when(e["renamed"], keep_rename_chain).otherwise(
-            e["category"].isin("Created", "Deleted")))
-        last_lasting = F.get(lasting, F.size(lasting) - 1)
-        fresh = (
-            F.when(before.isNull(), True)
-            .when(before["arrives"] == 1, (before["category"] == "Deleted") & ~before["renamed"])
-            .otherwise(F.coalesce((last_lasting["category"] == "Deleted") & ~last_lasting["renamed"], F.lit(True))))
-        left_later = F.exists(group, lambda o: (o["arrives"] == 0) & (o["seq"] > item["seq"]))
-        renamed_stays = F.lit(True) if keep_rename_chain else ~((item["category"] == "Changed") & left_later)
-        return (item["arrives"] == 1) & (
-            F.when(item["renamed"], renamed_stays).when(item["category"] == "Changed", fresh & ~left_later).otherwise(True))
+    """Rows of one path's ordered touches that survive; the rule of :func:`fleetseal.operators.bursts.collapse`.
+
+    One fold over the group carries what the touch before was, what the last lasting row was and who survives so far; the last place at which
+    a rename leaves the path is worked out ahead of it. Places of survivors are kept as numbers, and rows are picked at the end.
+    """
+    left_at = F.array_max(F.transform(F.filter(group, lambda o: o["arrives"] == 0), lambda o: o["seq"]))
+    # Nothing, a touch that leaves, or the row before: was it a plain deletion?
+    start = F.struct(F.lit("none").alias("before"), F.lit(True).alias("fresh_after_leave"), F.array().cast("array<boolean>").alias("kept"), F.col("__left_at").alias("left_at"))
 
-    return F.filter(group, survives)
+    def step(state: Column, item: Column) -> Column:
+        left_later = F.coalesce(state["left_at"] > item["seq"], F.lit(False))
+        fresh = F.when(state["before"] == "none", True).when(state["before"] == "left", state["fresh_after_leave"]).otherwise(state["before"] == "deleted")
+        renamed_stays = F.lit(True) if keep_rename_chain else ~((item["category"] == "Changed") & left_later)
+        arrives = item["arrives"] == 1
+        stays = arrives & F.when(item["renamed"], renamed_stays).when(item["category"] == "Changed", fresh & ~left_later).otherwise(True)
+        lasting = arrives & F.when(item["renamed"], F.lit(keep_rename_chain)).otherwise(item["category"].isin("Created", "Deleted"))
+        deleted = (item["category"] == "Deleted") & ~item["renamed"]
+        return F.struct(
+            F.when(~arrives, "left").when(deleted, "deleted").otherwise("other").alias("before"),
+            F.when(lasting, deleted).otherwise(state["fresh_after_leave"]).alias("fresh_after_leave"),
+            F.concat(state["kept"], F.array(stays)).alias("kept"), state["left_at"].alias("left_at"))
+    return left_at, F.aggregate(group, start, step, lambda s: s["kept"])
 
 
 def collapse_stream(notifications: DataFrame, watermark: str = "10 seconds", width: int = WINDOW_MS,
@@ -43,5 +48,6 @@ def collapse_stream(notifications: DataFrame, watermark: str = "10 seconds", wid
     grouped = (touches(timed)
                .groupBy("host", F.window("captured_at", f"{width} milliseconds"), "path_key")
                .agg(F.array_sort(F.collect_list(touch)).alias("__group")))
-    return (grouped.select(F.explode(_survivors(F.col("__group"), keep_rename_chain)).alias("__s"))
-            .select("__s.row.*"))
+    left_at, kept = _survivors(F.col("__group"), keep_rename_chain)
+    judged = grouped.withColumn("__left_at", left_at).select(F.explode(F.arrays_zip(F.col("__group").alias("item"), kept.alias("kept"))).alias("__s"))
+    return judged.filter("__s.kept").select("__s.item.row.*")

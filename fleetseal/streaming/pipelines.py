@@ -63,11 +63,13 @@ def write_file_changes(store: StateStore, batch: DataFrame, batch_id: int, write
         enriched = batch.withColumns({"previous_hash": F.lit(""), "previous_acl": F.lit(""),
                                       "previous_size_bytes": F.lit(None).cast("bigint")})
     enriched = enriched.persist()
-    operations = projection.projection_operations(enriched).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    store.commit(append={FILE_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.file_findings(enriched), at=at)},
-                 batch_id=batch_id, writer=writer)
-    enriched.unpersist()
-    batch.unpersist()
+    try:
+        operations = projection.projection_operations(enriched).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        store.commit(append={FILE_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.file_findings(enriched), at=at)},
+                     batch_id=batch_id, writer=writer)
+    finally:
+        enriched.unpersist()
+        batch.unpersist()
 
 
 def write_registry_changes(store: StateStore, batch: DataFrame, batch_id: int, writer: str = "registry") -> None:
@@ -78,12 +80,14 @@ def write_registry_changes(store: StateStore, batch: DataFrame, batch_id: int, w
     else:
         enriched = batch.withColumn("previous_acl", F.lit(""))
     enriched = enriched.persist()
-    latest = projection.latest_by_entity(enriched).withColumn("present", F.lit(True))
-    operations = latest.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    store.commit(append={REGISTRY_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.registry_findings(enriched), at=at)},
-                 batch_id=batch_id, writer=writer)
-    enriched.unpersist()
-    batch.unpersist()
+    try:
+        latest = projection.latest_by_entity(enriched).withColumn("present", F.lit(True))
+        operations = latest.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        store.commit(append={REGISTRY_TABLE: operations, OUTBOX_TABLE: admit_new(store, findings.registry_findings(enriched), at=at)},
+                     batch_id=batch_id, writer=writer)
+    finally:
+        enriched.unpersist()
+        batch.unpersist()
 
 
 def with_retries(write: Callable[[], None], on_failure: Callable[[str, int], None], attempts: int = _ATTEMPTS) -> None:
