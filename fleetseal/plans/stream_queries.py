@@ -16,6 +16,7 @@ from fleetseal.sources.state import StateStore
 from fleetseal.streaming import pipelines
 from fleetseal.streaming.bursts import collapse_stream
 from fleetseal.streaming.changes import ChangeTables, start
+from fleetseal.streaming.delivery import deliver_rounds, outbox_table
 
 
 def _folder(t) -> str:
@@ -143,16 +144,17 @@ def reconcile_runs(t):
 def delivery_run(t):
     """Changes become findings, some of them with a wrong or blank type; two deliveries at one time drain the outbox in rounds."""
     folder = _folder(t)
-    store = StateStore(t.spark, f"{folder}/state")
     events = findings.file_findings(t.fs_changes)
     mark = F.substring(F.md5("record_id"), 1, 1)
     altered = events.withColumn("record_type", F.when(mark == "0", "Heartbeat").when(mark == "1", " \t").otherwise(F.col("record_type")))
-    store.commit(append={"outbox": pipelines.outbox_rows(altered)})
-    largest = pipelines.current_outbox(store).groupBy("host").count().agg(F.max("count")).first()[0] or 1
-    jobs.deliver_outbox(store, f"{folder}/sink", 10**12, limit=-(-largest // 3))
-    jobs.deliver_outbox(store, f"{folder}/sink", 10**12)
+    rows = pipelines.outbox_rows(altered)
+    table = outbox_table(t.spark, f"{folder}/outbox", rows.schema)
+    table.write(0, rows)
+    largest = table.current().groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    deliver_rounds(table, f"{folder}/sink", 10**12, limit=-(-largest // 3))
+    deliver_rounds(table, f"{folder}/sink", 10**12)
     sunk = t.spark.read.json(f"{folder}/sink").select("host", F.col("record_id").alias("id"), F.lit(True).alias("in_sink"))
-    return pipelines.current_outbox(store).join(sunk, ["host", "id"], "left").select(
+    return table.current().join(sunk, ["host", "id"], "left").select(
         "host", "id", "delivery_attempts", F.col("delivered_ms").isNotNull().alias("delivered"), "last_error", F.coalesce("in_sink", F.lit(False)).alias("in_sink"))
 
 

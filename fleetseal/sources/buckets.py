@@ -52,14 +52,19 @@ class BatchTable:
             rows = rows.filter(F.col("bucket").isin([r.bucket for r in touched.collect()]))
         return rows.drop("bucket")
 
+    def next_batch(self) -> int:
+        """Number of the batch after the newest one."""
+        try:
+            newest = self.spark.read.schema(self._stored).parquet(f"{self.path}/batches").agg(F.max("batch_id")).first()[0]
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            newest = None
+        return 0 if newest is None else newest + 1
+
     def current(self, last_batch: int | None = None) -> DataFrame:
-        """The merged rows up to ``last_batch``, or up to the newest batch there is."""
-        if last_batch is None:
-            try:
-                last_batch = self.spark.read.schema(self._stored).parquet(f"{self.path}/batches").agg(F.max("batch_id")).first()[0]
-            except AnalysisException:  # no batch was written yet
-                last_batch = None
-        return self.merge(self.before((-1 if last_batch is None else last_batch) + 1))
+        """The merged rows up to ``last_batch``, or up to the newest batch that has rows."""
+        return self.merge(self.before(self.next_batch() if last_batch is None else last_batch + 1))
 
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -68,8 +69,8 @@ class ChangeTables:
         """Failed tries (host, t_ms, sink, reason, attempt, batch_id); for :func:`fleetseal.operators.findings.sink_failures`."""
         try:
             return self.spark.read.schema(_FAILURES).parquet(f"{self.path}/failures")
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], _FAILURES)
 

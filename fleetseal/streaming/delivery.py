@@ -1,9 +1,16 @@
-"""Consumer side of at-least-once delivery, and live heartbeats."""
+"""Both sides of at-least-once delivery, and live heartbeats."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from fleetseal.functions.events import is_allocated
+from fleetseal.operators import outbox
+from fleetseal.session import staged
+from fleetseal.sources import sinks
+from fleetseal.sources.buckets import BatchTable
 
 
 def dedupe_records(events: DataFrame, delay: str = "10 minutes", time: str = "occurred_at") -> DataFrame:
@@ -32,3 +39,35 @@ def gap_stream(notifications: DataFrame, capacity: int, interval: str = "1 secon
     return (timed.groupBy("host", F.window("at", interval).alias("w")).agg(F.count("*").alias("offered"))
             .filter(F.col("offered") > capacity)
             .select("host", F.unix_millis("w.start").alias("t_ms"), (F.col("offered") - capacity).alias("lost_count")))
+
+
+def outbox_table(spark: SparkSession, path: str, schema: StructType, **options: int) -> BatchTable:
+    """An outbox written round by round; of every record the newest revision counts."""
+    def newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ("host", "id")]
+        best = rows.groupBy("host", "id").agg(F.max_by(F.struct(*rest), F.struct("revision", "batch_id")).alias("__row"))
+        return best.select("host", "id", *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*rows.columns)
+    return BatchTable(spark, path, schema, ["host", "id"], newest, **options)
+
+
+def deliver_rounds(table: BatchTable, sink: str, as_of_ms: int, limit: int | None = None, fails: Column | None = None) -> int:
+    """Deliver until nothing is due; every round is a batch of the table and a folder of the sink, named by its number.
+
+    A round that failed between the two is done again under its number and writes both anew. A record whose id and type the
+    catalog does not allocate to each other fails like one the sink rejects (``fails``), and is due again after its back-off. ``limit``
+    is the size of a round per host. Returns how many rounds there were.
+    """
+    first = number = table.next_batch()
+    while True:
+        current = table.current(number - 1).drop("batch_id")
+        ready = staged(outbox.ready_batch(current, as_of_ms, limit), "due")
+        if ready.isEmpty():
+            return number - first
+        allocated = F.coalesce(is_allocated(F.col("event_id"), F.col("record_type")), F.lit(False))
+        outcome = allocated if fails is None else allocated & ~F.coalesce(fails, F.lit(False))
+        error = F.when(~allocated, "NotAllocated").otherwise("SinkError")
+        state = outbox.apply_delivery(ready, outcome, error, as_of_ms).withColumn("revision", F.col("revision") + 1)
+        sinks.deliver(ready.filter(outcome).select(
+            "host", "schema_version", "event_id", "record_type", "occurred_ms", F.col("id").alias("record_id"), "scope_hash", "fields", "error"), sink, number)
+        table.write(number, state.select(*ready.columns))
+        number += 1

@@ -1,13 +1,16 @@
 """Tables written batch by batch: replays, folds, pruned buckets, and a change stream with failures."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import rows
 from test_streaming import CHANGES, change_rows
 
+from fleetseal.functions.events import EVENT_CATALOG
 from fleetseal.operators import projection
 from fleetseal.sources.buckets import BatchTable
-from fleetseal.streaming import changes
+from fleetseal.streaming import changes, delivery
 
 SCHEMA = "host string, k bigint, v bigint"
 
@@ -113,3 +116,24 @@ def test_failed_tries_are_recorded_and_leave_no_trace(spark, tmp_path):
 def test_schema_is_that_of_the_stream(spark, tmp_path):
     tables = changes.ChangeTables(spark, f"{tmp_path}/x", spark.createDataFrame([], CHANGES).schema)
     assert {"host", "normalized_entity", "present", "batch_id"} <= set(tables.projection.schema.names)
+
+
+OUTBOX = ("host string, id string, schema_version int, event_id int, record_type string, occurred_ms bigint, scope_hash string, fields map<string,string>, "
+          "error boolean, created_ms bigint, next_attempt_ms bigint, delivered_ms bigint, delivery_attempts int, last_error string, revision bigint")
+
+
+def test_delivery_drains_in_rounds_and_a_round_can_be_done_again(spark, tmp_path):
+    row = lambda i, kind="FileSystemChange": ("h", f"R{i}", 1, 7776, kind, i, "s", {"k": "v"}, False, i, 0, None, 0, None, 0)
+    due = spark.createDataFrame([row(i, EVENT_CATALOG[7776]) for i in range(7)] + [row(7, "Heartbeat")], OUTBOX)
+    table = delivery.outbox_table(spark, f"{tmp_path}/outbox", due.schema, buckets=4, fold_every=2)
+    table.write(0, due)
+    assert delivery.deliver_rounds(table, f"{tmp_path}/sink", 1000, limit=3) == 3
+    assert delivery.deliver_rounds(table, f"{tmp_path}/sink", 1000) == 0
+    state = rows(table.current(), "id", "delivered_ms", "delivery_attempts", "last_error")
+    assert state == [(f"R{i}", 1000, 1, None) for i in range(7)] + [("R7", None, 1, "NotAllocated")]
+    # The last round failed after its sink: it is done again under its number, and the sink holds every record once.
+    before = sorted(r.record_id for r in spark.read.json(f"{tmp_path}/sink").collect())
+    shutil.rmtree(f"{tmp_path}/outbox/batches/batch=3")
+    assert delivery.deliver_rounds(table, f"{tmp_path}/sink", 1000, limit=3) == 1
+    assert sorted(r.record_id for r in spark.read.json(f"{tmp_path}/sink").collect()) == before == [f"R{i}" for i in range(7)]
+    assert rows(table.current(), "id", "delivered_ms", "delivery_attempts", "last_error") == state

@@ -9,7 +9,7 @@ from __spark_entry__ import QUERIES, queries
 DIRECTORY = "/root/testdata/sf0.001"
 # These run jobs of their own while they are built.
 EAGER = {"stream_latest_state", "stream_burst_collapse", "stream_outbox", "reconcile_runs", "delivery_run", "content_scan",
-         "stream_failed_batches", "stream_state_by_batch", "content_scan_whole", "stream_first_arrival", "stream_late_rows", "stream_file_attribution", "stream_process_state", "stream_handle_resolution"}
+         "stream_dedupe_records", "migration_run", "audit_run", "stream_failed_batches", "stream_state_by_batch", "content_scan_whole", "stream_first_arrival", "stream_late_rows", "stream_file_attribution", "stream_process_state", "stream_handle_resolution"}
 
 
 def plan(spark, name):
