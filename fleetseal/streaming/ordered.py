@@ -195,10 +195,11 @@ def window_stream(notifications: DataFrame, delay: str = "10 seconds", width: in
     All rows of a window leave in one micro-batch, after the watermark has passed its end. A row behind the watermark has
     late = true and no window, so rows out plus rows still held are rows in. Rows without a time are late as well.
     """
-    columns = notifications.columns
+    taken = {"due", "window_ms", "late", "__key"} & set(notifications.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are made here")
     rows = clocked(notifications, time, delay).withColumns({"due": F.coalesce(F.col(time), F.lit(_NO_TIME)).cast("bigint"), "__key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
     schema = ", ".join(f"`{n}` {t}" for n, t in notifications.dtypes) + ", window_ms bigint, late boolean"
-    assert not {"due", "window_ms", "late", "__key"} & set(columns)
     return _run(rows, ["__key"], _Windows(rows, [order], width), schema)
 
 
