@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetseal.llm.common import stage
+from fleetseal.llm.common import drop, stage
 
 START, END, SPACE = 0xFE, 0xFF, 0x20  # the marks are no bytes of UTF-8
-_SLICE = 256 << 10
+_SLICE = 512 << 10
 _WORDS_AT_ONCE = 200_000
 _GRAM, _WORD = 0, 1
 _LEN_SHIFT = 58
@@ -319,11 +319,12 @@ def score(docs: DataFrame, train: Column, depth: int = 5, frequent_share: float
     """
     spark, id_type = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     table = stage(counts(docs.filter(F.coalesce(train, F.lit(False))), depth, text), "counts")
-    words, grams = table.filter(F.col("kind") == _WORD).select("key", "n"), table.filter(F.col("kind") == _GRAM).select("key", "n")
+    words, grams = stage(table.filter(F.col("kind") == _WORD).select("key", "n"), "word-counts"), table.filter(F.col("kind") == _GRAM).select("key", "n")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     symbols = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weight = F.floor(F.log2(F.least("total", F.coalesce(F.col("n") * 4, "total")).cast("double"))).cast("int")
     kept = stage(states(grams, depth, symbols, closed_from=2.0).withColumn("weight", weight), "tree")
+    drop(table)  # words and tree have what is needed of it
     # From which power of two on all entries may be held: at most 63 rows come to the driver.
     sizes, least, many = {r["weight"]: r["count"] for r in kept.filter("len > 0").groupBy("weight").count().collect()}, 64, 0
     while least > 0 and many + sizes.get(least - 1, 0) <= held:
@@ -341,6 +342,7 @@ def score(docs: DataFrame, train: Column, depth: int = 5, frequent_share: float
     asked = asking.join(_asked(asking.select("gram"), kept, depth, shared), "gram").groupBy("row", "place").agg(
         F.first("key").alias("key"), F.first("n").alias("n"), (F.first("by_tree") + F.sum("p")).alias("by_tree"))
     whole = stage(rest.filter(F.size("grams") == 0).select("row", "key", "n", "by_tree").unionByName(asked.select("row", "key", "n", "by_tree")), "words")
+    drop(kept)
     rare = whole.filter("n < 0").select("row", "key", "by_tree", F.lit(True).alias("rare")).join(words, "key", "left")
     both = rare.select("row", "n", "by_tree", "rare").unionByName(whole.filter("n >= 0").select("row", "n", "by_tree", F.lit(False).alias("rare")))
     n = F.coalesce("n", F.lit(0))
