@@ -26,13 +26,13 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/llm-{what}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, what: str) -> DataFrame:
+def stage(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor depend on an executor.
 
     The shuffles that made it are needed no more; Spark gives up their files when the driver's collector has seen that.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     spark.sparkContext._jvm.System.gc()
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path

@@ -318,12 +318,12 @@ def score(docs: DataFrame, train: Column, depth: int = 5, frequent_share: float
     to every task, ``held`` at most besides the root's; if there are more, the table is asked once for each gram that needs the others. Other columns of ``docs`` are ignored.
     """
     spark, id_type = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    table = stage(counts(docs.filter(F.coalesce(train, F.lit(False))), depth, text), "counts")
-    words, grams = stage(table.filter(F.col("kind") == _WORD).select("key", "n"), "word-counts"), table.filter(F.col("kind") == _GRAM).select("key", "n")
+    table = stage(counts(docs.filter(F.coalesce(train, F.lit(False))), depth, text), "counts", "zstd")
+    words, grams = stage(table.filter(F.col("kind") == _WORD).select("key", "n"), "word-counts", "zstd"), table.filter(F.col("kind") == _GRAM).select("key", "n")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     symbols = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weight = F.floor(F.log2(F.least("total", F.coalesce(F.col("n") * 4, "total")).cast("double"))).cast("int")
-    kept = stage(states(grams, depth, symbols, closed_from=2.0).withColumn("weight", weight), "tree")
+    kept = stage(states(grams, depth, symbols, closed_from=2.0).withColumn("weight", weight), "tree", "zstd")
     drop(table)  # words and tree have what is needed of it
     # From which power of two on all entries may be held: at most 63 rows come to the driver.
     sizes, least, many = {r["weight"]: r["count"] for r in kept.filter("len > 0").groupBy("weight").count().collect()}, 64, 0
@@ -336,12 +336,12 @@ def score(docs: DataFrame, train: Column, depth: int = 5, frequent_share: float
     shared = spark.sparkContext.broadcast((tree, _Frequent(top["key"].to_numpy(), top["n"].to_numpy(), divisor)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(text).alias("text"))
     scored = stage(rows.mapInArrow(lambda batches: _score(batches, *shared.value), f"row long, doc_id {id_type}, n_tokens long, known long, "
-                                   "base double, score double, rest array<struct<key:long,n:long,by_tree:double,grams:array<long>>>"), "scores")
+                                   "base double, score double, rest array<struct<key:long,n:long,by_tree:double,grams:array<long>>>"), "scores", "zstd")
     rest = scored.select("row", F.posexplode("rest").alias("place", "w")).select("row", "place", "w.*")
     asking = rest.filter(F.size("grams") > 0).select("row", "place", "key", "n", "by_tree", F.explode("grams").alias("gram"))
     asked = asking.join(_asked(asking.select("gram"), kept, depth, shared), "gram").groupBy("row", "place").agg(
         F.first("key").alias("key"), F.first("n").alias("n"), (F.first("by_tree") + F.sum("p")).alias("by_tree"))
-    whole = stage(rest.filter(F.size("grams") == 0).select("row", "key", "n", "by_tree").unionByName(asked.select("row", "key", "n", "by_tree")), "words")
+    whole = stage(rest.filter(F.size("grams") == 0).select("row", "key", "n", "by_tree").unionByName(asked.select("row", "key", "n", "by_tree")), "words", "zstd")
     drop(kept)
     rare = whole.filter("n < 0").select("row", "key", "by_tree", F.lit(True).alias("rare")).join(words, "key", "left")
     both = rare.select("row", "n", "by_tree", "rare").unionByName(whole.filter("n >= 0").select("row", "n", "by_tree", F.lit(False).alias("rare")))
