@@ -1,12 +1,14 @@
 """Link documents whose word-shingle sets overlap by a given Jaccard similarity, and group what links reach.
 
 A size-aware join: in a fixed order of all shingles (common ones last), two similar sets share some of the first elements of
-each, their prefixes, and the more of them the larger they are. Equal sets collapse first. Then leaders are tried: the set that heads most of the inverted lists of a
-document is compared with it, which finds almost every link without forming pairs within a list. What is left are stars
+each, their prefixes, and the more of them the larger they are. Equal sets collapse first. Then leaders are tried: the set that
+heads most of the inverted lists of a document is compared with it, which finds almost every link without forming pairs within a list. What is left are stars
 (a leader and the sets that link to it) which still meet in a list without being connected. For these, stars with few such
 lists enumerate their pairs of elements, stars with many scan the lists; the boundary between the two is the cheapest. Two stars
-whose leaders are too far apart for any of their members to link are done with (Jaccard distance is a metric); of
-the others, members are compared. Every decision is the exact overlap of whole sets.
+whose leaders are too far apart for any of their members to link are done with (Jaccard distance is a metric). Of
+the others, the members of the smaller star are compared with the leader of the larger. That leader bounds what two members can
+have in common within it, so most pairs can only link by elements outside of it, and those are few and make short lists.
+Every decision is the exact overlap of whole sets.
 """
 
 from __future__ import annotations
@@ -167,7 +169,8 @@ def _more(n: Column) -> Column:
 
 def _compared(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) with n_a, n_b and their overlap, from whole sets; each set travels once per pair."""
-    side = lambda name: elements.select(F.col("row").alias(name), F.col("elements").alias(f"__{name}"))
+    # Sets are small in files and large in memory: they are not to be broadcast by the size of a file.
+    side = lambda name: elements.select(F.col("row").alias(name), F.col("elements").alias(f"__{name}")).hint("merge")
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     return met.select(*pairs.columns, F.size("__a").alias("n_a"), F.size("__b").alias("n_b"), F.size(F.array_intersect("__a", "__b")).alias("overlap"))
 
@@ -247,6 +250,58 @@ def _meeting_stars(open_: DataFrame) -> DataFrame:
     return of_large.union(of_small).distinct()
 
 
+def _between_stars(close: DataFrame, stars: DataFrame, sizes: DataFrame, groups: DataFrame, lists: DataFrame, elements: DataFrame) -> DataFrame:
+    """(a, b): links between members of close stars (a, b, apart) that are in different groups.
+
+    Let x be a member of one star and c the leader of the other. x and a member y of that star have at most
+    min(|x & c|, |y & c|) elements in common within c. If that is less than a link of the two needs, they must share the rest outside
+    of c: they meet in lists of such elements only. Other pairs meet in the lists of prefixes.
+    """
+    reach = F.lit(1 - NUMERATOR / DENOMINATOR + 1e-9)
+    extent = stars.groupBy("star").agg(F.count("*").alias("size"), F.max("distance").alias("radius"))
+    ends = close.select(F.explode(F.array("a", "b")).alias("star")).distinct()
+    alone = ends.join(extent, "star", "left_anti").select(F.col("star").alias("row"), "star", F.lit(0.0).alias("distance"), F.lit(None).cast("int").alias("overlap"))
+    rows = stage(stars.join(ends, "star", "left_semi").select("row", "star", "distance", "overlap").union(alone).join(sizes, "row")
+                 .join(groups.withColumnRenamed("node", "row"), "row", "left")
+                 .select("row", "star", "distance", F.coalesce("overlap", "n").alias("inside"), "n", F.coalesce("component", "row").alias("group")), "rows")
+
+    of = lambda s: extent.select(F.col("star").alias(s), F.col("size").alias(f"size_{s}"), F.col("radius").alias(f"radius_{s}"))
+    larger = F.coalesce("size_a", F.lit(1)) > F.coalesce("size_b", F.lit(1))
+    turned = close.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(larger, F.col("a")).otherwise(F.col("b")).alias("b"), "apart",
+        F.coalesce(F.when(larger, F.col("radius_a")).otherwise(F.col("radius_b")), F.lit(0.0)).alias("radius"))
+    heads = rows.filter("row = star").select(F.col("row").alias("b"), F.col("group").alias("group_b"))
+    to_try = (turned.join(heads, "b").join(rows.select(F.col("row").alias("a"), F.col("star").alias("small"), "distance", "group"), "small")
+              .filter((F.col("group") != F.col("group_b")) & (F.col("apart") <= F.col("distance") + F.col("radius") + reach)))
+    probed = stage(_compared(to_try.select("a", "b", "radius", "group"), elements), "probed")
+    links = probed.filter(_linked()).select("a", "b")
+    near = stage(probed.filter(~_linked() & (_distance() <= reach + F.col("radius"))).select(
+        F.col("b").alias("star"), F.col("a").alias("row_1"), F.col("n_a").alias("n_1"), F.col("overlap").alias("inside_1"), F.col("group").alias("group_1")), "near")
+    others = rows.filter("row <> star").join(near.select("star").distinct(), "star", "left_semi").select(
+        "star", F.col("row").alias("row_2"), F.col("n").alias("n_2"), F.col("inside").alias("inside_2"), F.col("group").alias("group_2"))
+
+    within = F.least("inside_1", "inside_2")
+    needed = _overlap_needed(F.col("n_1"), F.col("n_2"))
+    fits = (F.col("group_1") != F.col("group_2")) & _may_link(F.col("n_1"), F.col("n_2"))
+    whole = lambda row, name: elements.select(F.col("row").alias(row), F.col("elements").alias(name)).hint("merge")
+    outside = lambda side, row: (side.join(whole(row, "__own"), row).join(whole("star", "__star"), "star")
+                                 .select(*side.columns, F.explode(F.array_except("__own", "__star")).alias("key")))
+    apart = (outside(near, "row_1").join(outside(others, "row_2").hint("merge"), ["star", "key"]).filter(fits & (within < needed))
+             .groupBy("row_1", "row_2", needed.alias("needed"), within.alias("within")).agg(F.count("*").alias("c"))
+             .filter(F.col("c") + F.col("within") >= F.col("needed")).select("row_1", "row_2"))
+
+    # For most sets no member of the other star can be within ``within``: sizes tell.
+    room = lambda inside, n: F.col(inside) * F.lit((NUMERATOR + DENOMINATOR) / NUMERATOR) - F.col(n) + 1e-6
+    best = others.groupBy("star").agg(F.min("n_2").alias("least"), F.max(room("inside_2", "n_2")).alias("most"))
+    candidates = near.join(best, "star").filter((F.col("least") <= room("inside_1", "n_1")) & (F.col("n_1") <= F.col("most"))).drop("least", "most")
+    listed = lambda side, row: side.join(lists.select(F.col("row").alias(row), "key"), row)
+    alike = (listed(candidates, "row_1").join(listed(others, "row_2").hint("merge"), ["star", "key"]).filter(fits & (within >= needed))
+             .groupBy("row_1", "row_2", "n_1", "n_2").agg(F.count("*").alias("c")).filter(F.col("c") >= _shared_needed(F.col("n_1"), F.col("n_2")))
+             .select("row_1", "row_2"))
+    pairs = stage(apart.union(alike).select(F.col("row_1").alias("a"), F.col("row_2").alias("b")).distinct(), "pairs")
+    return links.union(stage(_compared(pairs, elements).filter(_linked()).select("a", "b"), "last"))
+
+
 def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_share: float = 2.0**-20) -> DataFrame:
     """(doc_id, version, n_shingles, component_id, component): one row per row of ``docs``, which needs doc_id and text.
 
@@ -259,7 +314,7 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
     sets = stage(shingle_sets(docs, common_shingles(docs, width, common_share), width), "sets")
     named = stage(sets.drop("rare", "often"), "named")
     # Kinds get their numbers once, in a written table.
-    kinds = stage(sets.filter("n > 0").groupBy("n", "high", "low").agg(F.min("doc_id").alias("first"), F.min("version").alias("version"))
+    kinds = stage(sets.filter("n > 0").groupBy("n", "high", "low").agg(F.min("doc_id").alias("first"), F.min(F.struct("version", "doc_id")).alias("text"))
                   .withColumn("row", F.monotonically_increasing_id()), "kinds")
     lists = stage(inverted_lists(sets, kinds), "lists")
     drop(sets)
@@ -267,12 +322,15 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
     least = _more(F.ceil(F.col("n") * NUMERATOR / F.lit(DENOMINATOR) - 1e-9))
     several = lists.groupBy("row").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= least).select("row")
     lists = stage(lists.join(several, "row", "left_semi"), "lists")
-    elements = stage(_whole_sets(docs.join(kinds.join(several, "row", "left_semi").select("version", "row", "high", "low"), "version"), width), "elements")
+    # One text of each kind is read; rows that repeat in id and text are left out once they are sets.
+    read = kinds.join(several, "row", "left_semi").select("text.version", F.col("text.doc_id").alias("__id"), "row", "high", "low")
+    texts = docs.join(read, (docs["version"] == read["version"]) & docs["doc_id"].eqNullSafe(read["__id"])).select("row", "high", "low", "text")
+    elements = stage(_whole_sets(texts, width).groupBy("row").agg(F.first("elements").alias("elements")), "elements")
 
-    spark, none = docs.sparkSession, "a long, b long, distance double"
+    spark, none = docs.sparkSession, "a long, b long, distance double, overlap int"
     found, free = [spark.createDataFrame([], none)], lists
     for turn in range(leader_rounds):
-        tried = stage(_compared(_leaders(free, turn), elements).filter(_linked()).select("a", "b", _distance().alias("distance")), "tried")
+        tried = stage(_compared(_leaders(free, turn), elements).filter(_linked()).select("a", "b", _distance().alias("distance"), "overlap"), "tried")
         if tried.isEmpty():
             break
         found.append(tried)
@@ -283,8 +341,8 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
         leads = leads.union(more)
     leads = stage(leads, "leads")
     # A leader is the centre of its own star, even if it has a leader itself.
-    centres = leads.select(F.col("b").alias("row")).distinct().withColumns({"star": F.col("row"), "distance": F.lit(0.0)})
-    members = leads.join(centres.select(F.col("row").alias("a")), "a", "left_anti").select(F.col("a").alias("row"), F.col("b").alias("star"), "distance")
+    centres = leads.select(F.col("b").alias("row")).distinct().withColumns({"star": F.col("row"), "distance": F.lit(0.0), "overlap": F.lit(None).cast("int")})
+    members = leads.join(centres.select(F.col("row").alias("a")), "a", "left_anti").select(F.col("a").alias("row"), F.col("b").alias("star"), "distance", "overlap")
     stars = stage(centres.union(members), "stars")
     radius = stars.groupBy("star").agg(F.max("distance").alias("radius"))
 
@@ -299,17 +357,7 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
         & (F.col("distance") <= reach + F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0)))).select("a", "b", F.col("distance").alias("apart"))
     close = stage(close, "close")
     if not close.isEmpty():
-        groups = components(links)
-        placed = stage(lists.join(stars, "row", "left").select("key", "row", "n", F.coalesce("star", "row").alias("star"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-                       .join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("group", F.coalesce("component", "row")).drop("component"), "placed")
-        near = placed.join(close.select(F.explode(F.array("a", "b")).alias("star")).distinct(), "star", "left_semi")
-        half = lambda s: near.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "star", "distance", "group")])
-        pairs = (close.join(half("1").withColumnRenamed("star_1", "a"), "a").join(half("2").withColumnRenamed("star_2", "b"), ["b", "key"])
-                 .filter((F.col("group_1") != F.col("group_2")) & _may_link(F.col("n_1"), F.col("n_2"))
-                         & (F.col("apart") <= F.col("distance_1") + F.col("distance_2") + reach))
-                 .groupBy("row_1", "row_2", "n_1", "n_2").agg(F.count("*").alias("c")).filter(F.col("c") >= _shared_needed(F.col("n_1"), F.col("n_2"))))
-        last = _compared(pairs.select(F.col("row_1").alias("a"), F.col("row_2").alias("b")), elements).filter(_linked())
-        links = links.union(last.select("a", "b"))
+        links = links.union(_between_stars(close, stars, kinds.select("row", "n"), components(links), lists, elements))
     groups = components(links)
 
     grouped = kinds.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
