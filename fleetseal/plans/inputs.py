@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -303,6 +303,24 @@ class Inputs:
         return self._known[name]
 
 
+# Rows in a file of a table that arrives in parts.
+_FILE_ROWS = 250_000
+
+
+def arriving(df: DataFrame, part: Column, parts: int, folder: str, least: int = 2) -> int:
+    """Write the rows of parts 0, 1, ... to ``folder``, one part after the other; give the number of files, which is that of every part.
+
+    The largest part decides on the number, so that no task has much to write; a part that fills fewer files gets empty ones.
+    """
+    sizes = [row["count"] for row in df.groupBy(part.alias("part")).count().filter(f"part BETWEEN 0 AND {parts - 1}").collect()]  # a row per part
+    files, written = max(least, -(-max(sizes, default=0) // _FILE_ROWS)), df.sparkSession.read.schema(df.schema)
+    for k in range(parts):
+        df.filter(part == k).repartition(files).write.mode("append").parquet(folder)
+        for _ in range((k + 1) * files - len(written.parquet(folder).inputFiles())):
+            df.sparkSession.createDataFrame([], df.schema).write.mode("append").parquet(folder)
+    return files
+
+
 def with_tables(sql: str) -> str:
     """Checking SQL with the derived tables it names (in braces) put in front as CTEs."""
     ordered: list[str] = []

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from fleetseal.operators import bursts
 from fleetseal.operators.windows import first_arrival_windows
 from fleetseal.plans import change_queries  # noqa: F401  (its checks are reused here)
+from fleetseal.plans.inputs import arriving
 from fleetseal.plans.registry import CHECKS, query
 from fleetseal.session import checkpoint_dir
 from fleetseal.streaming import ordered
 
-_PARTS, _FILES = 4, 2
+_PARTS = 4
 _FAR_MS = 10**15
 
 
@@ -41,11 +42,10 @@ def _feed(df: DataFrame, time: str, folder: str) -> _Feed:
     jitter = span // 2
     arrives = F.col(time) + F.pmod(F.xxhash64(*df.columns), F.lit(jitter))
     part = F.least(F.floor((arrives - F.lit(low or 0)) / span), F.lit(_PARTS - 1))
-    for k in range(_PARTS):
-        df.filter(part == k).repartition(_FILES).write.mode("append").parquet(folder)
+    files = arriving(df, part, _PARTS, folder)
     closing = df.sparkSession.range(1).select(*[F.lit(_FAR_MS if n == time else 0).cast(kind).alias(n) for n, kind in df.dtypes])
     closing.write.mode("append").parquet(folder)
-    return _Feed(df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES).parquet(folder), f"{jitter + 1} milliseconds")
+    return _Feed(df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder), f"{jitter + 1} milliseconds")
 
 
 def _drained(stream: DataFrame, folder: str) -> DataFrame:
