@@ -10,12 +10,19 @@ late rows out ahead of the processor. All of this needs the RocksDB state store.
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from fleetseal.operators.attribution import LOOKBACK_MS, POLL_MS
 from fleetseal.operators.bursts import WINDOW_MS
@@ -23,6 +30,12 @@ from fleetseal.operators.bursts import WINDOW_MS
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 16
+# So many rows lie in one value on the way to a processor and from it.
+_PACKED = 1 << 16
+# So many rows are put in order at once, and make so many runs unless these would be short.
+_ORDERED, _RUNS, _SHORT = 1 << 18, 16, 1 << 10
+# What is bound is read and written by so many parts of the names.
+_NAME_PARTS = 256
 # Due of a row without a time: always late.
 _NO_TIME = -(2**62)
 
@@ -43,23 +56,23 @@ def clocked(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return stream.withColumn("__at", F.timestamp_millis(F.col(time).cast("bigint"))).withWatermark("__at", delay).drop("__at")
 
 
-def _layout(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-
-
 class InOrder(StatefulProcessor):
     """Rows of a key in order of ``due`` and then ``tie``; subclasses say what a row means.
 
-    ``tie`` names columns of the rows, ``out`` those of what comes out; ``due`` (milliseconds) is never null.
+    ``tie`` names columns of the rows; ``due`` (milliseconds) is never null. Rows come and go many to a value, as :func:`_run` packs them.
+
+    Rows wait in runs: many are ordered together and cut into runs, each of them a narrow part of their time and one value of the state. A
+    release reads the runs in order of where they begin, some at a time, so it holds few of a key's rows at once, and asks the state per
+    run and not per row. What subclasses keep is read once per call of Spark and written once, too.
     """
 
-    def __init__(self, df: DataFrame, tie: Sequence[str], out: Sequence[str]):
-        self.layout, self.at, self.out = _layout(df), {n: i for i, n in enumerate(df.columns)}, Row(*out)
-        self.order = [self.at["due"], *[self.at[n] for n in tie]]
+    def __init__(self, df: DataFrame, tie: Sequence[str]):
+        self.at = {n: i for i, n in enumerate(df.columns)}
+        self.due, self.ties = self.at["due"], [self.at[n] for n in tie]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.layout)
+        self.runs = handle.getMapState("runs", "low bigint, number bigint", "rows binary")
         self.wake = handle.getValueState("wake", "at bigint")
         self.open()
 
@@ -68,6 +81,12 @@ class InOrder(StatefulProcessor):
     def open(self) -> None:
         """Make the state variables of the key."""
 
+    def load(self) -> None:
+        """Take over what the state holds for the key."""
+
+    def save(self) -> None:
+        """Put it back if it changed."""
+
     def take(self, key: tuple, row: tuple) -> Iterator[tuple]:
         """The next row in order."""
         raise NotImplementedError
@@ -76,9 +95,9 @@ class InOrder(StatefulProcessor):
         """A row that the watermark had passed when it came."""
         raise NotImplementedError
 
-    def ripe(self, rows: list[tuple], mark: int) -> int:
-        """How many of the ordered rows, all passed by the watermark, may be taken now."""
-        return len(rows)
+    def ripe(self, row: tuple, mark: int) -> bool:
+        """Whether the next row in order, which the watermark has passed, may be taken now; if not, those after it wait as well."""
+        return True
 
     def rest(self, mark: int) -> int | None:
         """Clear what nobody can ask for any more; give the time at which to look again."""
@@ -87,41 +106,82 @@ class InOrder(StatefulProcessor):
     # Called by Spark.
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        given = (row for packed in rows for row in pickle.loads(packed["rows"]))
+        return _packed_rows(self._given(key, given, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return _packed_rows(self._expired(key, timerValues.getCurrentWatermarkInMs()))
+
+    def _expired(self, key: tuple, mark: int) -> Iterator[tuple]:
+        self.load()
+        yield from self._release(key, mark)
+        self.save()
+
+    def _given(self, key: tuple, rows: Iterator[tuple], mark: int) -> Iterator[tuple]:
+        self.load()
         # What waits comes before what is late by now.
         yield from self._release(key, mark)
         fresh, wake = [], self._woken()
-        for row in map(tuple, rows):
-            due = row[self.at["due"]]
+        for row in rows:
+            due = row[self.due]
             # Before the first watermark nothing is late.
             if due <= mark if mark > 0 else due == _NO_TIME:
-                yield from (self.out(*x) for x in self.late(key, row))
+                yield from self.late(key, row)
                 due = mark + 1  # to look at what it left in the state
             else:
                 fresh.append(row)
+                if len(fresh) == _ORDERED:
+                    self._hold(fresh)
+                    fresh = []
             wake = max(due, 1) if wake is None else min(wake, max(due, 1))
-        if fresh:
-            self.pending.appendList(fresh)
+        self._hold(fresh)
+        self.save()
         self._wake(wake)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+    def _place(self, row: tuple) -> tuple:
+        # Nulls come first among ties.
+        return (row[self.due], *[x for i in self.ties for x in (row[i] is not None, row[i])])
 
-    def _release(self, key, mark: int) -> Iterator[Row]:
+    def _hold(self, rows: list[tuple]) -> None:
+        """Let rows wait."""
+        if not rows:
+            return
+        rows.sort(key=self._place)
+        length = max(-(-len(rows) // _RUNS), _SHORT)
+        held = Counter(low for low, _ in self.runs.keys())
+        for i in range(0, len(rows), length):
+            low = rows[i][self.due]
+            self.runs.updateValue((low, held[low]), (pickle.dumps(rows[i:i + length], pickle.HIGHEST_PROTOCOL),))
+            held[low] += 1
+
+    def _release(self, key: tuple, mark: int) -> Iterator[tuple]:
         """Take the rows that the watermark has passed, if it is time to, and say when to look again."""
-        if self._woken() is None or self._woken() > mark:
+        woken = self._woken()
+        if woken is None or woken > mark:
             return
-        held = [tuple(row) for row in self.pending.get()]
-        # Nulls come first among ties.
-        held.sort(key=lambda row: [(row[i] is not None, row[i]) for i in self.order])
-        ready = self.ripe([row for row in held if row[self.at["due"]] <= mark], mark)
-        for row in held[:ready]:
-            yield from (self.out(*x) for x in self.take(key, row))
-        left = held[ready:]
-        self.pending.clear()
-        if left:
-            self.pending.put(left)
-        at = [x for x in (left[0][self.at["due"]] if left else None, self.rest(mark)) if x is not None]
+        runs = sorted(tuple(k) for k in self.runs.keys())
+        passed = [k for k in runs if k[0] <= mark]
+        rows, read, waits = [], 0, False
+        while read < len(passed) and not waits:
+            for run in passed[read:read + _RUNS]:
+                rows += pickle.loads(self.runs.getValue(run)[0])
+                self.runs.removeKey(run)
+            read += _RUNS
+            rows.sort(key=self._place)
+            # What begins later may come between the rows behind its begin.
+            upto, done = passed[read][0] if read < len(passed) else mark + 1, 0
+            for row in rows:
+                if row[self.due] >= upto:
+                    break
+                if not self.ripe(row, mark):
+                    waits = True
+                    break
+                yield from self.take(key, row)
+                done += 1
+            del rows[:done]
+        lows = [low for low, _ in [*passed[read:], *runs[len(passed):]]] + [row[self.due] for row in rows[:1]]
+        self._hold(rows)
+        at = [x for x in (min(lows) if lows else None, self.rest(mark)) if x is not None]
         self._wake(max(min(at), mark + 1) if at else None)
 
     def close(self) -> None:
@@ -143,8 +203,46 @@ class InOrder(StatefulProcessor):
             self.wake.update((at,))
 
 
+def _packed_rows(rows: Iterator[tuple]) -> Iterator[Row]:
+    return (Row(rows=pickle.dumps(part, pickle.HIGHEST_PROTOCOL)) for part in batched(rows, _PACKED))
+
+
+def _pack(keys: list[int]):
+    """Rows of one key, out of up to ``_PACKED`` rows that lie together, as one value: Spark hands a processor row by row what it gets."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in groups], schema.field(at).type) for i, at in enumerate(keys)]
+            values = pa.array([pickle.dumps(rows, pickle.HIGHEST_PROTOCOL) for rows in groups.values()], pa.binary())
+            return pa.RecordBatch.from_arrays([*columns, values], [*(schema.field(at).name for at in keys), "rows"])
+
+        groups, held, schema = {}, 0, None
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                groups.setdefault(tuple(row[at] for at in keys), []).append(row)
+            held += batch.num_rows
+            if held >= _PACKED:
+                yield packed()
+                groups, held = {}, 0
+        if groups:
+            yield packed()
+    return work
+
+
+def _unpack(schema: pa.Schema):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                columns = zip(*pickle.loads(value.as_py()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return work
+
+
 def _run(rows: DataFrame, keys: Sequence[str], processor: InOrder, schema: str) -> DataFrame:
-    return rows.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
+    types = dict(rows.dtypes)
+    packed = rows.mapInArrow(_pack([rows.columns.index(k) for k in keys]), ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rows binary")
+    found = packed.groupBy(*keys).transformWithState(processor, "rows binary", "Append", "EventTime")
+    return found.mapInArrow(_unpack(to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
 # Windows opened by the first arrival.
@@ -154,38 +252,36 @@ class _Windows(InOrder):
 
     def __init__(self, df: DataFrame, tie: Sequence[str], width: int):
         own = [n for n in df.columns if n not in ("due", "__key")]
-        super().__init__(df, tie, [*own, "window_ms", "late"])
+        super().__init__(df, tie)
         self.width, self.own = width, [self.at[n] for n in own]
 
     def open(self) -> None:
-        self.start = self.handle.getValueState("start", "at bigint")
-
-    def ripe(self, rows: list[tuple], mark: int) -> int:
-        start = self.start.get()[0] if self.start.exists() else None
-        done = 0
-        for i, row in enumerate(rows):
-            due = row[self.at["due"]]
-            if start is None or due >= start + self.width:
-                start, done = due, i if due + self.width - 1 > mark else done
-            if start + self.width - 1 <= mark:
-                done = i + 1
-        return done
+        self.kept = self.handle.getValueState("start", "at bigint")
+
+    def load(self) -> None:
+        self.start = self.before = self.kept.get()[0] if self.kept.exists() else None
+
+    def save(self) -> None:
+        if self.start != self.before:
+            self.kept.clear() if self.start is None else self.kept.update((self.start,))
+
+    def _opened(self, due: int) -> int:
+        return due if self.start is None or due >= self.start + self.width else self.start
+
+    def ripe(self, row: tuple, mark: int) -> bool:
+        return self._opened(row[self.due]) + self.width - 1 <= mark
 
     def take(self, key: tuple, row: tuple) -> Iterator[tuple]:
-        due = row[self.at["due"]]
-        start = self.start.get()[0] if self.start.exists() else None
-        if start is None or due >= start + self.width:
-            start = due
-            self.start.update((start,))
-        yield (*[row[i] for i in self.own], start, False)
+        self.start = self._opened(row[self.due])
+        yield (*[row[i] for i in self.own], self.start, False)
 
     def late(self, key: tuple, row: tuple) -> Iterator[tuple]:
         yield (*[row[i] for i in self.own], None, True)
 
     def rest(self, mark: int) -> int | None:
-        if self.start.exists() and self.start.get()[0] + self.width - 1 <= mark:
-            self.start.clear()  # over: whatever comes opens a window of its own
-        return self.start.get()[0] + self.width if self.start.exists() else None
+        if self.start is not None and self.start + self.width - 1 <= mark:
+            self.start = None  # over: whatever comes opens a window of its own
+        return None if self.start is None else self.start + self.width
 
 
 def window_stream(notifications: DataFrame, delay: str = "10 seconds", width: int = WINDOW_MS, time: str = "captured_ms",
@@ -209,35 +305,41 @@ class _Newest(InOrder):
     """The newest activity on a path, for notifications that wait until activity a little late has come."""
 
     def __init__(self, df: DataFrame, back: int, ahead: int):
-        super().__init__(df, ["asks", "tie"], ["id", "io", "late"])
+        super().__init__(df, ["asks", "tie"])
         self.back, self.ahead = back, ahead
 
     def open(self) -> None:
-        self.newest = self.handle.getValueState("newest", "at bigint, tie bigint, io string")
+        self.kept = self.handle.getValueState("newest", "at bigint, tie bigint, io string")
+
+    def load(self) -> None:
+        self.newest = self.before = tuple(self.kept.get()) if self.kept.exists() else None
+
+    def save(self) -> None:
+        if self.newest != self.before:
+            self.kept.clear() if self.newest is None else self.kept.update(self.newest)
 
     def take(self, key: tuple, row: tuple) -> Iterator[tuple]:
-        yield from self._apply(key, row, False)
+        return self._apply(row, False)
 
     def late(self, key: tuple, row: tuple) -> Iterator[tuple]:
-        yield from self._apply(key, row, True)
+        return self._apply(row, True)
 
-    def _apply(self, key: tuple, row: tuple, late: bool) -> Iterator[tuple]:
+    def _apply(self, row: tuple, late: bool) -> Iterator[tuple]:
         value = lambda n: row[self.at[n]]
-        newest = self.newest.get() if self.newest.exists() else None
         if value("asks"):
-            found = newest is not None and value("due") - (self.back + self.ahead) <= newest[0] <= value("due")
-            yield (value("id"), newest[2] if found else None, late)
-        elif newest is None or (value("due"), value("tie")) > (newest[0], newest[1]):
+            found = self.newest is not None and value("due") - (self.back + self.ahead) <= self.newest[0] <= value("due")
+            yield (value("id"), self.newest[2] if found else None, late)
+        elif self.newest is None or (value("due"), value("tie")) > self.newest[:2]:
             # Late activity counts if it is newer than what is known; older one can change no answer to come.
-            self.newest.update((value("due"), value("tie"), value("io")))
+            self.newest = (value("due"), value("tie"), value("io"))
 
     def rest(self, mark: int) -> int | None:
         """Activity goes once no notification that is not late can be near enough."""
-        if not self.newest.exists():
+        if self.newest is None:
             return None
-        end = self.newest.get()[0] + self.back + self.ahead
+        end = self.newest[0] + self.back + self.ahead
         if end < mark:
-            self.newest.clear()
+            self.newest = None
             return None
         return end + 1
 
@@ -275,26 +377,51 @@ class _Bound(InOrder):
     """A map of what is bound, and whether the whole host has been marked."""
 
     def __init__(self, df: DataFrame):
-        super().__init__(df, ["rank", "seq"], ["host", "seq", "op", "value", "known", "named", "marked", "late"])
+        super().__init__(df, ["rank", "seq"])
 
     def open(self) -> None:
-        self.bound = self.handle.getMapState("bound", "name string", "value string")
-        self.marked = self.handle.getValueState("marked", "at bigint")
+        self.bound = self.handle.getMapState("bound", "part int", "names binary")
+        self.kept = self.handle.getValueState("marked", "at bigint")
+
+    def load(self) -> None:
+        self.parts, self.changed, self.cleared = {}, set(), False
+        self.marked = self.before = self.kept.get()[0] if self.kept.exists() else None
+
+    def save(self) -> None:
+        if self.cleared:
+            self.bound.clear()
+        for part in self.changed:
+            if self.parts[part]:
+                self.bound.updateValue((part,), (pickle.dumps(self.parts[part], pickle.HIGHEST_PROTOCOL),))
+            elif not self.cleared and self.bound.containsKey((part,)):
+                self.bound.removeKey((part,))
+        if self.marked != self.before:
+            self.kept.update((self.marked,))
+
+    def _part(self, name: str, changes: bool = False) -> dict[str, str]:
+        """The part of what is bound that a name belongs to."""
+        part = zlib.crc32(name.encode()) % _NAME_PARTS
+        if part not in self.parts:
+            stored = not self.cleared and self.bound.containsKey((part,))
+            self.parts[part] = pickle.loads(self.bound.getValue((part,))[0]) if stored else {}
+        if changes:
+            self.changed.add(part)
+        return self.parts[part]
 
     def take(self, key: tuple, row: tuple) -> Iterator[tuple]:
         op, name, value = (row[self.at[n]] for n in ("op", "name", "value"))
         if op in ("bind", "unbind") and name is None:
             return
         if op == "bind":
-            self.bound.updateValue((name,), (value,))
+            self._part(name, True)[name] = value
         elif op == "unbind":
-            if self.bound.containsKey((name,)):
-                self.bound.removeKey((name,))
+            if name in self._part(name):
+                del self._part(name, True)[name]
         elif op == "clear":
-            self.bound.clear()
+            self.parts, self.changed, self.cleared = {}, set(), True
         elif op == "mark":
-            if not self.marked.exists():
-                self.marked.update((row[self.at["due"]],))
+            if self.marked is None:
+                self.marked = row[self.due]
         elif op == "use":
             yield self._answer(key, row, False)
 
@@ -305,12 +432,12 @@ class _Bound(InOrder):
         else:
             yield from self.take(key, row)
             if row[self.at["op"]] in ("bind", "unbind"):
-                yield (key[0], row[self.at["seq"]], row[self.at["op"]], None, False, True, self.marked.exists(), True)
+                yield (key[0], row[self.at["seq"]], row[self.at["op"]], None, False, True, self.marked is not None, True)
 
     def _answer(self, key: tuple, row: tuple, late: bool) -> tuple:
         name = row[self.at["name"]]
-        known = name is not None and self.bound.containsKey((name,))
-        return (key[0], row[self.at["seq"]], "use", self.bound.getValue((name,))[0] if known else None, known, name is not None, self.marked.exists(), late)
+        known = name is not None and name in self._part(name)
+        return (key[0], row[self.at["seq"]], "use", self._part(name)[name] if known else None, known, name is not None, self.marked is not None, late)
 
 
 _BOUND = "host string, seq bigint, op string, value string, known boolean, named boolean, marked boolean, late boolean"
