@@ -106,9 +106,14 @@ def mix(docs: DataFrame, schedules: DataFrame, size: Column, seed: str = "mix",
         (F.col("size") * F.col("passes")).alias("taken"), positions.alias("positions"))
 
 
-def in_training_order(mixed: DataFrame) -> DataFrame:
-    """One row per pass, range-sorted by training time (ties by doc_id); column ``position`` holds the time."""
-    return mixed.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "doc_id")
+def in_training_order(mixed: DataFrame, untaken: bool = False) -> DataFrame:
+    """One row per pass, range-sorted by training time (ties by doc_id); ``position`` holds the time, ``pass`` counts from 0.
+
+    With ``untaken`` documents without a pass come last, both columns null.
+    """
+    each = F.posexplode_outer("positions") if untaken else F.posexplode("positions")
+    rest = [c for c in mixed.columns if c not in ("positions", "position", "pass")]
+    return mixed.select(*rest, each.alias("pass", "position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def cyclic_schedules(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), tilts: tuple[float, ...] = (-0.5, 0.0, 0.5)) -> DataFrame:

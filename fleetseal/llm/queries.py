@@ -104,12 +104,12 @@ SELECT doc_id, size, source_size, target, size * passes AS taken, passes,
   CASE WHEN passes > 0 THEN round(least(2 * wanted / (weight * (1 - tilt) + sqrt(greatest(weight * (1 - tilt) * weight * (1 - tilt) + 4 * tilt * weight * wanted, 0))), 1), 6) END AS first_position
 FROM due""")
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document, and when it comes first."""
+    """How often the mix takes each document, and when it comes first: the mix in training order, each document at its first pass."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(sized, mixing.cyclic_schedules(docs), F.col("words"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes",
-                        F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+    first = mixing.in_training_order(mixed, untaken=True).filter("coalesce(pass, 0) = 0")
+    return first.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 6).alias("first_position"))
 
 
 @query()
