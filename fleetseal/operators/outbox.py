@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetseal.functions.delivery import backoff_seconds
 from fleetseal.functions.paths import has_content
+from fleetseal.operators.ordered import running
 
 RETENTION_DAYS = 7
 DAY_MS = 86_400_000
@@ -32,12 +33,13 @@ def is_ready(as_of_ms: int) -> Column:
 
 
 def ready_batch(outbox: DataFrame, as_of_ms: int, limit: int | None = 200, by: Sequence[str] = ("host",)) -> DataFrame:
-    """The oldest due records of every host, at most ``limit`` each (None: all): one delivery batch."""
+    """The oldest due records of every host, at most ``limit`` each (None: all): one delivery batch. No host is ranked by one task."""
     if limit is None:
         return outbox.filter(is_ready(as_of_ms))
-    oldest = Window.partitionBy(*by).orderBy("created_ms", "id")
-    return (outbox.filter(is_ready(as_of_ms)).withColumn("__rank", F.row_number().over(oldest))
-            .filter(F.col("__rank") <= limit).drop("__rank"))
+    # Records without a time come first.
+    due = outbox.filter(is_ready(as_of_ms)).withColumn("__at", F.coalesce("created_ms", F.lit(-(2**62))).cast("bigint"))
+    ranked = running(due, by, ["__at", "id"], {"__rank": ("sum", F.lit(1))})
+    return ranked.filter(F.col("__rank") <= limit).drop("__rank", "__at")
 
 
 def pending_results(results: DataFrame, limit: int | None = 500, by: Sequence[str] = ("host",)) -> DataFrame:
