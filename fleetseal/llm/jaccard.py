@@ -24,6 +24,8 @@ from fleetseal.llm.components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
+# Stars of so many sets take in what is no farther from their leader. Both change the cost, never the result.
+_LARGE, _FAR = 8, 0.75
 _SLICE = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,18 +197,50 @@ def inverted_lists(sets: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def _leaders(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set with the one that heads most of its lists, if they have enough elements in common to link."""
-    place = F.col("row") if turn == 0 else F.xxhash64("row", F.lit(turn))
+    """(a, b): each set with the one that heads most of its lists, if they have enough elements in common to link.
+
+    At first the set whose lists are longest heads a list: of edited copies the text that they were made from, as edits are in short lists.
+    """
+    place = F.xxhash64("row", F.lit(turn))
+    if turn == 0:
+        lengths = lists.groupBy("key").agg(F.count("*").alias("length"))
+        lists = lists.join(lists.join(lengths, "key").groupBy("row").agg(F.sum("length").alias("weight")), "row")
+        place = -F.col("weight")
     heads = lists.groupBy("key").agg(F.min(F.struct(place.alias("p"), "row", "n")).alias("h")).select("key", F.col("h.row").alias("b"), F.col("h.n").alias("m"))
     met = lists.join(heads, "key").filter((F.col("row") != F.col("b")) & _may_link(F.col("n"), F.col("m")))
     counted = met.groupBy("row", "b", "n", "m").agg(F.count("*").alias("common")).filter(F.col("common") >= _shared_needed(F.col("n"), F.col("m")))
     return counted.groupBy("row").agg(F.max_by("b", F.struct("common", -F.col("b"))).alias("b")).select(F.col("row").alias("a"), "b")
 
 
+def _gathered(lists: DataFrame, stars: DataFrame, elements: DataFrame) -> DataFrame:
+    """(row, star, distance, overlap, linked): members of small stars and sets without one, if their leader is near the leader of a
+    large star, with that star.
+
+    They need not link to that leader. Most sets that were made from one text and lie too far from it are told apart by it.
+    """
+    extent = stars.groupBy("star").agg(F.count("*").alias("size"))
+    leading = (lists.join(stars.select("row", "star"), "row", "left").filter("star is null or star = row").drop("star")
+               .join(extent.withColumnRenamed("star", "row"), "row", "left").withColumn("size", F.coalesce("size", F.lit(1))))
+    heads = leading.filter(F.col("size") >= _LARGE).groupBy("key").agg(F.max(F.struct("size", "row")).alias("h")).select("key", F.col("h.row").alias("b"), F.col("h.size").alias("most"))
+    met = leading.join(heads, "key").filter(F.col("size") < F.col("most")).groupBy("row", "b").agg(F.count("*").alias("common")).filter("common > 1")
+    wanted = met.groupBy("row").agg(F.max_by("b", F.struct("common", "b")).alias("b")).select(F.col("row").alias("a"), "b")
+    moves = stage(_compared(wanted, elements).filter(_distance() <= _FAR).select("a", "b"), "moves")
+    moves = moves.join(moves.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("star"), "b")
+    moved = stars.join(moves, "star").select(F.col("row").alias("a"), "b").union(
+        moves.join(stars.select("star").distinct(), "star", "left_anti").select(F.col("star").alias("a"), "b"))
+    return stage(_compared(moved, elements).select(F.col("a").alias("row"), F.col("b").alias("star"), _distance().alias("distance"), "overlap", _linked().alias("linked")), "gathered")
+
+
+def _groups_of(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """(star, group): the group of all members of a star, or a number of the star alone if they are of several."""
+    placed = stars.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("group", F.coalesce("component", "row"))
+    return placed.groupBy("star").agg(F.when(F.min("group") == F.max("group"), F.min("group")).otherwise(-1 - F.col("star")).alias("group"))
+
+
 def _open_stars(lists: DataFrame, stars: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, star, group, low, high): stars in lists which hold several groups, with the sizes of their members."""
-    placed = (lists.join(stars, "row", "left").withColumn("star", F.coalesce("star", "row"))
-              .join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("group", F.coalesce("component", "row")))
+    placed = (lists.join(stars.join(_groups_of(stars, groups), "star"), "row", "left")
+              .withColumns({"star": F.coalesce("star", "row"), "group": F.coalesce("group", "row")}))
     narrow = placed.groupBy("key", "star", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = narrow.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("key")
     return narrow.join(several, "key", "left_semi")
@@ -250,56 +284,85 @@ def _meeting_stars(open_: DataFrame) -> DataFrame:
     return of_large.union(of_small).distinct()
 
 
-def _between_stars(close: DataFrame, stars: DataFrame, sizes: DataFrame, groups: DataFrame, lists: DataFrame, elements: DataFrame) -> DataFrame:
-    """(a, b): links between members of close stars (a, b, apart) that are in different groups.
+def _between_stars(close: DataFrame, stars: DataFrame, sizes: DataFrame, groups: DataFrame, links: DataFrame, lists: DataFrame, elements: DataFrame) -> DataFrame:
+    """(a, b): links between members of close stars (a, b, apart), or of one star (a = b), that are in different groups by ``links``.
+
+    ``groups`` are those of some of the links.
 
-    Let x be a member of one star and c the leader of the other. x and a member y of that star have at most
+    Let x be a member of one star and c the leader of the other (or of its own). x and a member y of that star have at most
     min(|x & c|, |y & c|) elements in common within c. If that is less than a link of the two needs, they must share the rest outside
-    of c: they meet in lists of such elements only. Other pairs meet in the lists of prefixes.
+    of c: they meet in lists of such elements only, and of these in the shortest. Other pairs meet in the lists of prefixes.
     """
     reach = F.lit(1 - NUMERATOR / DENOMINATOR + 1e-9)
     extent = stars.groupBy("star").agg(F.count("*").alias("size"), F.max("distance").alias("radius"))
     ends = close.select(F.explode(F.array("a", "b")).alias("star")).distinct()
     alone = ends.join(extent, "star", "left_anti").select(F.col("star").alias("row"), "star", F.lit(0.0).alias("distance"), F.lit(None).cast("int").alias("overlap"))
     rows = stage(stars.join(ends, "star", "left_semi").select("row", "star", "distance", "overlap").union(alone).join(sizes, "row")
-                 .join(groups.withColumnRenamed("node", "row"), "row", "left")
-                 .select("row", "star", "distance", F.coalesce("overlap", "n").alias("inside"), "n", F.coalesce("component", "row").alias("group")), "rows")
+                 .select("row", "star", "distance", F.coalesce("overlap", "n").alias("inside"), "n"), "rows")
 
     of = lambda s: extent.select(F.col("star").alias(s), F.col("size").alias(f"size_{s}"), F.col("radius").alias(f"radius_{s}"))
     larger = F.coalesce("size_a", F.lit(1)) > F.coalesce("size_b", F.lit(1))
-    turned = close.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+    turned = close.filter("a <> b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(
         F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(larger, F.col("a")).otherwise(F.col("b")).alias("b"), "apart",
         F.coalesce(F.when(larger, F.col("radius_a")).otherwise(F.col("radius_b")), F.lit(0.0)).alias("radius"))
-    heads = rows.filter("row = star").select(F.col("row").alias("b"), F.col("group").alias("group_b"))
-    to_try = (turned.join(heads, "b").join(rows.select(F.col("row").alias("a"), F.col("star").alias("small"), "distance", "group"), "small")
-              .filter((F.col("group") != F.col("group_b")) & (F.col("apart") <= F.col("distance") + F.col("radius") + reach)))
-    probed = stage(_compared(to_try.select("a", "b", "radius", "group"), elements), "probed")
-    links = probed.filter(_linked()).select("a", "b")
-    near = stage(probed.filter(~_linked() & (_distance() <= reach + F.col("radius"))).select(
-        F.col("b").alias("star"), F.col("a").alias("row_1"), F.col("n_a").alias("n_1"), F.col("overlap").alias("inside_1"), F.col("group").alias("group_1")), "near")
-    others = rows.filter("row <> star").join(near.select("star").distinct(), "star", "left_semi").select(
-        "star", F.col("row").alias("row_2"), F.col("n").alias("n_2"), F.col("inside").alias("inside_2"), F.col("group").alias("group_2"))
+    to_try = (turned.join(rows.select(F.col("row").alias("a"), F.col("star").alias("small"), "distance"), "small")
+              .filter(F.col("apart") <= F.col("distance") + F.col("radius") + reach)
+              .join(groups.select(F.col("node").alias("a"), F.col("component").alias("group")), "a", "left")
+              .join(_groups_of(stars, groups).select(F.col("star").alias("b"), F.col("group").alias("of_b")), "b", "left")
+              .filter(F.coalesce("group", "a") != F.coalesce("of_b", "b")))
+    probed = stage(_compared(to_try.select("a", "b", "radius"), elements), "probed")
+    found = probed.filter(_linked()).select("a", "b")
+    # What is of one group by now needs no more links.
+    by_now = components(links.union(found)).withColumnRenamed("node", "row")
+    rows = stage(rows.join(by_now, "row", "left").withColumn("group", F.coalesce("component", "row")).drop("component"), "rows")
+    of_leader = rows.filter("row = star").select("star", F.col("group").alias("leads"))
+    members = rows.filter("row <> star").join(of_leader, "star").withColumn("loose", F.col("group") != F.col("leads")).drop("leads", "distance")
+    inner = close.filter("a = b").select(F.col("a").alias("star"))
+    own = members.filter("loose").join(inner, "star", "left_semi")
+    coming = (probed.filter(_distance() <= reach + F.col("radius")).select(F.col("b").alias("star"), F.col("a").alias("row"), F.col("overlap").alias("inside"))
+              .join(rows.select("row", "n", "group"), "row").select("row", "star", "inside", "n", "group"))
+    columns = ["star", "row", "n", "inside", "group"]
+    seeks = coming.select(*columns, F.lit(False).alias("own")).union(own.select(*columns, F.lit(True).alias("own")))
+    # A set seeks nothing in a star all of whose members are of its group.
+    held = members.groupBy("star").agg(F.min("group").alias("__x"), F.max("group").alias("__y"))
+    near = stage(seeks.join(held, "star").filter((F.col("__x") != F.col("group")) | (F.col("__y") != F.col("group"))).drop("__x", "__y"), "near")
+    others = stage(members.join(near.select("star").distinct(), "star", "left_semi").select(*columns, "loose"), "others")
 
     within = F.least("inside_1", "inside_2")
     needed = _overlap_needed(F.col("n_1"), F.col("n_2"))
-    fits = (F.col("group_1") != F.col("group_2")) & _may_link(F.col("n_1"), F.col("n_2"))
+    outer = F.least(F.col("n_1") - F.col("inside_1"), F.col("n_2") - F.col("inside_2"))
+    fits = ((F.col("group_1") != F.col("group_2")) & _may_link(F.col("n_1"), F.col("n_2")) & (within + outer >= needed)
+            & (~F.col("own") | ~F.col("loose") | (F.col("row_1") < F.col("row_2"))))
+    side = lambda rows, i: rows.select("star", *[c for c in rows.columns if c in ("key", "share", "own", "loose")],
+                                       *[F.col(c).alias(f"{c}_{i}") for c in ("row", "n", "inside", "group")])
+
+    # Elements outside of the leader, in order of how many have them. Of those a set shares at least ``k`` with what it links to, so it
+    # meets that with ``share`` of its first ones.
+    both = near.filter("not own").select("star", "row", "n", "inside").union(others.select("star", "row", "n", "inside"))
     whole = lambda row, name: elements.select(F.col("row").alias(row), F.col("elements").alias(name)).hint("merge")
-    outside = lambda side, row: (side.join(whole(row, "__own"), row).join(whole("star", "__star"), "star")
-                                 .select(*side.columns, F.explode(F.array_except("__own", "__star")).alias("key")))
-    apart = (outside(near, "row_1").join(outside(others, "row_2").hint("merge"), ["star", "key"]).filter(fits & (within < needed))
-             .groupBy("row_1", "row_2", needed.alias("needed"), within.alias("within")).agg(F.count("*").alias("c"))
-             .filter(F.col("c") + F.col("within") >= F.col("needed")).select("row_1", "row_2"))
+    keys = stage(both.join(whole("row", "__own"), "row").join(whole("star", "__star"), "star")
+                 .select("star", "row", "n", "inside", F.explode(F.array_except("__own", "__star")).alias("key")), "outside")
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * NUMERATOR / F.lit(DENOMINATOR) - 1e-9) - F.col("inside"))
+    of_row = Window.partitionBy("star", "row")
+    counts = keys.groupBy("star", "key").agg(F.count("*").alias("rows"))
+    heading = (keys.join(counts, ["star", "key"]).withColumns({"place": F.row_number().over(of_row.orderBy("rows", "key")), "share": 1 + F.floor((k - 1) / 4)})
+               .filter((F.col("place") <= F.col("n") - F.col("inside") - k + F.col("share")) & (F.col("rows") > 1)).select("star", "row", "key", "share"))
+    heading = stage(heading, "heading")
+    with_keys = lambda rows, i: side(rows.join(heading, ["star", "row"]), i).withColumnRenamed("share", f"share_{i}")
+    apart = (with_keys(near, 1).join(with_keys(others, 2).hint("merge"), ["star", "key"]).filter(fits & (within < needed))
+             .groupBy("row_1", "row_2", F.least("share_1", "share_2").alias("share")).agg(F.count("*").alias("c"))
+             .filter(F.col("c") >= F.col("share")).select("row_1", "row_2"))
 
     # For most sets no member of the other star can be within ``within``: sizes tell.
     room = lambda inside, n: F.col(inside) * F.lit((NUMERATOR + DENOMINATOR) / NUMERATOR) - F.col(n) + 1e-6
-    best = others.groupBy("star").agg(F.min("n_2").alias("least"), F.max(room("inside_2", "n_2")).alias("most"))
-    candidates = near.join(best, "star").filter((F.col("least") <= room("inside_1", "n_1")) & (F.col("n_1") <= F.col("most"))).drop("least", "most")
-    listed = lambda side, row: side.join(lists.select(F.col("row").alias(row), "key"), row)
-    alike = (listed(candidates, "row_1").join(listed(others, "row_2").hint("merge"), ["star", "key"]).filter(fits & (within >= needed))
+    best = others.groupBy("star").agg(F.min("n").alias("least"), F.max(room("inside", "n")).alias("most"))
+    candidates = near.join(best, "star").filter((F.col("least") <= room("inside", "n")) & (F.col("n") <= F.col("most"))).drop("least", "most")
+    listed = lambda rows, i: side(rows.join(lists.select("row", "key"), "row"), i)
+    alike = (listed(candidates, 1).join(listed(others, 2).hint("merge"), ["star", "key"]).filter(fits & (within >= needed))
              .groupBy("row_1", "row_2", "n_1", "n_2").agg(F.count("*").alias("c")).filter(F.col("c") >= _shared_needed(F.col("n_1"), F.col("n_2")))
              .select("row_1", "row_2"))
     pairs = stage(apart.union(alike).select(F.col("row_1").alias("a"), F.col("row_2").alias("b")).distinct(), "pairs")
-    return links.union(stage(_compared(pairs, elements).filter(_linked()).select("a", "b"), "last"))
+    return found.union(stage(_compared(pairs, elements).filter(_linked()).select("a", "b"), "last"))
 
 
 def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_share: float = 2.0**-20) -> DataFrame:
@@ -344,20 +407,24 @@ def link(docs: DataFrame, width: int = SHINGLE, leader_rounds: int = 3, common_s
     centres = leads.select(F.col("b").alias("row")).distinct().withColumns({"star": F.col("row"), "distance": F.lit(0.0), "overlap": F.lit(None).cast("int")})
     members = leads.join(centres.select(F.col("row").alias("a")), "a", "left_anti").select(F.col("a").alias("row"), F.col("b").alias("star"), "distance", "overlap")
     stars = stage(centres.union(members), "stars")
+    gathered = _gathered(lists, stars, elements)
+    leads = leads.select("a", "b").union(gathered.filter("linked").select(F.col("row").alias("a"), F.col("star").alias("b")))
+    stars = stage(stars.join(gathered.select("row"), "row", "left_anti").union(gathered.drop("linked")), "stars")
     radius = stars.groupBy("star").agg(F.max("distance").alias("radius"))
 
     groups = components(leads)
     meeting = stage(_compared(_meeting_stars(_open_stars(lists, stars.select("row", "star"), groups)), elements)
                     .withColumns({"linked": _linked(), "distance": _distance()}), "meeting")
-    links = leads.select("a", "b").union(meeting.filter("linked").select("a", "b"))
+    links = leads.union(meeting.filter("linked").select("a", "b"))
     of = lambda s: radius.select(F.col("star").alias(s), F.col("radius").alias(f"r_{s}"))
     reach = F.lit(1 - NUMERATOR / DENOMINATOR + 1e-9)
     close = meeting.filter("not linked").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(
         (F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0)) > 0)
         & (F.col("distance") <= reach + F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0)))).select("a", "b", F.col("distance").alias("apart"))
-    close = stage(close, "close")
+    inner = gathered.select(F.col("star").alias("a"), F.col("star").alias("b"), F.lit(0.0).alias("apart")).distinct()
+    close = stage(close.union(inner), "close")
     if not close.isEmpty():
-        links = links.union(_between_stars(close, stars, kinds.select("row", "n"), components(links), lists, elements))
+        links = links.union(_between_stars(close, stars, kinds.select("row", "n"), groups, links, lists, elements))
     groups = components(links)
 
     grouped = kinds.join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
