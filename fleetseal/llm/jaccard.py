@@ -2,13 +2,14 @@
 
 A size-aware join: in a fixed order of all shingles (common ones last), two similar sets share some of the first elements of
 each, their prefixes, and the more of them the larger they are. Equal sets collapse first. Then leaders are tried: the set that
-heads most of the inverted lists of a document is compared with it, which finds almost every link without forming pairs within a list. What is left are stars
-(a leader and the sets that link to it) which still meet in a list without being connected. For these, stars with few such
+heads most of the inverted lists of a document is compared with it, which finds almost every link without forming pairs within a list. Sets near the leader of a large star
+that do not link to it are gathered around it all the same. What is left are stars
+(a leader and the sets that link to it or were gathered) which still meet in a list without being connected. For these, stars with few such
 lists enumerate their pairs of elements, stars with many scan the lists; the boundary between the two is the cheapest. Two stars
 whose leaders are too far apart for any of their members to link are done with (Jaccard distance is a metric). Of
 the others, the members of the smaller star are compared with the leader of the larger. That leader bounds what two members can
 have in common within it, so most pairs can only link by elements outside of it, and those are few and make short lists.
-Every decision is the exact overlap of whole sets.
+Sets gathered around one leader are told apart in the same way. Every decision is the exact overlap of whole sets.
 """
 
 from __future__ import annotations
