@@ -117,8 +117,12 @@ def fit(labelled: DataFrame, grades: int, rows: int = 8192, least: int = 3, feat
     number = np.full(len(coded.dictionary), -1)
     number[chosen] = np.arange(len(chosen))
     kept = number[codes] >= 0
-    weights, cuts = fit_arrays(parents[kept], number[codes[kept]], len(chosen), grade, grades, penalty)
+    rows_kept, columns_kept = parents[kept], number[codes[kept]]
     words = coded.dictionary.take(pa.array(chosen)).to_pylist()
+    # The sample is read. Arrow would keep its memory for the rest of the driver's life.
+    del sample, lists, parents, coded, codes, number, kept
+    pa.default_memory_pool().release_unused()
+    weights, cuts = fit_arrays(rows_kept, columns_kept, len(chosen), grade, grades, penalty)
     return Model({w: float(v) for w, v in zip(words, weights, strict=True) if v}, tuple(float(c) for c in cuts))
 
 
