@@ -45,6 +45,11 @@ def counted(words: DataFrame, shortest: int = 6, least: int = 5) -> DataFrame:
     return words.filter(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join without a broadcast: both sides grow with the words, and Spark sizes one by its packed files, or by what stands before an explode."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _key(part: Column) -> Column:
     return F.when(F.length(part) <= _KEY_CHARACTERS, part).otherwise(F.sha2(part, 256))
 
@@ -62,7 +67,7 @@ def _nodes(words: DataFrame, part, side: str) -> DataFrame:
     paths = spelled.select("word", "at", F.when(F.length("spells") <= _SHALLOW, _spelled(F.col("spells"))).alias("shallow"),
                            F.when(F.length("spells") > _SHALLOW, _key(F.col("spells"))).alias("key"))
     numbers = stage(paths.filter("key is not null").select("key").distinct().withColumn("number", F.monotonically_increasing_id()), f"trie-{side}")
-    deep = paths.filter("key is not null").join(numbers, "key").select("word", "at", F.col("number").alias("node"))
+    deep = _met(paths.filter("key is not null"), numbers, "key").select("word", "at", F.col("number").alias("node"))
     return deep.unionByName(paths.filter("key is null").select("word", "at", F.col("shallow").alias("node"))).withColumn("side", F.lit(side))
 
 
@@ -76,7 +81,7 @@ def entries(words: DataFrame) -> DataFrame:
     backward = _nodes(words.select("word"), lambda w, i: F.substring(w, i + 1, F.length(w)), "backward")
     numbers = forward.unionByName(backward).groupBy("word").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "node")))).alias(side) for side in ("forward", "backward")])
-    whole = numbers.join(words, "word")
+    whole = _met(numbers, words, "word")
     node = lambda side, i: F.get(F.col(side), i)["node"]
     letter = lambda i: F.substring("word", i + 1, F.lit(1))
 
@@ -119,19 +124,19 @@ def forms(words: DataFrame, times: int = 5) -> DataFrame:
     """
     around = near(words)
     found = F.col("best_n") >= times * F.col("n")
-    judged = stage(words.join(around, "word", "left").select(
+    judged = stage(_met(words, around, "word", "left").select(
         "word", "n", F.when(found, F.col("best")).alias("form"), F.when(found, F.col("best_n")).alias("form_n"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(found, F.col("best")).otherwise(F.col("word")).alias("root")), "forms")
     # Only words with a form move; where their way ends is found among themselves.
     ways = stage(judged.filter("form is not null").select("word", "root"), "ways")
     while True:
-        step = stage(ways.join(ways.select(F.col("word").alias("root"), F.col("root").alias("next")), "root", "left").select(
+        step = stage(_met(ways, ways.select(F.col("word").alias("root"), F.col("root").alias("next")), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "ways")
         drop(ways)
         ways = step
         if step.filter("moved").isEmpty():
             break
-    return judged.drop("root").join(ways.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return _met(judged.drop("root"), ways.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def group(docs: DataFrame, shortest: int = 6, least: int = 5, times: int = 5, modulus: int = _TYPO_MODULUS) -> DataFrame:
