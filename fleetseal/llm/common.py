@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetseal.session import checkpoint_dir
+from fleetseal.session import checkpoint_dir, drop  # noqa: F401
 
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,13 +39,6 @@ def stage(df: DataFrame, what: str, compression: str | None = None) -> DataFrame
     return staged
 
 
-def drop(staged: DataFrame) -> None:
-    """Delete a staged table that nothing will read again."""
-    jvm, path = staged.sparkSession.sparkContext._jvm, staged.staged_path
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(staged.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z and nothing else."""
     return F.translate(text, _UPPER, _LOWER)

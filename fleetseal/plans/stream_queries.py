@@ -153,8 +153,9 @@ def delivery_run(t):
     largest = table.current().groupBy("host").count().agg(F.max("count")).first()[0] or 1
     deliver_rounds(table, f"{folder}/sink", 10**12, limit=-(-largest // 3))
     deliver_rounds(table, f"{folder}/sink", 10**12)
-    sunk = t.spark.read.json(f"{folder}/sink").select("host", F.col("record_id").alias("id"), F.lit(True).alias("in_sink"))
-    return table.current().join(sunk, ["host", "id"], "left").select(
+    sunk = t.spark.read.schema("host string, record_id string").json(f"{folder}/sink").select("host", F.col("record_id").alias("id"), F.lit(True).alias("in_sink"))
+    state = table.current(columns=["host", "id", "delivery_attempts", "delivered_ms", "last_error", "revision", "batch_id"])
+    return state.join(sunk.hint("merge"), ["host", "id"], "left").select(
         "host", "id", "delivery_attempts", F.col("delivered_ms").isNotNull().alias("delivered"), "last_error", F.coalesce("in_sink", F.lit(False)).alias("in_sink"))
 
 

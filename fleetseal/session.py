@@ -41,4 +41,18 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to a new folder below the checkpoint folder and read it back, so that later steps share one result."""
     path = f"{checkpoint_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    result = df.sparkSession.read.schema(df.schema).parquet(path)
+    result.staged_path = path
+    return result
+
+
+def drop(staged: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    jvm, path = staged.sparkSession.sparkContext._jvm, staged.staged_path
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(staged.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark give up the files of shuffles that no plan in use refers to; it learns of them when the driver's collector has run."""
+    spark.sparkContext._jvm.System.gc()

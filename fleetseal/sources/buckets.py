@@ -62,9 +62,13 @@ class BatchTable:
             newest = None
         return 0 if newest is None else newest + 1
 
-    def current(self, last_batch: int | None = None) -> DataFrame:
-        """The merged rows up to ``last_batch``, or up to the newest batch that has rows."""
-        return self.merge(self.before(self.next_batch() if last_batch is None else last_batch + 1))
+    def current(self, last_batch: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """The merged rows up to ``last_batch``, or up to the newest batch that has rows.
+
+        ``columns`` are all that is read and moved; they must hold what ``merge`` goes by.
+        """
+        rows = self.before(self.next_batch() if last_batch is None else last_batch + 1)
+        return self.merge(rows if columns is None else rows.select(*columns))
 
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from fleetseal.functions.events import is_allocated
 from fleetseal.operators import outbox
-from fleetseal.session import staged
+from fleetseal.session import drop, free_shuffles, staged
 from fleetseal.sources import sinks
 from fleetseal.sources.buckets import BatchTable
 
@@ -50,18 +50,46 @@ def outbox_table(spark: SparkSession, path: str, schema: StructType, **options:
     return BatchTable(spark, path, schema, ["host", "id"], newest, **options)
 
 
+# What a record is told from others by, and what its turn depends on.
+_RECORD = ("host", "id", "revision", "batch_id")
+_TURN = ("created_ms", "next_attempt_ms", "delivered_ms")
+
+
+def _due(table: BatchTable, number: int, as_of_ms: int, limit: int | None) -> DataFrame | None:
+    """The whole rows of the records that round ``number`` delivers, staged; None if there are none.
+
+    Whose turn it is, is found on the few columns that this depends on. Whole rows are moved only if they may be among those: they
+    are due themselves and lie between the oldest and the newest of them.
+    """
+    turn = staged(outbox.ready_batch(table.current(number - 1, [*_RECORD, *_TURN]), as_of_ms, limit).select(*_RECORD, "created_ms"), "turn")
+    free_shuffles(table.spark)
+    n, low, high, untimed = turn.agg(F.count("*"), F.min("created_ms"), F.max("created_ms"), F.count_if(F.col("created_ms").isNull())).first()
+    if not n:
+        drop(turn)
+        return None
+    # Null is equal to null within a struct. Rows that a record has twice in a batch count once.
+    named = F.struct(*_RECORD).alias("__record")
+    at = F.coalesce(F.col("created_ms").between(low, high), F.lit(untimed > 0))
+    rows = table.before(number).filter(outbox.is_ready(as_of_ms)).filter(at)
+    due = staged(rows.select("*", named).join(turn.select(named).hint("merge"), "__record", "left_semi")
+                 .dropDuplicates(["__record"]).drop("__record", "batch_id"), "due")
+    drop(turn)
+    free_shuffles(table.spark)
+    return due
+
+
 def deliver_rounds(table: BatchTable, sink: str, as_of_ms: int, limit: int | None = None, fails: Column | None = None) -> int:
     """Deliver until nothing is due; every round is a batch of the table and a folder of the sink, named by its number.
 
     A round that failed between the two is done again under its number and writes both anew. A record whose id and type the
     catalog does not allocate to each other fails like one the sink rejects (``fails``), and is due again after its back-off. ``limit``
-    is the size of a round per host. Returns how many rounds there were.
+    is the size of a round per host. Returns how many rounds there were. What a round stages goes with it.
     """
     first = number = table.next_batch()
     while True:
-        current = table.current(number - 1).drop("batch_id")
-        ready = staged(outbox.ready_batch(current, as_of_ms, limit), "due")
-        if ready.isEmpty():
+        free_shuffles(table.spark)
+        ready = _due(table, number, as_of_ms, limit)
+        if ready is None:
             return number - first
         allocated = F.coalesce(is_allocated(F.col("event_id"), F.col("record_type")), F.lit(False))
         outcome = allocated if fails is None else allocated & ~F.coalesce(fails, F.lit(False))
@@ -70,4 +98,5 @@ def deliver_rounds(table: BatchTable, sink: str, as_of_ms: int, limit: int | Non
         sinks.deliver(ready.filter(outcome).select(
             "host", "schema_version", "event_id", "record_type", "occurred_ms", F.col("id").alias("record_id"), "scope_hash", "fields", "error"), sink, number)
         table.write(number, state.select(*ready.columns))
+        drop(ready)
         number += 1
