@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from fleetseal.functions.delivery import backoff_seconds
 from fleetseal.functions.paths import has_content
-from fleetseal.operators.ordered import running
+from fleetseal.operators.ordered import HOUR_MS, running
 
 RETENTION_DAYS = 7
 DAY_MS = 86_400_000
+# Spark limits a ranked window before the shuffle up to this rank.
+_LIMITED_EARLY = 1000
 
 
 def admit(records: DataFrame, existing: DataFrame | None = None, keys: Sequence[str] = ("id",), seq: str = "seq") -> DataFrame:
@@ -38,6 +40,10 @@ def ready_batch(outbox: DataFrame, as_of_ms: int, limit: int | None = 200, by: S
         return outbox.filter(is_ready(as_of_ms))
     # Records without a time come first.
     due = outbox.filter(is_ready(as_of_ms)).withColumn("__at", F.coalesce("created_ms", F.lit(-(2**62))).cast("bigint"))
+    if limit <= _LIMITED_EARLY:
+        # Of an hour of a host no more rows than that can be among the oldest; the others are left out before the shuffle.
+        hour = Window.partitionBy(*by, F.floor(F.col("__at") / HOUR_MS)).orderBy("__at", "id")
+        due = due.withColumn("__early", F.rank().over(hour)).filter(F.col("__early") <= limit).drop("__early")
     ranked = running(due, by, ["__at", "id"], {"__rank": ("sum", F.lit(1))})
     return ranked.filter(F.col("__rank") <= limit).drop("__rank", "__at")
 
